@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import linededup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,36 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the digest of what is left of every document."""
+    found = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept"), 256).alias("kept_sha256")
+    )
+
 
-ORACLES: dict[str, str] = {}
+OP9_SQL = r"""
+with split as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), flat as (
+  select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from split
+), keyed as (
+  select doc_id, pos, line,
+    translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from flat
+), common as (
+  select key, max(doc_id) as top from keyed where length(key) >= 20
+  group by key having count(distinct doc_id) >= 3
+), marked as (
+  select k.doc_id, pos, line, c.key is not null and c.top <> k.doc_id as gone
+  from keyed k left join common c on k.key = c.key
+)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+QUERIES = {"op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup}
+
+ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
