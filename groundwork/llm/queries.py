@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, simhash
+from . import linededup, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,41 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (where
 from marked group by doc_id
 """
 
-QUERIES = {"op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed and the digest of the words left of every document."""
+    found = substrings.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "words.n_words", "words.n_removed", F.sha2("words.kept", 256).alias("kept_sha256")
+    )
+
+
+OP10_SQL = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), flat as (
+  select doc_id, words, unnest(range(len(words))) as pos from split
+), runs as (
+  select doc_id, pos, sha256(array_to_string(words[pos + 1 : pos + 35], ' ')) as seq
+  from flat where pos + 35 <= len(words)
+), twice as (
+  select doc_id, pos from runs where seq in (select seq from runs group by seq having count(*) > 1)
+), flagged as (
+  select f.doc_id, f.pos, f.words[f.pos + 1] as word, t.pos is not null as starts
+  from flat f left join twice t on t.doc_id = f.doc_id and t.pos = f.pos
+), covered as (
+  select doc_id, pos, word,
+    max(starts::int) over (partition by doc_id order by pos rows between 34 preceding and current row) = 1 as gone
+  from flagged
+), sums as (
+  select doc_id, count(*) as n, count(*) filter (where gone) as g,
+    string_agg(word, ' ' order by pos) filter (where not gone) as kept
+  from covered group by doc_id
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join sums s on s.doc_id = d.doc_id
+"""
+
+QUERIES = {"op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
