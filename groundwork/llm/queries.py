@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, simhash, substrings
+from . import linededup, ppm, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id):
+    """Whether a document stays out of what language identification learns from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, bits and n_bytes of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm.fit(docs.where(~held_out("doc_id")), "lang", "text", "doc_id")
+    return ppm.predict(docs, model).select(
+        F.col("id").alias("doc_id"),
+        held_out("id").alias("held_out"),
+        F.col("label").alias("lang_pred"),
+        "score",
+        "bits",
+        F.col("bytes").alias("n_bytes"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -87,6 +106,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op4_language_id": op4_language_id, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
