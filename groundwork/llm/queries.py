@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ppm, simhash, substrings
+from . import linededup, ppm, simhash, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    """Where the piece vocabulary lies: TOKENIZER_MODEL, else the installed public one."""
+    if path := os.environ.get("TOKENIZER_MODEL"):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of every document."""
+    vocabulary = tokencount.vocabulary_of_model(tokenizer_path())
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -106,6 +123,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op4_language_id": op4_language_id, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
