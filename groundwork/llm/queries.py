@@ -7,13 +7,34 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ppm, simhash, substrings, tokencount
+from . import linededup, ppm, secrets, simhash, substrings, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_guess of every document."""
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(k) for k in secrets.KINDS[:3]),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        count("guess"),
+    )
+
+
 def held_out(doc_id):
     """Whether a document stays out of what language identification learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -123,6 +144,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
