@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ppm, secrets, simhash, substrings, tokencount
+from . import linededup, ppm, secrets, simhash, substrings, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,49 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
 
 
+URL_RULES = [
+    urlfilter.Rule("block", "net", "/"),
+    urlfilter.Rule("allow", "example.net", "/en/"),
+    urlfilter.Rule("block", "example.com", "/de/"),
+    urlfilter.Rule("allow", "org", "/fr/"),
+]
+#: Site names whose pages make up the list of blocked addresses.
+LISTED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page; the list holds every page of the listed sites."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    sites = r"(^|\.)(" + "|".join(LISTED_SITES) + r")\."
+    listed = pages.where(host.rlike(sites)).select(urlfilter.canonical(host, path).alias("key"))
+    return urlfilter.filter_urls(pages, URL_RULES, listed).withColumnRenamed("id", "page_id")
+
+
+OP6_SQL = r"""
+with parsed as (
+  select page_id, coalesce(translate(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 2, 's'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '^(.*?)://([^/?#]*)([^?#]*)', 3, 's'), '') as path
+  from pages
+), keyed as (
+  select *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html)?/*$', '') as key,
+    case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+  from parsed
+), listed as (
+  select distinct key from keyed
+  where regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.')
+)
+select page_id, host, path, rule, case
+  when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+  when host <> '' and l.key is not null then 'block' else 'allow' end as verdict
+from keyed k left join listed l on l.key = k.key
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -144,6 +187,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
