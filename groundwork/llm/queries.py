@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, ppm, secrets, simhash, substrings, tokencount, urlfilter
+from . import decontaminate, linededup, ppm, secrets, simhash, substrings, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, edits, item_words, start_word, end_word of every benchmark passage in the documents."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of what is left of every document."""
     found = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -187,6 +193,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
