@@ -7,16 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, ppm, secrets, simhash, substrings, tokencount, urlfilter
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..runtime import table
+from . import decontaminate, linededup, ppm, secrets, simhash, substrings, tokencount, topk, urlfilter
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_guess of every document."""
-    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -35,6 +32,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten best for every vector whose id is divisible by 100."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP3_SQL = """
+with ints as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from ints q join ints c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10
+"""
+
+
 def held_out(doc_id):
     """Whether a document stays out of what language identification learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -42,7 +61,7 @@ def held_out(doc_id):
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits and n_bytes of every document."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     model = ppm.fit(docs.where(~held_out("doc_id")), "lang", "text", "doc_id")
     return ppm.predict(docs, model).select(
         F.col("id").alias("doc_id"),
@@ -66,7 +85,7 @@ def tokenizer_path() -> str:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of every document."""
     vocabulary = tokencount.vocabulary_of_model(tokenizer_path())
-    return tokencount.token_counts(_table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
 
 
 URL_RULES = [
@@ -81,7 +100,7 @@ LISTED_SITES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets"
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; the list holds every page of the listed sites."""
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
     sites = r"(^|\.)(" + "|".join(LISTED_SITES) + r")\."
     listed = pages.where(host.rlike(sites)).select(urlfilter.canonical(host, path).alias("key"))
@@ -114,7 +133,7 @@ from keyed k left join listed l on l.key = k.key
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -124,13 +143,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, edits, item_words, start_word, end_word of every benchmark passage in the documents."""
-    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of what is left of every document."""
-    found = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
         "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept"), 256).alias("kept_sha256")
     )
@@ -160,7 +179,7 @@ from marked group by doc_id
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the words left of every document."""
-    found = substrings.substring_dedup(_table(spark, sf_dir, "documents"))
+    found = substrings.substring_dedup(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), "words.n_words", "words.n_removed", F.sha2("words.kept", 256).alias("kept_sha256")
     )
@@ -193,6 +212,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_top_k": op3_top_k, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
