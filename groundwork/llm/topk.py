@@ -124,9 +124,8 @@ def _pairs(candidates: DataFrame, queries: DataFrame, k: int, bounded: bool) ->
         cols = zip(*rows, strict=True) if rows else ([], [], [])
         return pa.table([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
 
-    return (
-        candidates.groupBy("bucket", "block").cogroup(queries.groupBy("bucket", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
-    )
+    renewed = [df.select(*(F.col(c).alias(c) for c in df.columns)).groupBy("bucket", "block") for df in (candidates, queries)]
+    return renewed[0].cogroup(renewed[1]).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
