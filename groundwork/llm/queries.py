@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import decontaminate, linededup, ppm, secrets, simhash, substrings, tokencount, topk, urlfilter
+from . import decontaminate, linededup, mixing, ppm, secrets, simhash, substrings, tokencount, topk, urlfilter
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Share of the tokens that each domain should have: quality and toxicity of the labels table.
+MIX_TARGETS = {"q1t0": 0.90, "q1t1": 0.02, "q0t0": 0.07, "q0t1": 0.01}
+
+
+def label_domain():
+    """The domain that a row of the labels table stands for."""
+    return F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, one posterior for each domain, and the rate of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = mixing.mixing_rates(docs, labels, label_domain(), MIX_TARGETS)
+    posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_TARGETS)]
+    return found.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the ten best for every vector whose id is divisible by 100."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -212,6 +229,6 @@ select d.doc_id, cast(coalesce(n, 0) as bigint) as n_words, cast(coalesce(g, 0)
 from documents d left join sums s on s.doc_id = d.doc_id
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op3_top_k": op3_top_k, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_mixing": op2_mixing, "op3_top_k": op3_top_k, "op4_language_id": op4_language_id, "op5_token_counts": op5_token_counts, "op6_url_filter": op6_url_filter, "op7_simhash": op7_simhash, "op8_decontaminate": op8_decontaminate, "op9_line_dedup": op9_line_dedup, "op10_substring_dedup": op10_substring_dedup}
 
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op6_url_filter": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
