@@ -18,6 +18,7 @@ COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11,
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 19
+_MAIL = 1 << 25
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -80,51 +81,86 @@ class _Outbox:
             return
         owner = np.repeat(np.arange(len(self.docs)), [len(p) for p in self.places]).astype(np.uint32)
         place, digest = np.concatenate(self.places).astype(np.uint32), np.concatenate(self.digests)
-        order = np.lexsort(tuple(digest.T)) if digest.ndim == 2 else np.argsort(digest, kind="stable")
-        ranked = digest[order]
-        same = (ranked[1:] == ranked[:-1]).all(axis=1) if digest.ndim == 2 else ranked[1:] == ranked[:-1]
+        order, same = _ranked(digest)
         begins = np.concatenate(([True], ~same))
         twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
         settled = np.sort(order[twice])
-        for own in _by_owner(owner[settled], place[settled], self.docs):
-            yield own[4][0] % self.buckets, *own[1:]
+        mail = _Mail(self.buckets // 2)
+        mail.add_runs(owner[settled], place[settled], self.docs)
+        yield from mail.flush()
         rep, known = order[begins], twice[begins]
         keep = np.argsort(rep)
         rep, known = rep[keep], known[keep]
-        first = digest[rep, 0] if digest.ndim == 2 else digest[rep]
-        bucket = (first % np.uint64(self.buckets)).astype(np.int64)
+        bucket = (digest[rep, 0] % np.uint64(self.buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-        for part in np.split(by, cuts):
+        for part in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
             who, which = np.unique(owner[rep[part]], return_inverse=True)
             raw = digest[rep[part]].view(np.uint8).reshape(len(part), -1)[:, -self.width :]
-            ids = [self.docs[k] for k in who.tolist()]
-            head = np.array([len(part), len(who)], np.uint32)
             steps = np.diff(which, prepend=0).astype(np.uint32)
-            body = _packed(known[part].astype(np.uint8), steps, place[rep[part]])
-            yield int(bucket[part[0]]), False, head.tobytes() + raw.tobytes() + body, [d[0] for d in ids], [d[1] for d in ids]
+            body = _packed(steps, place[rep[part]], known[part].astype(np.uint8))
+            ids, rows = zip(*(self.docs[k] for k in who.tolist()), strict=True)
+            yield int(bucket[part[0]]), False, np.uint32(len(part)).tobytes() + raw.tobytes() + body, ids, rows
         self.clear()
 
 
-def _by_owner(owner: np.ndarray, place: np.ndarray, docs: list[tuple]) -> Iterator[tuple]:
-    if len(owner):
-        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1):
-            doc = docs[int(owner[part[0]])]
-            yield None, True, place[part].tobytes(), [doc[0]], [doc[1]]
+def _ranked(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of digests of one or two words each, and which neighbours in it are equal."""
+    order = np.argsort(digest[:, 0], kind="stable") if digest.shape[1] == 1 else np.lexsort(tuple(digest.T))
+    ranked = digest[order]
+    return order, (ranked[1:] == ranked[:-1]).all(axis=1)
 
 
-def _unpack(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, _ = np.frombuffer(payload, np.uint32, 2).tolist()
+def _unpack(load: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(load, np.uint32, 1)[0])
     raw = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    raw[:, :width] = np.frombuffer(payload, np.uint8, n * width, 8).reshape(n, width)
-    body = zlib.decompress(payload[8 + n * width :])
-    known = np.frombuffer(body, np.uint8, n).astype(bool)
-    which = np.cumsum(np.frombuffer(body, np.uint32, n, n), dtype=np.uint32)
-    return raw.view(np.uint64).reshape(n, -1), known, which, np.frombuffer(body, np.uint32, n, 5 * n)
+    raw[:, :width] = np.frombuffer(load, np.uint8, n * width, 4).reshape(n, width)
+    body = zlib.decompress(load[4 + n * width :])
+    which = np.cumsum(np.frombuffer(body, np.uint32, n), dtype=np.uint32)
+    known = np.frombuffer(body, np.uint8, n, 8 * n).astype(bool)
+    return raw.view(np.uint64).reshape(n, -1), known, which, np.frombuffer(body, np.uint32, n, 4 * n)
 
 
-def _table(kind: str) -> str:
-    return f"bucket int, settled boolean, load binary, ids array<{kind}>, rows array<long>"
+class _Mail:
+    """Places of documents, gathered and packed by the bucket of the document's id."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.size = buckets, 0
+        self.by: dict[int, list[tuple]] = {}
+
+    def add(self, doc: tuple, places: bytes) -> None:
+        self.by.setdefault(xxhash.xxh3_64_intdigest(repr(doc[0])) % self.buckets, []).append((*doc, places))
+        self.size += len(places) + 32
+
+    def add_runs(self, owner: np.ndarray, place: np.ndarray, docs: list[tuple]) -> None:
+        """``owner`` ascends; ``docs`` are what it numbers."""
+        if len(owner):
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
+            raw = np.ascontiguousarray(place, np.uint32).tobytes()
+            ends = np.append(begins[1:], len(owner)) * 4
+            for o, b, e in zip(owner[begins].tolist(), (begins * 4).tolist(), ends.tolist(), strict=True):
+                self.add(docs[o], raw[b:e])
+
+    def add_load(self, load: bytes, ids: list, rows: list) -> None:
+        for doc, places in _opened(load, ids, rows):
+            self.add(doc, places)
+
+    def flush(self) -> Iterator[tuple]:
+        for bucket, held in self.by.items():
+            ids, rows, places = zip(*held, strict=True)
+            counts = np.array([len(p) // 4 for p in places], np.uint32)
+            yield bucket, True, zlib.compress(counts.tobytes() + b"".join(places), 1), ids, rows
+        self.by, self.size = {}, 0
+
+
+def _opened(load: bytes, ids: list, rows: list) -> Iterator[tuple]:
+    """((id, row), places) of a packed load."""
+    body, at = zlib.decompress(load), 4 * len(ids)
+    for i, r, n in zip(ids, rows, np.frombuffer(body, np.uint32, len(ids)).tolist(), strict=True):
+        yield (i, r), body[at : at + 4 * n]
+        at += 4 * n
+
+
+_SCHEMA = "bucket int, settled boolean, load binary, ids array<{0}>, rows array<long>"
 
 
 def _batches(rows: Iterable[tuple], kind: pa.DataType, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -147,76 +183,91 @@ def _batches(rows: Iterable[tuple], kind: pa.DataType, limit: int = 8 << 20) ->
         yield batch()
 
 
-def _repeated(dealt: DataFrame, width: int, kind: str) -> DataFrame:
-    """Places whose digest another record of the bucket has too, and settled ones; rows come by bucket."""
-    id_type = dealt.schema["ids"].dataType.elementType
+def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> DataFrame:
+    """(id, rows, loads): the places of each id whose digest occurs twice, as parallel arrays by row."""
+    id_type = packed.schema["ids"].dataType.elementType
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        def settle(loads: list) -> Iterator[tuple]:
+        def settle(loads: list, mail: _Mail) -> None:
             parts = [_unpack(load, width) for load, _, _ in loads]
-            digest = np.concatenate([p[0] for p in parts])
-            known = np.concatenate([p[1] for p in parts])
-            order = np.lexsort(tuple(digest.T))
-            ranked = digest[order]
-            same = (ranked[1:] == ranked[:-1]).all(axis=1)
+            digest, known = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order, same = _ranked(digest)
             hit = np.zeros(len(digest), bool)
             hit[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
             hit &= ~known
-            at = 0
-            for (_, _, which, place), (_, ids, rows) in zip(parts, loads, strict=True):
-                own = np.flatnonzero(hit[at : at + len(which)])
-                at += len(which)
-                yield from _by_owner(which[own], place[own], list(zip(ids, rows, strict=True)))
+            sizes = [len(ids) for _, ids, _ in loads]
+            shift = np.repeat(np.cumsum([0, *sizes[:-1]]), [len(p[2]) for p in parts])
+            owner = np.concatenate([p[2] for p in parts]) + shift
+            docs = [d for _, ids, rows in loads for d in zip(ids, rows, strict=True)]
+            mail.add_runs(owner[hit], np.concatenate([p[3] for p in parts])[hit], docs)
 
         def results() -> Iterator[tuple]:
-            held, now = [], None
+            held, now, mail = [], None, _Mail(partitions)
             for batch in batches:
                 for bucket, settled, load, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if settled:
-                        yield None, True, load, ids, rows
-                        continue
-                    if bucket != now and held:
-                        yield from settle(held)
-                        held = []
-                    now = bucket
-                    held.append((load, ids, rows))
+                        mail.add_load(load, ids, rows)
+                    else:
+                        if bucket != now and held:
+                            settle(held, mail)
+                            held = []
+                        now = bucket
+                        held.append((load, ids, rows))
+                    if mail.size >= _MAIL:
+                        yield from mail.flush()
             if held:
-                yield from settle(held)
+                settle(held, mail)
+            yield from mail.flush()
 
         yield from _batches(results(), to_arrow_type(id_type))
 
-    return dealt.mapInArrow(run, _table(kind))
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
 
+        types = (to_arrow_type(id_type), pa.list_(pa.int64()), pa.list_(pa.binary()))
 
-def _dealt(packed: DataFrame, partitions: int) -> DataFrame:
-    """Loads by bucket. A bucket is one of a few a task has, and its size is that of its share of the words."""
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                cols = list(held), [list(v) for v in held.values()], [[b"".join(x) for x in v.values()] for v in held.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "rows", "loads"])
 
+        held: dict = {}
+        now = None
+        for batch in batches:
+            for bucket, _, load, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from done()
+                    held, now = {}, bucket
+                for (i, r), places in _opened(load, ids, rows):
+                    held.setdefault(i, {}).setdefault(r, []).append(places)
+        yield from done()
 
-def _places(settled: DataFrame) -> DataFrame:
-    """(id, row, at): all places of a document, as packed uint32 pieces."""
-    flat = settled.select(F.col("ids")[0].alias("id"), F.col("rows")[0].alias("row"), "load")
-    return flat.groupBy("id", "row").agg(F.collect_list("load").alias("at"))
+    by = lambda df: df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    mailed = by(packed).mapInArrow(match, _SCHEMA.format(kind))
+    return by(mailed).mapInArrow(gather, f"id {kind}, rows array<long>, loads array<binary>")
 
 
 def _with_places(source: DataFrame, hits: DataFrame, how: str) -> DataFrame:
     """Documents with their places; both joins of a query deal the texts alike, so that is done once."""
-    return source.alias("s").join(
-        hits.alias("h"), (F.col("s.row") == F.col("h.row")) & F.col("s.id").eqNullSafe(F.col("h.id")), how
-    ).select("s.id", "s.row", "s.body", "h.at")
+    return source.alias("s").join(hits.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")), how).select(
+        "s.id", "s.row", "s.body", "h.rows", "h.loads"
+    )
 
 
-def _marks(pieces: list[bytes], n: int) -> np.ndarray:
+def _marks(row: int | None, rows: list[int], loads: list[bytes], n: int) -> np.ndarray:
+    """Which of a document's ``n`` words are places; of those under other rows of its id, if ``row`` is given, none."""
     out = np.zeros(n, bool)
-    for piece in pieces:
-        out[np.frombuffer(piece, np.uint32)] = True
+    for r, load in zip(rows, loads, strict=True):
+        if row is None or r == row:
+            at = np.frombuffer(load, np.uint32)
+            out[at[at < n]] = True
     return out
 
 
 def repeated_windows(source: DataFrame, window: int) -> DataFrame:
-    """(id, row, at) of ``source(id, row, body)``: where windows start that start elsewhere too."""
+    """(id, rows, loads) of ``source(id, row, body)``: where windows start that start elsewhere too."""
     kind, id_type = dict(source.dtypes)["id"], source.schema["id"].dataType
     partitions = shuffle_partitions(source.sparkSession)
     buckets = 2 * partitions
@@ -226,12 +277,12 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         def results() -> Iterator[tuple]:
-            box = _Outbox(buckets, 7)
+            box = _Outbox(buckets, 6)
             for batch in batches:
-                for i, r, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for i, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     at, digest = anchor_hashes((body or b"").split(), window)
                     if len(at):
-                        box.put((i, r), at, digest)
+                        box.put((i, 0), at, digest[:, None])
                     if box.size >= _CHUNK:
                         yield from box.flush()
             yield from box.flush()
@@ -242,13 +293,15 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_type
 
         def results() -> Iterator[tuple]:
-            box = _Outbox(buckets, 12)
+            box = _Outbox(buckets, 10)
             for batch in batches:
-                for i, r, body, pieces in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    words = body.split()
-                    text, starts = word_spans(words)
-                    sums = np.concatenate(([0], np.cumsum(_marks(pieces, len(words)))))
+                for i, r, body, rows, loads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    words = (body or b"").split()
                     n = len(words) - window + 1
+                    if n < 1:
+                        continue
+                    text, starts = word_spans(words)
+                    sums = np.concatenate(([0], np.cumsum(_marks(None, rows, loads, len(words)))))
                     at = np.flatnonzero(sums[np.arange(n) + period] > sums[:n])
                     ends = (starts[at + window] - 1).tolist()
                     got = [xxhash.xxh3_128_digest(text[b:e]) for b, e in zip(starts[at].tolist(), ends, strict=True)]
@@ -261,21 +314,19 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
 
         yield from _batches(results(), to_arrow_type(id_type))
 
-    first = source.mapInArrow(anchors, _table(kind))
-    hits = _places(_repeated(_dealt(first, partitions), 7, kind))
-    second = _with_places(source, hits, "inner").mapInArrow(windows, _table(kind))
-    return _places(_repeated(_dealt(second, partitions), 12, kind))
+    hits = _repeated(source.mapInArrow(anchors, _SCHEMA.format(kind)), 6, partitions, kind)
+    near = _with_places(source, hits, "inner")
+    return _repeated(near.mapInArrow(windows, _SCHEMA.format(kind)), 10, partitions, kind)
 
 
 def _strip(window: int):
-    def run(bodies: pa.Array, pieces: pa.Array) -> pa.Array:
+    def run(row: pa.Array, bodies: pa.Array, rows: pa.Array, loads: pa.Array) -> pa.Array:
         total, gone, kept = [], [], []
-        for body, piece in zip(bodies.to_pylist(), pieces.to_pylist(), strict=True):
+        for own, body, others, places in zip(*(c.to_pylist() for c in (row, bodies, rows, loads)), strict=True):
             words = (body or b"").split()
             n = len(words)
-            if piece:
-                at = _marks(piece, n)
-                sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(at)))
+            if others:
+                sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(_marks(own, others, places, n))))
                 stays = np.flatnonzero(sums[window:] == sums[:-window])
                 words = [words[k] for k in stays.tolist()]
             total.append(n)
@@ -294,8 +345,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A word goes if a window of ``window`` words over it has a sequence that also starts anywhere else. Anchors
     are hashed only at cover positions modulo a period: two equal windows share an anchor at the same inner
-    place, wherever they start. Windows over an anchor that occurs twice are then compared whole, by 96 bits
-    of hash; anchors alone decide nothing. Null texts have no words; texts shorter than a window keep all;
+    place, wherever they start. Windows over an anchor that occurs twice are then compared whole, by 80 bits
+    of hash and the bucket; anchors alone decide nothing. Null texts have no words; texts shorter than a window keep all;
     rows that are equal in id and text are each other's copies; null ids are kept.
     """
     if window < 2:
@@ -306,4 +357,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     joined = _with_places(source, repeated_windows(source, window), "left")
     strip = F.arrow_udf(_strip(window), "struct<n_words:long,n_removed:long,kept:binary>")
-    return joined.select("id", strip("body", "at").alias("words"))
+    return joined.select("id", strip("row", "body", "rows", "loads").alias("words"))
