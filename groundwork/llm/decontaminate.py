@@ -207,24 +207,48 @@ def contamination(
     id; rows of one document id are searched each.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
-    listed = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("body"))
-    item_type, kind = listed.schema["item"].dataType, dict(source.dtypes)["id"]
-    held, out = [], None
+    item_type, kind = benchmark.schema[item_col].dataType, dict(source.dtypes)["id"]
+    out = None
+    for items in _blocks(benchmark, item_col, item_text_col, block_items, similarity, walks, samples, places):
+        found = _found(source, items, kind, item_type)
+        out = found if out is None else out.union(found)
+    return out
 
-    def block() -> DataFrame:
-        items = Items([r[0] for r in held], [bytes(r[1]) for r in held], similarity, walks, samples, places)
-        return _found(source, items, kind, item_type)
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int, *how) -> Iterator[Items]:
+    """The benchmark in blocks of bounded size; one without items if it is empty."""
+    listed = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").cast("binary").alias("body"))
+    held, any_yet = [], False
     for row in listed.where("body is not null").toLocalIterator():
         held.append(row)
-        if len(held) >= block_items:
-            out, held = (block() if out is None else out.union(block())), []
-    if held or out is None:
-        out = block() if out is None else out.union(block())
-    return out
+        if len(held) >= size:
+            yield Items([r[0] for r in held], [bytes(r[1]) for r in held], *how)
+            held, any_yet = [], True
+    if held or not any_yet:
+        yield Items([r[0] for r in held], [bytes(r[1]) for r in held], *how)
+
+
+def decontaminated(
+    df: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    similarity: float = 0.8,
+    walks: int = 4,
+    samples: int = 12,
+    places: int = 3,
+    block_items: int = 20_000,
+) -> DataFrame:
+    """The rows of ``df`` that hold no near copy of a benchmark item; all columns pass through, nothing is shuffled."""
+    for items in _blocks(benchmark, item_col, item_text_col, block_items, similarity, walks, samples, places):
+        clean = F.arrow_udf(_clean(df.sparkSession.sparkContext.broadcast(items)), "boolean")
+        df = df.where(clean(F.col(text_col).cast("string").cast("binary")))
+    return df
+
 
+def _clean(shared):
+    def run(bodies: pa.Array) -> pa.Array:
+        return pa.array([not shared.value.search(hashes_of(words_of(b))) for b in bodies.to_pylist()], pa.bool_())
 
-def decontaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that hold no near copy of an item; rows with a null id stay unless null is found."""
-    bad = contamination(df, benchmark, id_col, **options).select(F.col("id").alias("__hit")).distinct()
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+    return run

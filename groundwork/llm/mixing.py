@@ -104,18 +104,17 @@ def fit_classifier(
     return Classifier(list(domains), [r["token"] for r in best], weights)
 
 
-def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens, p array<double>): words and domain posteriors of every document, over the whole text."""
-    text = F.col("body")
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
-    split = read.select("id", words_of(text).alias("words"), symbols_of(text).alias("symbols"))
+def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """``docs`` with tokens and p array<double> added: words and domain posteriors, over the whole text."""
+    text, kept = F.col(text_col).cast("string"), docs.columns
+    split = docs.select(*kept, words_of(text).alias("__words"), symbols_of(text).alias("__symbols"))
     scored = split.select(
-        "id", word_count(F.col("words")).alias("tokens"), model.scores(F.concat("words", "symbols")).alias("scores")
+        *kept, word_count(F.col("__words")).alias("tokens"), model.scores(F.concat("__words", "__symbols")).alias("__scores")
     )
-    top = scored.select("id", "tokens", "scores", F.array_max("scores").alias("top"))
-    raw = top.select("id", "tokens", F.transform("scores", lambda x: F.exp(x - F.col("top"))).alias("raw"))
-    whole = raw.select("id", "tokens", "raw", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x).alias("whole"))
-    return whole.select("id", "tokens", F.transform("raw", lambda x: x / F.col("whole")).alias("p"))
+    top = scored.select(*kept, "tokens", "__scores", F.array_max("__scores").alias("__top"))
+    raw = top.select(*kept, "tokens", F.transform("__scores", lambda x: F.exp(x - F.col("__top"))).alias("__raw"))
+    whole = raw.select(*kept, "tokens", "__raw", F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x).alias("__whole"))
+    return whole.select(*kept, "tokens", F.transform("__raw", lambda x: x / F.col("__whole")).alias("p"))
 
 
 def rate_of(p: Column, history: list[list[float]]) -> Column:
@@ -185,11 +184,37 @@ def mixing_rates(
     """
     names = list(targets)
     model = fit_classifier(docs, labels, domain, names, id_col, text_col, **bounds)
-    members = checkpointed(memberships(docs, model, id_col, text_col))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    members = checkpointed(memberships(texts, model, "body").drop("body"))
     history = fit_rates(members, [targets[d] for d in names])
     return members.withColumn("rate", rate_of(F.col("p"), history))
 
 
+def mixed(
+    docs: DataFrame,
+    labels: DataFrame,
+    domain: Column,
+    targets: dict[str, float],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    **bounds: int,
+) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``mix_rate`` and ``mix_copies`` added; see ``mixing_rates``.
+
+    Rates follow from a text and the few numbers of the fit, so texts are scored once more instead of being
+    shuffled. Rows of no copies leave; a row isn't repeated but says how often it counts.
+    """
+    names, columns = list(targets), docs.columns
+    model = fit_classifier(docs, labels, domain, names, id_col, text_col, **bounds)
+    texts = docs.select(F.col(text_col).alias("body"))
+    history = fit_rates(checkpointed(memberships(texts, model, "body").drop("body")), [targets[d] for d in names])
+    renamed = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
+    at = {c: f"c{k}" for k, c in enumerate(columns)}
+    rated = memberships(renamed, model, at[text_col]).withColumn("mix_rate", rate_of(F.col("p"), history))
+    taken = rated.withColumn("mix_copies", copies_of(F.col("mix_rate"), F.col(at[id_col]))).where("mix_copies > 0")
+    return taken.select(*(F.col(at[c]).alias(c) for c in columns), "mix_rate", "mix_copies")
+
+
 def copies_of(rate: Column, key: Column) -> Column:
     """A whole number of copies whose mean over documents is the rate: a hash of the id rounds it up or down."""
     return F.floor(rate + F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 20)) / float(1 << 20)).cast("long")

@@ -196,24 +196,40 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = dict(df.select(F.col(id_col).alias("id")).dtypes)["id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = shared.value
-        if _STATES.get("of") is not ppm:
-            _STATES.update(of=ppm, table=ppm.states())
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bodies = [b or b"" for b in batch.column(1).to_pylist()]
-            known = np.array([bool(ppm.labels) and has_letter(b) for b in bodies])
-            best, score, bits = np.zeros(len(bodies), int), np.zeros(len(bodies)), np.zeros(len(bodies))
-            if known.any():
-                got = ppm.lengths([b if k else b"" for b, k in zip(bodies, known, strict=True)], _STATES["table"])
-                best, bits = got.argmin(1), got.min(1)
-                score = np.where(known, 1 / np.exp2(np.maximum(bits[:, None] - got, -1000)).sum(1), 0)
-            names = [ppm.labels[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(bits), pa.array([len(b) for b in bodies], pa.int64())],
-                ["id", "label", "score", "bits", "bytes"],
-            )
+            if batch.num_rows:
+                columns = _judged(shared.value, batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *_FIELDS])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
     return source.mapInArrow(run, f"id {kind}, label string, score double, bits double, bytes long")
+
+
+_FIELDS = ("label", "score", "bits", "bytes")
+
+
+def _judged(ppm: Model, raw: list[bytes | None]) -> list[pa.Array]:
+    """label, score, bits and bytes of texts."""
+    if _STATES.get("of") is not ppm:
+        _STATES.update(of=ppm, table=ppm.states())
+    bodies = [b or b"" for b in raw]
+    known = np.array([bool(ppm.labels) and has_letter(b) for b in bodies], bool)
+    best, score, bits = np.zeros(len(bodies), int), np.zeros(len(bodies)), np.zeros(len(bodies))
+    if known.any():
+        got = ppm.lengths([b if k else b"" for b, k in zip(bodies, known, strict=True)], _STATES["table"])
+        best, bits = got.argmin(1), got.min(1)
+        score = np.where(known, 1 / np.exp2(np.maximum(bits[:, None] - got, -1000)).sum(1), 0)
+    names = [ppm.labels[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+    sizes = pa.array([len(b) for b in bodies], pa.int64())
+    return [pa.array(names, pa.string()), pa.array(score), pa.array(bits), sizes]
+
+
+def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
+    """``df`` with a struct column of what ``predict`` gives; all other columns pass through."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(bodies: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_judged(shared.value, bodies.to_pylist()), list(_FIELDS))
+
+    judge = F.arrow_udf(run, "struct<label:string,score:double,bits:double,bytes:long>")
+    return df.withColumn(name, judge(F.col(text_col).cast("string").cast("binary")))

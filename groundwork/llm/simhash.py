@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -18,6 +19,15 @@ BITS = 64
 _STEP = 1 << 16
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of an (n, words) uint64 array have each bit set."""
+    raw = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    out = np.zeros(raw.shape[1] * 8, np.int64)
+    for at in range(0, len(raw), 255):  # sums of 255 bits fit in a byte, which keeps the additions wide
+        out += np.add.reduce(np.unpackbits(raw[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return out
+
+
 def fingerprint(body: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """Unsigned SimHash of the XXH64 of all word shingles; bit set if set in over half of them.
 
@@ -35,8 +45,7 @@ def fingerprint(body: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     for at in range(0, total, _STEP):  # very long texts stay within bounded memory
         part = words[at : min(at + _STEP, total) + shingle - 1]
         grams = zip(*(part[k:] for k in range(shingle)), strict=False)
-        h = np.array([hashed(b" ".join(g), seed) for g in grams], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += bit_sums(np.array([hashed(b" ".join(g), seed) for g in grams], np.uint64)[:, None])
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
@@ -107,3 +116,147 @@ def near_duplicates(
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return docs.join(rooted.select("fp", "root").join(named, "root"), "fp").select("id", "fp", "component")
+
+
+#: Bits of a table's part of the word sketch, tables, and bits of the shingle sketch that links are verified on.
+TABLE_BITS, TABLES, WIDE = 32, 4, 512
+_LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(WIDE // 64)], np.uint64)
+
+
+def sketches(words: list[bytes], shingle: int = 5) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(128-bit digest of the words, 2 words of SimHash over distinct words, 8 of SimHash over shingles)."""
+    if not words:
+        return xxhash.xxh3_128_digest(b""), np.zeros(2, np.uint64), np.zeros(WIDE // 64, np.uint64)
+    distinct = set(words)
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
+    narrow = np.packbits(bit_sums(hashed) * 2 > len(distinct), bitorder="little").view(np.uint64)
+    total = max(1, len(words) - shingle + 1)
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, total, _STEP):
+        part = words[at : min(at + _STEP, total) + shingle - 1]
+        grams = zip(*(part[k:] for k in range(min(shingle, len(part)))), strict=False)
+        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(g)) for g in grams], np.uint64)[:, None] * _LANES
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        ones += bit_sums(h ^ (h >> np.uint64(32)))
+    wide = np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)
+    return xxhash.xxh3_128_digest(b" ".join(words)), narrow, wide
+
+
+def allowed_bits(similarity: float) -> int:
+    """Differing bits of the shingle sketch that a pair of this Jaccard similarity stays within, two deviations given."""
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(WIDE * (angle + 2 * math.sqrt(angle * (1 - angle) / WIDE)))
+
+
+def _sketched(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    source = id_and_bytes(df, id_col, text_col)
+    kind = dict(source.dtypes)["id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketches((b or b"").lower().split(), shingle) for b in batch.column(1).to_pylist()]
+            if got:
+                digests, narrow, wide = zip(*got, strict=True)
+                flat = np.concatenate(wide).view(np.int64)
+                edges = np.arange(len(got) + 1, dtype=np.int32) * (WIDE // 64)
+                pair = np.stack(narrow).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(digests, pa.binary()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))],
+                    ["id", "digest", "s0", "s1", "wide"],
+                )
+
+    return source.mapInArrow(run, f"id {kind}, digest binary, s0 long, s1 long, wide array<long>")
+
+
+def _table_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, other) of (id, s0, s1): each table's part and all parts one bit from it, with the sketch's other half."""
+    masks = np.concatenate(([0], 1 << np.arange(TABLE_BITS, dtype=np.int64)))
+    for batch in batches:
+        halves = [batch.column(1).to_numpy(), batch.column(2).to_numpy()]
+        for table in range(TABLES):
+            mine, other = halves[table // 2], halves[1 - table // 2]
+            part = (mine >> (TABLE_BITS * (table % 2))) & ((1 << TABLE_BITS) - 1)
+            keys = ((part[:, None] ^ masks) | (table << TABLE_BITS)).ravel()
+            at = np.repeat(np.arange(len(part)), len(masks))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), batch.column(0).take(pa.array(at)), pa.array(other[at])], ["key", "id", "other"]
+            )
+
+
+def _leaders(near: int, id_type):
+    """Edges from the members of a key to the first member whose other half is near; rows come sorted by key and id."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kind = to_arrow_type(id_type)
+        now, heads, head_ids = None, np.zeros(0, np.uint64), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, other = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            begins = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            ends = np.append(begins[1:], len(key))
+            shared = (ends - begins > 1) | (begins == 0) | (ends == len(key))
+            us, vs = [], []
+            for b, e in zip(begins[shared].tolist(), ends[shared].tolist(), strict=True):
+                if now is None or int(key[b]) != now:
+                    now, heads, head_ids = int(key[b]), np.zeros(0, np.uint64), []
+                left = np.arange(b, e)
+                for k in range(len(heads)):
+                    close = np.bitwise_count(other[left] ^ heads[k]) <= near
+                    vs += left[close].tolist()
+                    us += [head_ids[k]] * int(close.sum())
+                    left = left[~close]
+                while len(left):
+                    head = other[left[0]]
+                    heads, head_ids = np.append(heads, head), [*head_ids, batch.column(1)[int(left[0])].as_py()]
+                    close = np.bitwise_count(other[left[1:]] ^ head) <= near
+                    vs += left[1:][close].tolist()
+                    us += [head_ids[-1]] * int(close.sum())
+                    left = left[1:][~close]
+            if vs:
+                yield pa.RecordBatch.from_arrays([pa.array(us, kind), batch.column(1).take(pa.array(vs))], ["u", "v"])
+
+    return run
+
+
+def near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(id, component), one row per row of ``df``: groups of texts of about ``similarity`` or more on word shingles.
+
+    At this similarity 64-bit fingerprints of shingles lie some ten bits apart, too far for a ball. Candidates
+    come from SimHash over distinct words, of which a changed word spoils one instead of five: four parts of 32
+    bits, each emitting all variants within one bit, so parts within two bits meet. Members of a variant are
+    linked to its first member whose other half is near, and each distinct link is verified on 512 bits of
+    SimHash over shingles, within what the similarity implies and two standard deviations. Equal texts, A-Z and
+    white space aside, are one vertex, all texts without words another. Null ids are kept, repeated rows stay.
+    """
+    docs = checkpointed(_sketched(df, id_col, text_col, shingle))
+    picked = docs.groupBy("digest").agg(F.min("id").alias("vertex"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("wide").alias("wide"))
+    vertices = checkpointed(picked)
+    kind = dict(vertices.dtypes)["vertex"]
+    real = vertices.where(F.col("vertex").isNotNull())
+    rows = real.select("vertex", "s0", "s1").mapInArrow(_table_rows, f"key long, id {kind}, other long")
+    dealt = rows.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key", "id")
+    leaders = _leaders(16, vertices.schema["vertex"].dataType)
+    pairs = dealt.mapInArrow(leaders, f"u {kind}, v {kind}").where("u <> v").distinct()
+    wide = real.groupBy("vertex").agg(F.min("wide").alias("wide"))
+    both = pairs.join(wide.select(F.col("vertex").alias("u"), F.col("wide").alias("a")), "u").join(
+        wide.select(F.col("vertex").alias("v"), F.col("wide").alias("b")), "v"
+    )
+    bits = F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
+    roots = connected_components(both.where(apart <= allowed_bits(similarity)).select("u", "v"))
+    named = vertices.select("digest", "vertex").join(roots.withColumnRenamed("u", "vertex"), "vertex", "left")
+    return docs.select("id", "digest").join(named.select("digest", F.coalesce("root", "vertex").alias("component")), "digest").select("id", "component")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without near copies: of every group the document of the least id, once. Rows of null id stay."""
+    groups = near_copies(df, id_col, text_col, **options)
+    kept = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("__keep")).distinct()
+    left = df.join(kept, F.col(id_col) == F.col("__keep")).drop("__keep").dropDuplicates([id_col])
+    return left.unionByName(df.where(F.col(id_col).isNull()))
