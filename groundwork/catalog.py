@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import grounding as g
+from .plans import audit as plan
+from .plans import orders
+from .runtime import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def flagship(spark, sf_dir):
-    """Placeholder until the audit plan is wired."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").limit(1)
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full audit of the order answers: one report row each."""
+    return plan.audit(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir), plain=False)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a folder."""
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared checkpoint folder; a folder is made only where none is set."""
+    sc = df.sparkSession.sparkContext
+    importable(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundwork-"))
+    return df.checkpoint(eager=True)
