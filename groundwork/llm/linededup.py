@@ -220,5 +220,6 @@ def line_dedup(
     text = F.col(text_col).cast("string")
     tagged = df.withColumn("__key", F.xxhash64(F.col(id_col), text))
     joined = tagged.join(maps, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    apply = F.arrow_udf(_apply, "struct<n_lines:long,n_dropped:long,kept:binary>")
+    # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
+    apply = F.arrow_udf(_apply, "struct<n_lines:long,n_dropped:long,kept:binary>").asNondeterministic()
     return joined.withColumn("lines", apply(text.cast("binary"), F.col("__keep"))).drop("__key", "__id", "__row", "__keep")

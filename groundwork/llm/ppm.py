@@ -231,5 +231,6 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str
     def run(bodies: pa.Array) -> pa.Array:
         return pa.StructArray.from_arrays(_judged(shared.value, bodies.to_pylist()), list(_FIELDS))
 
-    judge = F.arrow_udf(run, "struct<label:string,score:double,bits:double,bytes:long>")
+    # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
+    judge = F.arrow_udf(run, "struct<label:string,score:double,bits:double,bytes:long>").asNondeterministic()
     return df.withColumn(name, judge(F.col(text_col).cast("string").cast("binary")))
