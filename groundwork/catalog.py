@@ -27,3 +27,391 @@ def query(sql: str | None = None):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full audit of the order answers: one report row each."""
     return plan.audit(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir), plain=False)
+
+
+# --- direct twins over the natural tables -------------------------------------------------------------------------
+
+
+@query("select doc_id, 'sha256:' || sha256(text) as content_hash from documents")
+def content_hash_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", plan.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query(r"""
+select doc_id, case when regexp_matches(text, '[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}]') then 'ja'
+  when regexp_matches(text, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]') then 'zh'
+  when regexp_matches(text, '[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]') then 'en' else 'und' end as script
+from documents
+""")
+def script_of_documents(spark, sf_dir):
+    """SEG8 with expressions alone."""
+    text = F.col("text")
+    script = (
+        F.when(text.rlike(r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}]"), "ja")
+        .when(text.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"), "zh")
+        .when(text.rlike(r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"), "en")
+        .otherwise("und")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", script.alias("script"))
+
+
+@query(r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as raw from documents),
+t as (select doc_id, trim(raw, ' ' || chr(9) || chr(13)) as line from l),
+k as (select doc_id, case when regexp_matches(line, '^#+ ') then 'heading' when line like '|%' then 'table_row' when line like '>%' then 'quote'
+  when regexp_matches(line, '^(- |\* |\+ |・|‐ |— )') or regexp_matches(line, '^[0-9]+[.)、．]( |$)') then 'list_item' else 'prose' end as kind
+  from t where line <> '')
+select kind, count(*)::bigint as lines, count(distinct doc_id)::bigint as documents from k group by kind
+""")
+def line_kinds_documents(spark, sf_dir):
+    """SEG2 and SEG3 over every line that isn't blank."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
+    line = F.col("line")
+    kind = (
+        F.when(line.rlike("^#+ "), "heading").when(F.startswith(line, F.lit("|")), "table_row").when(F.startswith(line, F.lit(">")), "quote")
+        .when(line.rlike(r"^(- |\* |\+ |・|‐ |— )") | line.rlike("^[0-9]+[.)、．]( |$)"), "list_item").otherwise("prose")
+    )
+    named = lines.withColumn("line", F.trim("raw", F.lit(" \t\r"))).where("line <> ''").withColumn("kind", kind)
+    return named.groupBy("kind").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("documents"))
+
+
+def _document_segments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return g.segments(docs, "text")
+
+
+@query()
+def segments_documents(spark, sf_dir):
+    """SEG1-SEG9, EXT1-EXT5 over whole documents."""
+    segs = _document_segments(spark, sf_dir)
+    return segs.select("doc_id", "seg", "start", "end", "kind", "script", "boundary", F.size("tokens").cast("long").alias("tokens"))
+
+
+@query("select cast(0 as bigint) as doc_id, 0 as seg, 'x' as problem where false")
+def segment_tiling_violations(spark, sf_dir):
+    """WIN6, PRJ14: segments are in order, slice back, don't overlap and leave only white space between them."""
+    from pyspark.sql import Window
+
+    segs = _document_segments(spark, sf_dir)
+    before = Window.partitionBy("doc_id").orderBy("seg")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = segs.withColumn("prior", F.coalesce(F.lag("end").over(before), F.lit(0))).join(docs, "doc_id")
+    gap = F.substring("text", F.col("prior") + 1, F.col("start") - F.col("prior"))
+    problem = (
+        F.when(F.col("start") < F.col("prior"), "overlap").when(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("body"), "slice")
+        .when(~gap.rlike(r"^[\s\x1c-\x1f\x85\xa0]*$"), "gap")
+    )
+    return rows.withColumn("problem", problem).where("problem is not null").select("doc_id", "seg", "problem")
+
+
+@query()
+def fallback_share_documents(spark, sf_dir):
+    """SEG9: share of a document's characters in segments cut at line ends."""
+    chars = F.col("end") - F.col("start")
+    segs = _document_segments(spark, sf_dir).groupBy("doc_id").agg(
+        F.sum(F.when(F.col("boundary") == "line", chars).otherwise(0)).alias("by_line"), F.sum(chars).alias("chars")
+    )
+    return segs.select("doc_id", "by_line", "chars", F.try_divide("by_line", "chars").alias("share"))
+
+
+@query()
+def extract_by_kind_documents(spark, sf_dir):
+    segs = _document_segments(spark, sf_dir)
+    return segs.select(F.explode("tokens").alias("t")).groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(r"""
+with r as (select doc_id, unnest(regexp_extract_all(text, '[0-9０-９](?:[0-9０-９.,]*[0-9０-９])?')) as run from documents)
+select doc_id, cast(count(*) filter (where length(run) > 16) as bigint) as runs, cast(max(length(run)) as bigint) as longest from r group by doc_id
+""")
+def oversized_runs_documents(spark, sf_dir):
+    """PRT2, with a limit that the documents reach."""
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", g.oversized_runs(F.col("text"), 16).alias("long"), g.oversized_runs(F.col("text"), 0).alias("every"))
+    return both.where(F.size("every") > 0).select("doc_id", F.size("long").cast("long").alias("runs"), F.array_max("every").cast("long").alias("longest"))
+
+
+@query("""
+with made as (select doc_id, 'note <PERSON_' || (doc_id % 7) || '> and [IBAN_' || doc_id || '] end' as text from documents)
+select doc_id, '<PERSON_' || (doc_id % 7) || '>' as token, 5 as start, (14 + length((doc_id % 7)::varchar)) as "end" from made
+union all
+select doc_id, '[IBAN_' || doc_id || ']', 19 + length((doc_id % 7)::varchar), (26 + length((doc_id % 7)::varchar) + length(doc_id::varchar)) from made
+""")
+def placeholder_scan(spark, sf_dir):
+    """PRT1 with offsets, over texts made from ids."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("note <PERSON_"), (F.col("doc_id") % 7).cast("string"), F.lit("> and [IBAN_"), F.col("doc_id").cast("string"), F.lit("] end"))
+    found = docs.select("doc_id", F.explode(g.placeholders(text)).alias("p")).select("doc_id", "p.*")
+    return found.select("doc_id", "token", "start", F.col("end").cast("long").alias("end"), ).withColumn("start", F.col("start").cast("long"))
+
+
+@query("""
+with pairs as (select conv_id, max(case when role = 'user' then text end) as q, max(case when role = 'assistant' then text end) as a,
+  list(text order by turn) as c from conversations group by conv_id)
+select conv_id, q is not null as has_question, cast(len(list_filter(c, lambda x: trim(x) <> '')) as bigint) as contexts,
+  case when a is null then 'the sample has no answer' end as refused from pairs
+""")
+def sample_alias_resolution(spark, sf_dir):
+    """SRC10, SRC11: conversations as samples under one of the usual sets of names."""
+    from .sources import samples
+
+    talk = table(spark, sf_dir, "conversations")
+    made = talk.groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user_input"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("response"),
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("retrieved_contexts"),
+    )
+    got = samples.resolve(made, "conv_id")
+    return got.select(F.col("audit").alias("conv_id"), F.col("question").isNotNull().alias("has_question"), F.size("contexts").cast("long").alias("contexts"), "refused")
+
+
+@query("""
+select item_id, cast(count(*) as bigint) as documents from benchmark b join documents d on contains(d.text, b.text) group by item_id
+""")
+def benchmark_in_documents(spark, sf_dir):
+    """MAT3-style containment: the benchmark, of bounded size here, against all documents, by the longest word first."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return docs.select("text").join(F.broadcast(items.select("item_id", F.col("text").alias("needle"))), F.contains("text", "needle")).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+# --- the audit of the order answers, against what the columns say -----------------------------------------------------
+
+_BASE = """
+with line as (select l_orderkey as pkg, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as item, cast(l_quantity as int) as q, strftime(l_shipdate, '%Y-%m-%d') as d,
+    cast(cast(l_extendedprice as decimal(15,2)) as varchar) as p from lineitem),
+first as (select pkg, arg_min(q, item) as q, arg_min(d, item) as d, arg_min(p, item) as p, pkg % 10 as k from line group by pkg),
+facts as (select f.*, (select count(*) from line l where l.pkg = f.pkg and l.q = f.q) as same_q,
+    (select count(*) from line l where l.pkg = f.pkg and l.d = f.d) as same_d,
+    (select count(*) from line l where l.pkg = f.pkg and l.p = f.p) as same_p from first f),
+token as (
+    select pkg, 0 as seg, 0 as tok, 'quantity' as kind, q || ' kg' as text, same_q as places from facts where k in (0, 6, 8)
+    union all select pkg, 0, 0, 'quantity', (q + 700) || ' kg', 0 from facts where k = 1
+    union all select pkg, 0, 0, 'quantity', q || ' mg', 0 from facts where k = 2
+    union all select pkg, 0, 0, 'date', d, same_d from facts where k = 3
+    union all select pkg, 0, 1, 'money', '$' || p, same_p from facts where k = 3
+    union all select pkg, 0, 0, 'date', '1901-02-03', 0 from facts where k = 4
+    union all select pkg, 1, 0, 'date', d, same_d from facts where k in (6, 8)
+    union all select pkg, 2, 0, 'number', '98765', 0 from facts where k = 6
+    union all select pkg, 2, 0, 'money', '$' || p, same_p from facts where k = 8
+    union all select pkg, 0, 0, 'quantity', (q + 900) || ' kg', 0 from facts where k = 9
+    union all select pkg, 0, 1, 'date', d, same_d from facts where k = 9),
+seg as (
+    select pkg, 0 as seg, case when k in (0, 3, 6, 8) then 'grounded' when k in (1, 4, 9) then 'floating'
+      when k = 2 then (case when same_q = 1 then 'contradicted' else 'floating' end) when k = 5 then 'unbearing' else 'unchecked' end as verdict from facts
+    union all select pkg, 1, case when k = 9 then 'unbearing' else 'grounded' end from facts where k in (6, 8, 9)
+    union all select pkg, 2, case when k = 6 then 'floating' else 'grounded' end from facts where k in (6, 8))
+"""
+
+
+def _audited(spark, sf_dir):
+    return plan.audited(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir))
+
+
+@query(_BASE + "select pkg as audit, seg, tok, kind, text, cast(places as bigint) as places from token")
+def locate_orders(spark, sf_dir):
+    """JN1, WIN1, WIN2, EXT1-EXT8: every token of every answer and in how many places of the evidence it stands."""
+    _, _, tokens = _audited(spark, sf_dir)
+    return tokens.select("audit", "seg", "tok", "kind", "text", F.size("locations").cast("long").alias("places"))
+
+
+@query(_BASE + "select pkg as audit, kind, text from token where places = 0")
+def floating_orders(spark, sf_dir):
+    _, _, tokens = _audited(spark, sf_dir)
+    return g.floating(tokens).select("audit", "kind", "text")
+
+
+@query(_BASE + "select pkg as audit, kind, text from token where places > 0")
+def grounded_orders(spark, sf_dir):
+    _, _, tokens = _audited(spark, sf_dir)
+    return g.grounded(tokens).select("audit", "kind", "text")
+
+
+@query(_BASE + "select pkg as audit, q || ' mg' as text, q || ' kg' as found from facts where k = 2 and same_q = 1")
+def contradicted_orders(spark, sf_dir):
+    """JN4, CON1, CON2, AGG9."""
+    _, _, tokens = _audited(spark, sf_dir)
+    return tokens.where("contradiction is not null").select("audit", "text", F.col("contradiction.text").alias("found"))
+
+
+@query(_BASE + """
+, near as (select f.pkg, l.q || ' kg' as text, row_number() over (partition by f.pkg order by l.item) as n from facts f join line l on l.pkg = f.pkg where f.k = 1)
+select pkg as audit, cast(n as bigint) as n, text from near where n <= 5
+""")
+def nearby_orders(spark, sf_dir):
+    """JN5, WIN3, for answers without any grounded token."""
+    _, _, tokens = _audited(spark, sf_dir)
+    rows = tokens.where(F.col("audit") % 10 == 1).select("audit", F.posexplode("nearby").alias("n", "x"))
+    return rows.select("audit", (F.col("n") + 1).cast("long").alias("n"), "x.text")
+
+
+@query(_BASE + "select pkg as audit, seg, verdict from seg")
+def verdicts_orders(spark, sf_dir):
+    """AGG1 by segment."""
+    _, segs, _ = _audited(spark, sf_dir)
+    return segs.select("audit", "seg", "verdict")
+
+
+@query(_BASE + "select " + ", ".join(f"cast(count(*) filter (where verdict = '{v}') as bigint) as {v}" for v in g.VERDICTS) + " from seg")
+def verdict_counts(spark, sf_dir):
+    """AGG2 over the dataset."""
+    _, segs, _ = _audited(spark, sf_dir)
+    return g.verdict_counts(segs)
+
+
+@query(_BASE + """
+, t as (select pkg, seg, count(*) as n, count(*) filter (where places > 0) as up from token group by pkg, seg)
+select s.pkg as audit, cast(count(*) as bigint) as segments, cast(count(t.n) as bigint) as bearing,
+  cast(count(*) filter (where verdict = 'unbearing') as bigint) as unbearing, cast(count(*) filter (where verdict = 'unchecked') as bigint) as unexamined,
+  cast(coalesce(sum(t.n), 0) as bigint) as particulars, cast(coalesce(sum(t.up), 0) as bigint) as grounded_tokens
+from seg s left join t on t.pkg = s.pkg and t.seg = s.seg group by s.pkg
+""")
+def coverage_orders(spark, sf_dir):
+    """AGG3-AGG5."""
+    _, segs, _ = _audited(spark, sf_dir)
+    return g.coverage(segs, "audit").select("audit", "segments", "bearing", "unbearing", "unexamined", "particulars", "grounded_tokens")
+
+
+@query(_BASE + """
+select cast((select count(*) from facts) as bigint) as answers, cast(count(distinct pkg) as bigint) as scored, cast(count(*) filter (where places > 0) as bigint) as grounded,
+  cast(count(*) filter (where places = 0) as bigint) as floating, count(*) filter (where places > 0) / count(*) as grounded_share from token
+""")
+def grounded_share_pooled(spark, sf_dir):
+    """AGG6: tokens are pooled, shares aren't averaged."""
+    return plan.pooled(flagship(spark, sf_dir))
+
+
+@query(_BASE + """
+select pkg as audit, seg, case when verdict = 'unchecked' then 'not_prose' else 'no_particulars' end as rule from seg where verdict in ('unbearing', 'unchecked')
+""")
+def skips_orders(spark, sf_dir):
+    """SET1, ORD2, AGG10's rows."""
+    _, segs, _ = _audited(spark, sf_dir)
+    return g.skips(segs).select("audit", "seg", "rule")
+
+
+_PARTS = "'groundwork.audit-report/1' || chr(10) || h || chr(10) || '' || chr(10) || '' || chr(10) || '{}' || chr(10) || '{}' || chr(10) || 'en,ja,und,zh' || chr(10) || 'normalized'"
+
+
+@query(
+    "with a as (select doc_id, 'sha256:' || sha256(text) as h from documents) select doc_id, 'sha256:' || sha256("
+    + _PARTS.format(",".join(plan.segmenters()), ",".join(plan.extractors())) + ") as report_id from a"
+)
+def report_id_documents(spark, sf_dir):
+    """HSH1, HSH2."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", plan.report_id(plan.content_hash(F.col("text")), F.lit(""), "").alias("report_id"))
+
+
+@query(_BASE + """
+, c as (select pkg, seg, tok, text from token where places = 0 and not (pkg % 10 = 2 and exists (select 1 from facts f where f.pkg = token.pkg and f.same_q = 1))
+  union all select pkg, seg, 0, null from seg where verdict = 'unbearing')
+select pkg as audit, cast(row_number() over (partition by pkg order by seg, tok) as int) as n, 'seg_00' || (seg + 1) as segment_id, text as particular,
+  cast(count(*) over (partition by pkg) as int) as total from c
+""")
+def claims_queue(spark, sf_dir):
+    """OP8, WIN4, AGG19."""
+    return plan.claims(flagship(spark, sf_dir)).select("audit", "n", "segment_id", "particular", "total")
+
+
+@query(_BASE + """
+, c as (select pkg, seg, tok, text from token where places = 0 and not (pkg % 10 = 2 and exists (select 1 from facts f where f.pkg = token.pkg and f.same_q = 1)))
+, s as (select c.pkg, c.seg, c.tok, c.text, l.item, (l.item % 4) / 4.0 as score from c join line l on l.pkg = c.pkg)
+, b as (select *, row_number() over (partition by pkg, seg, tok order by score desc, item) as r from s)
+select pkg as audit, text as particular, item, case when score >= 0.5 then 'supported' when score < 0.2 then 'unsupported' else 'unclear' end as standing from b where r = 1
+""")
+def nli_pairs_stub(spark, sf_dir):
+    """OP9, OP10, JN21, AGG16 with a scorer that is arithmetic."""
+    asked = plan.claims(flagship(spark, sf_dir)).where("particular is not null")
+    lines = orders.numbered_lines(spark, sf_dir)
+    contexts = lines.select(F.col("l_orderkey").alias("audit"), F.col("item").cast("long").alias("item"), F.col("item").cast("string").alias("premise"))
+    judged = plan.judge(asked, contexts, lambda premise, claim: (premise.cast("int") % 4) / 4.0)
+    return judged.select("audit", "particular", "item", "standing")
+
+
+@query("""
+select o_orderkey % 12 as grid, case when o_orderkey % 12 in (1, 3) then null when o_orderkey % 12 = 0 then 'the answer holds placeholders and nothing says it was protected' end as refused,
+  cast(count(*) as bigint) as n from orders where o_orderkey % 12 in (0, 1, 3) group by all
+union all select 2, null, cast(count(*) as bigint) from orders where o_orderkey % 12 = 2
+union all select 4, 'the answer is protected and nothing restored it', cast(count(*) as bigint) from orders where o_orderkey % 12 = 4
+union all select 5, null, cast(count(*) as bigint) from orders where o_orderkey % 12 = 5
+union all select 6, 'the restorer put nothing back', cast(count(*) as bigint) from orders where o_orderkey % 12 = 6
+union all select 7, null, cast(count(*) as bigint) from orders where o_orderkey % 12 = 7
+union all select 8, 'the package and the record disagree on the protection', cast(count(*) as bigint) from orders where o_orderkey % 12 = 8
+union all select 9, 'give a restorer or its name, not both', cast(count(*) as bigint) from orders where o_orderkey % 12 = 9
+""")
+def admission_outcomes(spark, sf_dir):
+    """OP2: a grid of protection, residue, restorer and record."""
+    k = F.col("o_orderkey") % 12
+    shield = lambda back: F.struct(F.lit("redactor").alias("by"), F.lit("names").alias("scope"), F.lit(back).alias("reversible"))
+    text = F.when(k.isin(0, 2, 4, 5, 6, 7), "Paid to <PERSON_1> today.").otherwise("Paid today.")
+    made = table(spark, sf_dir, "orders").where(k < 10).select(
+        k.alias("grid"), F.col("o_orderkey").alias("audit"), text.alias("answer"),
+        F.when(k == 2, shield(False)).when(k.isin(4, 5, 6, 7, 8), shield(True)).alias("protection"), F.when(k == 8, shield(False)).alias("record"),
+        F.when(k == 6, "Paid to <PERSON_1> today.").when(k == 7, "Paid to Ada today.").when(k == 9, "Paid today.").alias("restored"),
+        F.when(k.isin(3, 5, 9), "a person").alias("restored_by"),
+    )
+    return plan.admit(made).groupBy("grid", "refused").agg(F.count("*").alias("n"))
+
+
+@query(_BASE + "select pkg as audit, cast(count(*) as bigint) as items, cast(min(length('The parcel weighs ' || q || ' kg and left on ' || d || '. Its price was $' || p || '.')) as bigint) as shortest from line group by pkg")
+def package_items(spark, sf_dir):
+    """SRC2, SRC3, SRC6-SRC9: packages written as JSON and read back through the validating reader."""
+    from .sources import packages
+
+    items = orders.evidence(spark, sf_dir)
+    anchor = F.struct("document_id", "start", "end")
+    one = F.struct("item", "item_id", "text", anchor.alias("anchor"), F.struct("layer", "producer").alias("provenance"))
+    raw = items.groupBy("pkg").agg(
+        F.to_json(F.struct(F.lit("x.context-package/1").alias("contract"), F.col("pkg").cast("string").alias("package_id"), F.array_sort(F.collect_list(one)).alias("items"))).alias("raw")
+    )
+    got = packages.items_of(packages.read(raw))
+    return got.groupBy(F.col("pkg").alias("audit")).agg(F.count("*").alias("items"), F.min(F.length("text")).cast("long").alias("shortest"))
+
+
+@query("""
+select o_orderkey % 5 as rule, cast(count(*) as bigint) as n from orders group by 1
+""")
+def withheld_by_rule(spark, sf_dir):
+    """AGG7."""
+    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("rule"))
+    return g.withheld_by_rule(made)
+
+
+@query("""
+with a as (select o_orderkey as audit, 'status' as path, o_orderstatus as v from orders union all select o_orderkey, 'only', 'x' from orders where o_orderkey % 3 = 0),
+b as (select o_orderkey as audit, 'status' as path, case when o_orderkey % 2 = 0 then 'Z' else o_orderstatus end as v from orders)
+select coalesce(a.audit, b.audit) as audit, coalesce(a.path, b.path) as path, coalesce('"' || a.v || '"', '<absent>') as archived, coalesce('"' || b.v || '"', '<absent>') as fresh
+from a full join b on a.audit = b.audit and a.path = b.path where a.v is distinct from b.v
+""")
+def recheck_diff(spark, sf_dir):
+    """OP6, OP7, JN20, SET6, ORD4: leaves of two documents compared."""
+    rows = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    old = rows.select(k.alias("audit"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.when(k % 3 == 0, "x").alias("only"))).alias("document"))
+    new = rows.select(k.alias("audit"), F.to_json(F.struct(F.when(k % 2 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("status"))).alias("document"))
+    return plan.recheck(plan.leaves(old), plan.leaves(new))
+
+
+@query()
+def audit_reports_json(spark, sf_dir):
+    """OP1, SNK1: the full audit, each report as its published document."""
+    from . import sinks
+
+    return sinks.rendered(flagship(spark, sf_dir), "json")
+
+
+@query("""
+with s as (select o_orderkey as audit, case when o_orderkey % 4 = 0 then '' when o_orderkey % 4 = 1 then null else 'It holds ' || o_orderkey || ' bolts.' end as answer,
+  case when o_orderkey % 4 = 2 then 0 else 1 end as n from orders)
+select audit, case when answer is null then 'the sample has no answer' when answer = '' then 'the answer is blank' when n = 0 then 'the contexts hold no text' end as refused
+from s where answer is null or answer = '' or n = 0
+""")
+def refused_samples(spark, sf_dir):
+    """OP4: refusals of a dataset, row by row."""
+    k = F.col("o_orderkey")
+    made = table(spark, sf_dir, "orders").select(
+        k.alias("audit"), F.when(k % 4 == 0, "").when(k % 4 == 1, None).otherwise(F.concat(F.lit("It holds "), k.cast("string"), F.lit(" bolts."))).alias("output"),
+        F.when(k % 4 == 2, F.array(F.lit(" "))).otherwise(F.array(F.concat(F.lit("Bolts: "), k.cast("string")))).alias("context"),
+    )
+    _, refused = plan.evaluate_frame(made)
+    return refused
