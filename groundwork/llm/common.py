@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import kept
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make one only where none is set, as in tests."""
@@ -28,7 +30,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
