@@ -210,8 +210,10 @@ def mixed(
     history = fit_rates(checkpointed(memberships(texts, model, "body").drop("body")), [targets[d] for d in names])
     renamed = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
     at = {c: f"c{k}" for k, c in enumerate(columns)}
-    rated = memberships(renamed, model, at[text_col]).withColumn("mix_rate", rate_of(F.col("p"), history))
-    taken = rated.withColumn("mix_copies", copies_of(F.col("mix_rate"), F.col(at[id_col]))).where("mix_copies > 0")
+    # A row number, used above, keeps the filter from being pushed below the posteriors and computing them for every mention.
+    scored = memberships(renamed, model, at[text_col]).withColumn("__row", F.monotonically_increasing_id())
+    rated = scored.withColumn("mix_rate", rate_of(F.col("p"), history))
+    taken = rated.withColumn("mix_copies", copies_of(F.col("mix_rate"), F.col(at[id_col]))).where("mix_copies > 0 and __row >= 0")
     return taken.select(*(F.col(at[c]).alias(c) for c in columns), "mix_rate", "mix_copies")
 
 
