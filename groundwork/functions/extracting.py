@@ -16,9 +16,13 @@ class Token(NamedTuple):
 
 def candidates(text: str, rules: Sequence[Rule]) -> list[tuple[int, int, int, str]]:
     """(start, -length, -rank, kind) of every capture that isn't blank or listed as no token."""
-    out = []
+    out, seen = [], {}
     for rule in rules:
-        if not rule.needs.search(text):
+        if rule.words and not any(w in text for w in rule.words):
+            continue
+        if rule.needs not in seen:
+            seen[rule.needs] = rule.needs.search(text) is not None
+        if not seen[rule.needs]:
             continue
         for m in rule.regex.finditer(text):
             start, end = m.span(rule.group)

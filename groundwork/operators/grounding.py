@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import folded, places_function, segment_function
 from ..functions.matching import SOURCE_LIMIT
+from ..runtime import spread, staged
 
 NEARBY = 5
 FINDINGS = ("floating", "contradicted")
@@ -90,6 +91,7 @@ def locate(tokens: DataFrame, items: DataFrame, matcher: str = "normalized") ->
     folds = items.withColumn("fold", folded(F.col("text")))
     pairs = forms.join(folds, "pkg").where(F.contains("fold", "probe"))
     spotted = pairs.withColumn("spans", places_function(matcher).asNondeterministic()("form", "text")).where(F.size("spans") > 0)
+    spotted = spread(spotted.drop("text", "fold", "probe"), "pkg", "form")  # of a large package, each token goes its own way
     by_doc = Window.partitionBy("pkg", "form", "document_id").orderBy("item")
     in_order = Window.partitionBy("pkg", "form").orderBy("item")
     first = spotted.withColumn("fresh", (F.row_number().over(by_doc) == 1).cast("int"))
@@ -129,14 +131,6 @@ def neighbourhood(tokens: DataFrame, index: DataFrame) -> DataFrame:
     return inside.select("audit", "seg", "item", "s_start", "s_end").distinct()
 
 
-def _scoped(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """Pairs of a floating token and an index entry with scope: 0 the same sentences, 1 the same items, 2 the package."""
-    sentences = near.withColumn("in_sentence", F.lit(True))
-    its = near.select("audit", "seg", "item").distinct().withColumn("in_item", F.lit(True))
-    both = pairs.join(sentences, ["audit", "seg", "item", "s_start", "s_end"], "left").join(its, ["audit", "seg", "item"], "left")
-    return both.withColumn("scope", F.when(F.col("in_sentence"), 0).when(F.col("in_item"), 1).otherwise(2)).drop("in_sentence", "in_item")
-
-
 def _entries(index: DataFrame) -> DataFrame:
     return index.select(
         "pkg", "item", "entry", F.col("kind"), "s_start", "s_end", F.col("digits").alias("e_digits"), F.col("shape").alias("e_shape"),
@@ -145,49 +139,86 @@ def _entries(index: DataFrame) -> DataFrame:
     )
 
 
-
-
 def _found() -> Column:
     return F.struct(F.col("e_text").alias("text"), "item_id", "document_id", "source_path", "section", F.col("e_start").alias("start"), F.col("e_end").alias("end"))
 
 
+def _close(lost: DataFrame, entries: DataFrame, near: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of a floating token and an entry of an item that its segment stands in; scope 0 is the same sentence, 1 the same item."""
+    its = near.groupBy("audit", "seg", "item").agg(F.collect_set(F.struct("s_start", "s_end")).alias("sentences"))
+    both = lost.join(its, ["audit", "seg"]).join(entries, [*on, "item"])
+    inside = F.array_contains("sentences", F.struct("s_start", "s_end"))
+    return both.withColumn("scope", F.when(inside, 0).otherwise(1)).drop("sentences")
+
+
 def explain(tokens: DataFrame, index: DataFrame, near: DataFrame) -> DataFrame:
     """(audit, seg, tok, contradiction): the one evidence token with the same digits and another unit, if there is one.
 
     Candidates are of the same kind, have the same digits, at least one, and another shape. The tightest scope
-    that holds exactly one decides.
+    that holds exactly one decides. For the scope of a whole package the entries are summed by shape first, so
+    what a token meets is the shapes its digits are written in, not each place of them.
     """
     lost = floating(tokens).where("digits <> ''").select("audit", "pkg", "seg", "tok", "kind", "digits", "shape")
-    pairs = lost.join(_entries(index).withColumnRenamed("e_digits", "digits"), ["pkg", "kind", "digits"]).where("shape <> e_shape")
-    scoped = _scoped(pairs, near)
-    counted = scoped.groupBy("audit", "seg", "tok", "kind").agg(
-        *(F.count_if(F.col("scope") <= k).alias(f"n{k}") for k in range(3)),
-        F.min_by(_found(), F.struct("scope", "item", "entry")).alias("found"),
-    )
-    # The pick of the tightest scope is the first by (scope, order): where a scope holds one, that is the first.
-    where = F.when(F.col("n0") == 1, "sentence").when((F.col("n0") == 0) & (F.col("n1") == 1), "item").when(
-        (F.col("n1") == 0) & (F.col("n2") == 1), "package"
+    entries, key = _entries(index).withColumnRenamed("e_digits", "digits"), ["audit", "seg", "tok", "kind"]
+    local = _close(lost, entries, near, ["pkg", "kind", "digits"]).where("shape <> e_shape").groupBy(*key).agg(
+        F.count_if(F.col("scope") == 0).alias("n0"), F.count("*").alias("n1"), F.min_by(_found(), F.struct("scope", "item", "entry")).alias("inner")
+    )
+    shapes = entries.groupBy("pkg", "kind", "digits", "e_shape").agg(F.count("*").alias("n"), F.min(F.struct("item", "entry", _found().alias("f"))).alias("first"))
+    whole = lost.join(shapes, ["pkg", "kind", "digits"]).where("shape <> e_shape").groupBy(*key).agg(F.sum("n").alias("n2"), F.min("first").alias("outer"))
+    counted = whole.join(local, key, "left")
+    where = F.when(F.col("n0") == 1, "sentence").when((F.coalesce("n0", F.lit(0)) == 0) & (F.col("n1") == 1), "item").when(
+        F.col("n1").isNull() & (F.col("n2") == 1), "package"
     )
     why = F.concat(F.lit("the one "), "kind", F.lit(" with these digits in the "), where, F.lit(" is written with another unit"))
-    return counted.where(where.isNotNull()).select("audit", "seg", "tok", F.struct("found.*", why.alias("why")).alias("contradiction"))
-
+    told = counted.withColumn("found", F.coalesce("inner", F.col("outer.f"))).where(where.isNotNull())
+    return told.select("audit", "seg", "tok", F.struct("found.*", why.alias("why")).alias("contradiction"))
 
-def nearby(tokens: DataFrame, index: DataFrame, near: DataFrame, most: int = NEARBY) -> DataFrame:
-    """(audit, seg, tok, nearby): what the evidence does say of that kind, tightest scope first, then in its order."""
-    lost = floating(tokens).select("audit", "pkg", "seg", "tok", "kind", "text")
-    pairs = lost.join(_entries(index), ["pkg", "kind"]).where("text <> e_text")
-    order = Window.partitionBy("audit", "seg", "tok").orderBy("scope", "item", "entry")
-    ranked = _scoped(pairs, near).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-    listed = F.array_sort(F.collect_list(F.struct("n", _found().alias("f"))))
-    return ranked.groupBy("audit", "seg", "tok").agg(F.transform(listed, lambda x: x["f"]).alias("nearby"))
 
+def nearby(tokens: DataFrame, index: DataFrame, near: DataFrame, most: int = NEARBY, front: int = 64) -> DataFrame:
+    """(audit, seg, tok, nearby): what the evidence does say of that kind, tightest scope first, then in its order.
 
-def checked_tokens(segs: DataFrame, items: DataFrame, index: DataFrame, matcher: str = "normalized") -> DataFrame:
-    """Tokens with locations, contradiction and nearby; the last two only where a token floats."""
+    Beyond the items that a segment stands in, only a package's first entries matter: a token meets the ``front``
+    first of its kind, and all of them only where those didn't fill its list, so that a package with many floating
+    tokens and many entries isn't multiplied out.
+    """
+    lost = floating(tokens).select("audit", "pkg", "seg", "tok", "kind", "text")
+    in_order = Window.partitionBy("pkg", "kind").orderBy("item", "entry")
+    entries, key = _entries(index), ["audit", "seg", "tok"]
+    its = near.select("audit", "seg", "item").distinct()
+    local = _close(lost, entries, near, ["pkg", "kind"])
+    order = Window.partitionBy(*key).orderBy("scope", "item", "entry")
+
+    def far(asking: DataFrame, among: DataFrame) -> DataFrame:
+        pairs = asking.join(among, ["pkg", "kind"]).where("text <> e_text")
+        return pairs.join(its, ["audit", "seg", "item"], "left_anti").withColumn("scope", F.lit(2))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        rows = pairs.where("text <> e_text").select("pkg", "kind", *key, "scope", "item", "entry", _found().alias("f"))
+        return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+
+    head = entries.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= front).drop("place")
+    first = ranked(local.unionByName(far(lost, head), allowMissingColumns=True))
+    sizes = entries.groupBy("pkg", "kind").agg(F.count("*").alias("entries")).where(F.col("entries") > front)
+    full = first.where(F.col("n") == most).select(*key)
+    short = lost.join(sizes.select("pkg", "kind"), ["pkg", "kind"], "left_semi").join(full, key, "left_anti")
+    again = ranked(local.join(short.select(*key), key, "left_semi").unionByName(far(short, entries), allowMissingColumns=True))
+    every = first.join(short.select(*key), key, "left_anti").unionByName(again)
+    listed = F.array_sort(F.collect_list(F.struct("n", "f")))
+    return every.groupBy(*key).agg(F.transform(listed, lambda x: x["f"]).alias("nearby"))
+
+
+def checked_tokens(segs: DataFrame, items: DataFrame, codes=None, matcher: str = "normalized") -> DataFrame:
+    """Tokens with locations, contradiction and nearby; the last two only where a token floats.
+
+    Evidence is cut into sentences and indexed only for packages that some token floats in, each item where its
+    own hash falls, so that a large package isn't the work of one task.
+    """
     tokens = tokens_of(segs)
-    placed = with_locations(tokens, locate(tokens, items, matcher))
-    near = neighbourhood(placed, index)
-    told = explain(placed, index, near)
+    placed = staged(with_locations(tokens, locate(tokens, items, matcher)))
+    open_packages = floating(placed).select("pkg").distinct()
+    index = staged(source_index(spread(items.join(open_packages, "pkg", "left_semi"), "pkg", "item"), codes))
+    near = neighbourhood(placed.join(open_packages, "pkg", "left_semi"), index)
+    told = staged(explain(placed, index, near))
     open_ones = placed.join(told.select("audit", "seg", "tok"), ["audit", "seg", "tok"], "left_anti")
     around = nearby(open_ones, index, near)
     return placed.join(told, ["audit", "seg", "tok"], "left").join(around, ["audit", "seg", "tok"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.languages import packs_of, uncovered
 from ..functions.matching import MATCHERS, PLACE_LIMIT, SOURCE_LIMIT
 from ..operators import grounding as g
-from ..runtime import staged
+from ..runtime import spread, staged
 from ..sources import samples
 
 CONTRACT = "groundwork.audit-report/1"
@@ -102,7 +102,7 @@ def bounds(tokens: DataFrame, answers: DataFrame) -> DataFrame:
 
 def segments_of(admitted: DataFrame, codes=None) -> DataFrame:
     """Segments of the admitted answers with their tokens and the placeholders that reach into each; staged once."""
-    cut = g.segments(admitted.select("audit", "pkg", F.col("residue").alias("all_residue"), "text"), "text", codes)
+    cut = g.segments(spread(admitted.select("audit", "pkg", F.col("residue").alias("all_residue"), "text"), "audit"), "text", codes)
     mine = F.filter("all_residue", lambda r: g.overlap(F.col("start"), F.col("end"), r["start"], r["end"]))
     free = cut.withColumn("residue", mine).drop("all_residue")
     kind = dict(free.dtypes)["tokens"]
@@ -116,7 +116,7 @@ def audited(answers: DataFrame, items: DataFrame, *, codes=None, matcher: str =
     admitted = admit(answers)
     live = admitted.where("refused is null")
     segs = segments_of(live, codes)
-    tokens = staged(g.checked_tokens(segs, items, staged(g.source_index(items, codes)), matcher))
+    tokens = staged(g.checked_tokens(segs, items, codes, matcher))
     return admitted, g.checked_segments(segs, tokens), tokens
 
 

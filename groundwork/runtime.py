@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over all cores before costly Python; by size alone few bytes of text would meet in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder; a folder is made only where none is set."""
     sc = df.sparkSession.sparkContext
