@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import evaluation as ev
 from .operators import grounding as g
 from .plans import audit as plan
 from .plans import orders
@@ -415,3 +416,160 @@ def refused_samples(spark, sf_dir):
     )
     _, refused = plan.evaluate_frame(made)
     return refused
+
+
+# --- scores against labels, on plants made from the order answers -------------------------------------------------------
+
+_PLANTS = _BASE + """
+, plant as (
+    select pkg, 'digit_drift' as kind, true as flagged, true as exact, false as src, false as told, 'made' as class from facts where k = 1
+    union all select pkg, 'unit_swap', true, same_q = 1, true, same_q = 1, 'made' from facts where k = 2
+    union all select pkg, 'invented_particular', true, true, false, false, 'made' from facts where k = 6
+    union all select pkg, 'grounded', false, false, false, false, 'control' from facts where k = 0
+    union all select pkg, 'derived_value', true, true, false, false, 'acknowledged' from facts where k = 9
+    union all select pkg, 'negation_flip', false, false, false, false, 'declared' from facts where k = 5),
+sums as (
+    select case when grouping(kind) = 1 then 'all' else 'kind' end as view, coalesce(kind, 'all') as name, count(*) filter (where class = 'made') as fabrications,
+      count(*) filter (where class = 'made' and flagged) as fabrications_found, count(*) filter (where class = 'control') as controls,
+      count(*) filter (where class = 'control' and flagged) as false_positives, count(*) filter (where class = 'acknowledged' and flagged) as acknowledged_found,
+      count(*) filter (where class = 'declared' and not flagged) as declared_passed, count(*) filter (where flagged) as verdicts_checked,
+      count(*) filter (where flagged and exact) as verdicts_right, count(*) filter (where src) as locatable, count(*) filter (where src and told) as located,
+      count(*) filter (where told) as localisations, 0 as misdirected
+    from plant group by grouping sets ((), (kind)))
+"""
+_SUMS = (
+    "fabrications", "fabrications_found", "controls", "false_positives", "acknowledged_found", "declared_passed", "verdicts_checked", "verdicts_right",
+    "locatable", "located", "localisations", "misdirected",
+)
+
+
+def _plants(spark, sf_dir):
+    lines = orders.numbered_lines(spark, sf_dir)
+    first = lines.groupBy(F.col("l_orderkey").alias("audit")).agg(F.min_by(F.col("l_quantity").cast("int"), "item").alias("q"))
+    k, q = F.col("audit") % orders.CLASSES, F.col("q")
+    kind = (
+        F.when(k == 1, "digit_drift").when(k == 2, "unit_swap").when(k == 6, "invented_particular").when(k == 0, "grounded").when(k == 9, "derived_value")
+        .when(k == 5, "negation_flip")
+    )
+    text = F.concat(F.when(k == 1, q + 700).when(k == 9, q + 900).otherwise(q).cast("string"), F.when(k == 2, " mg").otherwise(" kg"))
+    start = F.when(k == 6, F.length(q.cast("string")) + 18 + 4 + 23 + 10).when(k == 5, 23).otherwise(18)
+    size = F.when(k == 6, 5).when(k == 5, 7).otherwise(F.length(text))
+    swapped = k == 2
+    return first.where(kind.isNotNull()).select(
+        "audit", F.lit(0).alias("plant"), F.lit("en").alias("language"), kind.alias("kind"), start.alias("start"), (start + size).alias("end"),
+        F.when(swapped, F.concat(F.lit("order-"), F.col("audit").cast("string"), F.lit("-1"))).alias("source_document"), F.when(swapped, 18).alias("source_start"),
+        F.when(swapped, 18 + F.length(text)).alias("source_end"), (~k.isin(0, 5)).alias("expect_detected"), (~k.isin(0, 9)).alias("is_hallucination"),
+        (k == 5).alias("declared_miss"), F.when(swapped, "contradicted").otherwise("floating").alias("expect_verdict"),
+    )
+
+
+def _tallies(spark, sf_dir):
+    admitted, segs, tokens = _audited(spark, sf_dir)
+    cover = g.coverage(segs, "audit").select("audit", "segments", "unbearing", "unexamined", "particulars")
+    yes = lambda x: F.lit(x)
+    cases = admitted.select("audit").join(cover, "audit").select("audit", yes("en").alias("language"), yes(False).alias("refusal_due"), yes(False).alias("refused"), yes(True).alias("reproduced"), "segments", "unbearing", "unexamined", "particulars")
+    return ev.tallies(ev.score_plants(_plants(spark, sf_dir), tokens, segs), cases)
+
+
+@query(_PLANTS + "select view, name, " + ", ".join(f"cast({c} as bigint) as {c}" for c in _SUMS) + " from sums")
+def plant_tallies(spark, sf_dir):
+    """OP12, JN8-JN11, AGG11, PRJ12: labels against findings, over everything and by kind."""
+    return _tallies(spark, sf_dir).where("view <> 'language'").select("view", "name", *_SUMS)
+
+
+@query(_PLANTS + """
+, r as (select 'fabrication recall' as metric, true as low, 0.9 as bound, fabrications_found / fabrications as share from sums where view = 'all'
+  union all select 'false positives', false, 0.05, false_positives / controls from sums where view = 'all'
+  union all select 'verdict correctness', true, 0.25, verdicts_right / verdicts_checked from sums where view = 'all'
+  union all select 'source misdirection', false, 0.05, misdirected / localisations from sums where view = 'all'
+  union all select 'refusals', true, 1.0, null union all select 'reproducibility', true, 1.0, 1.0
+  union all select 'extraction recall on claimed kinds', true, 0.85, null union all select 'extraction precision', true, 0.9, null
+  union all select 'unbearing segments', false, 0.55, (select count(*) filter (where verdict = 'unbearing') / count(*) from seg))
+select metric, cast(share as double) as share, case when low then share < bound else share > bound end as breached from r
+""")
+def floors_gate(spark, sf_dir):
+    """AGG12, OP14, JN22: rates held against the floors; a rate of nothing neither passes nor fails."""
+    return ev.floors_check(ev.rates(_tallies(spark, sf_dir)).where("view = 'all'"), spark).select("metric", "share", "breached")
+
+
+@query(_BASE + """
+, v as (select f.pkg, 'quantity' as kind, f.q::varchar as mine, l.q::varchar as theirs from facts f join line l on l.pkg = f.pkg where k in (0, 6, 8)
+  union all select f.pkg, 'date', f.d, l.d from facts f join line l on l.pkg = f.pkg where k in (3, 6, 8, 9)
+  union all select f.pkg, 'money', f.p, l.p from facts f join line l on l.pkg = f.pkg where k in (3, 8)),
+c as (select pkg, kind, mine, count(*) filter (where mine = theirs) as own, count(*) filter (where mine <> theirs) as other from v group by pkg, kind, mine)
+select pkg as audit, kind, cast(sum(own * other) as bigint) as pairs from c group by pkg, kind having sum(own * other) > 0
+""")
+def source_conflict_orders(spark, sf_dir):
+    """JN19, AGG18: values that other items of the package give otherwise."""
+    _, _, tokens = _audited(spark, sf_dir)
+    pairs = ev.source_conflict(tokens, g.source_index(orders.evidence(spark, sf_dir)))
+    kind = F.when(F.startswith("text", F.lit("$")), "money").when(F.endswith("text", F.lit("kg")), "quantity").otherwise("date")
+    return pairs.groupBy("audit", kind.alias("kind")).agg(F.count("*").alias("pairs"))
+
+
+@query("""
+select o_orderkey as audit, 'LOCATION_LIMIT' as name, cast(32 as bigint) as bound from orders where 25 + o_orderkey % 15 >= 32
+union all select o_orderkey, 'MAX_RUN', 256 from orders where o_orderkey % 4 = 0
+""")
+def bounds_orders(spark, sf_dir):
+    """OP18, AGG8, WIN1: receipts for values that stand in more places than are listed, and for digit runs too long to read."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("audit"))
+    n = (25 + F.col("audit") % 15).cast("int")
+    text = F.repeat(F.lit("7 kg, "), n)
+    none = F.lit(None).cast("string")
+    items = keys.select(
+        F.col("audit").alias("pkg"), F.lit(0).alias("item"), F.lit("i").alias("item_id"), F.lit("d").alias("document_id"), none.alias("source_path"), none.alias("section"),
+        F.lit(0).alias("start"), F.length(text).alias("end"), none.alias("layer"), F.lit("").alias("producer"), text.alias("text"),
+    )
+    long_run = F.when(F.col("audit") % 4 == 0, F.concat(F.lit(" It is "), F.repeat(F.lit("1"), F.lit(300)), F.lit("."))).otherwise("")
+    answers = keys.select("audit", F.col("audit").alias("pkg"), F.concat(F.lit("It is 7 kg."), long_run).alias("answer"))
+    admitted, _, tokens = plan.audited(answers, items)
+    found = plan.bounds(tokens, admitted.where("refused is null")).select("audit", F.explode("bounds").alias("b"))
+    return found.select("audit", "b.name", F.col("b.limit").cast("long").alias("bound"))
+
+
+@query("""
+select doc_id, 'A ' || doc_id || ' and 2024-01-02.' as text, 'number' as kind, cast(2 as bigint) as start, cast(2 + length(doc_id::varchar) as bigint) as "end" from documents
+union all select doc_id, 'A ' || doc_id || ' and 2024-01-02.', 'date', 7 + length(doc_id::varchar), 17 + length(doc_id::varchar) from documents
+""")
+def markup_documents(spark, sf_dir):
+    """SRC18, SRC19: markup taken off, with the places of what it marked."""
+    from .sources import corpus
+
+    text = F.concat(F.lit("A {{P:number}}"), F.col("doc_id").cast("string"), F.lit("{{/P}} and {{P:date}}2024-01-02{{/P}}."))
+    made = table(spark, sf_dir, "documents").select("doc_id", corpus.strip_markup(text).alias("c"))
+    flat = made.select("doc_id", "c.text", F.explode("c.markings").alias("m"))
+    return flat.select("doc_id", "text", "m.kind", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
+
+
+_GOLDEN = (
+    ("令和6年5月に契約した。", "date", "令和6年5月"), ("第三条による。", "reference", "第三条"), ("共计3公斤。", "quantity", "3公斤"), ("重さは１２kgです。", "quantity", "１２kg"),
+    ("It rose 4.5%.", "percentage", "4.5%"), ("See Section 4.2(a).", "reference", "Section 4.2(a)"), ("It took 30 days.", "duration", "30 days"),
+)
+
+
+@query("select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GOLDEN) + ") as t(text, kind, particular)")
+def tokens_golden(spark, sf_dir):
+    """EXT7: one text for each of several rules; the values are written down, so this is the weaker kind of twin."""
+    texts = spark.createDataFrame([(a, a) for a, _, _ in _GOLDEN], "key string, text string")
+    rows = g.segments(texts, "text").select("key", F.explode("tokens").alias("t"))
+    return rows.select(F.col("key").alias("text"), "t.kind", F.col("t.text").alias("particular"))
+
+
+@query("""
+with m as (select o_orderkey % 3 as k from orders)
+select 'all' as view, cast(count(*) * 2 as bigint) as marked, cast(count(*) + count(*) filter (where k <> 0) as bigint) as exact, cast(count(*) filter (where k = 0) as bigint) as overlapping,
+  cast(count(*) * 3 as bigint) as extracted, cast(count(*) as bigint) as surplus, cast(count(*) * 2 as bigint) as segments, cast(0 as bigint) as unbearing from m
+""")
+def extraction_score(spark, sf_dir):
+    """OP13, AGG13, JN13-JN15: marked answers made from order keys, of which a third marks more than is extracted."""
+    k = F.col("o_orderkey")
+    wide = k % 3 == 0
+    weight = F.concat((k % 50 + 1).cast("string"), F.lit(" kg"))
+    body = F.concat(F.lit("It weighs "), weight, F.lit(" in all. It left on 2024-01-02 with 77 bolts."))
+    n = F.length(weight)
+    mark = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    end = F.when(wide, F.lit(17) + n).otherwise(F.lit(10) + n)
+    marks = F.array(mark("quantity", F.lit(10), end), mark("date", F.lit(31) + n - 1, F.lit(41) + n - 1))
+    made = table(spark, sf_dir, "orders").select(k.cast("string").alias("name"), F.lit("en").alias("language"), body.alias("text"), marks.alias("markings"))
+    return ev.score_extraction(made).where("view = 'all'").select("view", "marked", "exact", "overlapping", "extracted", "surplus", "segments", "unbearing")
