@@ -9,7 +9,7 @@ from .operators import evaluation as ev
 from .operators import grounding as g
 from .plans import audit as plan
 from .plans import orders
-from .runtime import table
+from .runtime import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -79,7 +79,7 @@ def line_kinds_documents(spark, sf_dir):
 
 def _document_segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return g.segments(docs, "text")
+    return g.segments(spread(docs, "doc_id"), "text")
 
 
 @query()

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from typing import NamedTuple
 
-from .languages import Rule
+from .languages import RuleSet
 
 
 class Token(NamedTuple):
@@ -14,24 +13,23 @@ class Token(NamedTuple):
     end: int
 
 
-def candidates(text: str, rules: Sequence[Rule]) -> list[tuple[int, int, int, str]]:
+def candidates(text: str, rules: RuleSet) -> list[tuple[int, int, int, str]]:
     """(start, -length, -rank, kind) of every capture that isn't blank or listed as no token."""
-    out, seen = [], {}
-    for rule in rules:
-        if rule.words and not any(w in text for w in rule.words):
+    out, plain = [], text.isascii()
+    for needs, group in rules.by_need:
+        if not needs.search(text):
             continue
-        if rule.needs not in seen:
-            seen[rule.needs] = rule.needs.search(text) is not None
-        if not seen[rule.needs]:
-            continue
-        for m in rule.regex.finditer(text):
-            start, end = m.span(rule.group)
-            if 0 <= start < end and text[start:end].strip() and text[start:end] not in rule.reject:
-                out.append((start, start - end, -rule.rank, rule.kind))
+        for rule in group:
+            if (plain and rule.wide) or (rule.words and not rule.words.search(text)):
+                continue
+            for m in rule.regex.finditer(text):
+                start, end = m.span(rule.group)
+                if 0 <= start < end and text[start:end].strip() and text[start:end] not in rule.reject:
+                    out.append((start, start - end, -rule.rank, rule.kind))
     return out
 
 
-def extract(text: str, rules: Sequence[Rule]) -> list[Token]:
+def extract(text: str, rules: RuleSet) -> list[Token]:
     """Non-overlapping tokens: earliest first, then longest, then the higher rank, then by kind."""
     out: list[Token] = []
     reach = 0

@@ -102,7 +102,7 @@ def bounds(tokens: DataFrame, answers: DataFrame) -> DataFrame:
 
 def segments_of(admitted: DataFrame, codes=None) -> DataFrame:
     """Segments of the admitted answers with their tokens and the placeholders that reach into each; staged once."""
-    cut = g.segments(spread(admitted.select("audit", "pkg", F.col("residue").alias("all_residue"), "text"), "audit"), "text", codes)
+    cut = g.segments(spread(admitted.select("audit", "pkg", F.col("residue").alias("all_residue"), "text"), F.xxhash64("audit")), "text", codes)
     mine = F.filter("all_residue", lambda r: g.overlap(F.col("start"), F.col("end"), r["start"], r["end"]))
     free = cut.withColumn("residue", mine).drop("all_residue")
     kind = dict(free.dtypes)["tokens"]

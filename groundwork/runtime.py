@@ -6,7 +6,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -23,8 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by ``keys`` over all cores before costly Python; by size alone few bytes of text would meet in one task."""
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Rows dealt by ``keys`` over all cores before costly Python; by size alone few bytes of text would meet in one task.
+
+    A key wrapped in a hash deals rows anew even where they already lie by that key.
+    """
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
