@@ -144,9 +144,48 @@ def sketches(words: list[bytes], shingle: int = 5) -> tuple[bytes, np.ndarray, n
 
 
 def allowed_bits(similarity: float) -> int:
-    """Differing bits of the shingle sketch that a pair of this Jaccard similarity stays within, two deviations given."""
+    """Differing bits of the shingle sketch that a pair of this Jaccard similarity stays within, three deviations given."""
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * (angle + 2 * math.sqrt(angle * (1 - angle) / WIDE)))
+    return int(WIDE * (angle + 3 * math.sqrt(angle * (1 - angle) / WIDE)))
+
+
+def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of the word shingles; a shorter sequence is one shingle, no words are none."""
+    total = max(1, len(words) - shingle + 1) if words else 0
+    parts = [np.zeros(0, np.uint32)]
+    for at in range(0, total, _STEP):
+        part = words[at : min(at + _STEP, total) + shingle - 1]
+        grams = zip(*(part[k:] for k in range(min(shingle, len(part)))), strict=False)
+        parts.append(np.fromiter((xxhash.xxh32_intdigest(b" ".join(g)) for g in grams), np.uint32))
+    return np.unique(np.concatenate(parts))
+
+
+def _shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, hashes): the shingle set of each row, four bytes a shingle."""
+    source = id_and_bytes(df, id_col, text_col)
+    kind = dict(source.dtypes)["id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set((b or b"").lower().split(), shingle).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    return source.mapInArrow(run, f"id {kind}, hashes binary")
+
+
+def _alike(similarity: float):
+    """Edges (u, v, a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(memoryview(s.as_buffer()), np.uint32) for s in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _sketched(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -230,8 +269,9 @@ def near_copies(
     At this similarity 64-bit fingerprints of shingles lie some ten bits apart, too far for a ball. Candidates
     come from SimHash over distinct words, of which a changed word spoils one instead of five: four parts of 32
     bits, each emitting all variants within one bit, so parts within two bits meet. Members of a variant are
-    linked to its first member whose other half is near, and each distinct link is verified on 512 bits of
-    SimHash over shingles, within what the similarity implies and two standard deviations. Equal texts, A-Z and
+    linked to its first member whose other half is near. Distinct links are thinned by 512 bits of SimHash over
+    shingles, within what the similarity implies and three standard deviations, and those left are verified on the
+    whole sets of shingles, so that no group holds a link below ``similarity``. Equal texts, A-Z and
     white space aside, are one vertex, all texts without words another. Null ids are kept, repeated rows stay.
     """
     docs = checkpointed(_sketched(df, id_col, text_col, shingle))
@@ -249,7 +289,15 @@ def near_copies(
     )
     bits = F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
-    roots = connected_components(both.where(apart <= allowed_bits(similarity)).select("u", "v"))
+    close = checkpointed(both.where(apart <= allowed_bits(similarity)).select("u", "v"))
+    ends = close.select("u").union(close.select("v")).distinct()
+    texts = df.select(F.col(id_col).alias("u"), F.col(text_col).alias("text")).join(ends, "u", "left_semi").dropDuplicates(["u"])
+    sets = checkpointed(_shingle_sets(texts, "u", "text", shingle))
+    pairs = close.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v"
+    )
+    links = pairs.select("u", "v", "a", "b").mapInArrow(_alike(similarity), f"u {kind}, v {kind}")
+    roots = connected_components(links)
     named = vertices.select("digest", "vertex").join(roots.withColumnRenamed("u", "vertex"), "vertex", "left")
     return docs.select("id", "digest").join(named.select("digest", F.coalesce("root", "vertex").alias("component")), "digest").select("id", "component")
 
