@@ -242,6 +242,24 @@ def test_near_copies_keep_one_of_each_group(spark):
     assert sorted(k for k in kept if k is not None) == sorted({*owner.values(), 5000}) and kept.count(None) == 1
 
 
+def test_near_copies_below_the_similarity_stay_apart_and_columns_may_clash(spark):
+    rng = np.random.default_rng(5)
+    voc = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    rows = []
+    for k in range(40):
+        words = rng.choice(voc, 204).tolist()
+        for c, changed in enumerate((0, 4, 5)):  # each spoils five of 200 shingles: similarities 180/220 and 175/225
+            copy = list(words)
+            for at in range(changed):
+                copy[10 + 40 * at] = f"x{c}"
+            rows.append((10 * k + c, " ".join(copy), 0, "x", 1, None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, u int, v string, id int, digest string")
+    got = {r.id: r.component for r in simhash.near_copies(df).collect()}
+    alike = {i for i in got if got[i] != i}
+    assert {i for i in alike if i % 10 == 2} == set() and len(alike) >= 36 and all(got[i] == i - 1 for i in alike)
+    assert set(simhash.one_of_each(df).columns) == set(df.columns)
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
