@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -118,35 +117,9 @@ def near_duplicates(
     return docs.join(rooted.select("fp", "root").join(named, "root"), "fp").select("id", "fp", "component")
 
 
-#: Bits of a table's part of the word sketch, tables, and bits of the shingle sketch that links are verified on.
-TABLE_BITS, TABLES, WIDE = 32, 4, 512
-_LANES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 for k in range(WIDE // 64)], np.uint64)
-
-
-def sketches(words: list[bytes], shingle: int = 5) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(128-bit digest of the words, 2 words of SimHash over distinct words, 8 of SimHash over shingles)."""
-    if not words:
-        return xxhash.xxh3_128_digest(b""), np.zeros(2, np.uint64), np.zeros(WIDE // 64, np.uint64)
-    distinct = set(words)
-    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), np.uint64).reshape(-1, 2)
-    narrow = np.packbits(bit_sums(hashed) * 2 > len(distinct), bitorder="little").view(np.uint64)
-    total = max(1, len(words) - shingle + 1)
-    ones = np.zeros(WIDE, np.int64)
-    for at in range(0, total, _STEP):
-        part = words[at : min(at + _STEP, total) + shingle - 1]
-        grams = zip(*(part[k:] for k in range(min(shingle, len(part)))), strict=False)
-        h = np.array([xxhash.xxh3_64_intdigest(b" ".join(g)) for g in grams], np.uint64)[:, None] * _LANES
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        ones += bit_sums(h ^ (h >> np.uint64(32)))
-    wide = np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)
-    return xxhash.xxh3_128_digest(b" ".join(words)), narrow, wide
-
-
-def allowed_bits(similarity: float) -> int:
-    """Differing bits of the shingle sketch that a pair of this Jaccard similarity stays within, three deviations given."""
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(WIDE * (angle + 3 * math.sqrt(angle * (1 - angle) / WIDE)))
+#: Bands of the candidate search, minima in each, and the most members of a band's key that are compared as one unit.
+BANDS, ROWS, BLOCK = 20, 4, 256
+_FACTORS, _SHIFTS = np.random.default_rng(42).integers(1, 1 << 63, (2, 1, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
@@ -160,146 +133,204 @@ def shingle_set(words: list[bytes], shingle: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def _shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, hashes): the shingle set of each row, four bytes a shingle."""
-    source = id_and_bytes(df, id_col, text_col)
-    kind = dict(source.dtypes)["id"]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band of a shingle set: two sets agree in a band with the ROWS-th power of their Jaccard similarity."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096].astype(np.uint64)[:, None]
+        least = np.minimum(least, ((part * _FACTORS + _SHIFTS) >> np.uint64(32)).min(0))
+    rows = least.astype(np.uint32).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set((b or b"").lower().split(), shingle).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return source.mapInArrow(run, f"id {kind}, hashes binary")
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _alike(similarity: float):
-    """Edges (u, v, a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+def _keyed(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, row, digest, keys): a hash of the text as it stands, the digest of its words, and its band keys."""
+    source = id_and_bytes(df, id_col, text_col).withColumn("row", F.xxhash64("body"))
+    kind = dict(source.dtypes)["id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(memoryview(s.as_buffer()), np.uint32) for s in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            words = [(b or b"").lower().split() for b in batch.column(1).to_pylist()]
+            keys = pa.array([band_keys(shingle_set(w, shingle)) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(map(_digest, words), pa.binary()), keys], ["id", "row", "digest", "keys"]
+            )
 
-    return run
+    return source.mapInArrow(run, f"id {kind}, row long, digest binary, keys array<long>")
 
 
-def _sketched(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    source = id_and_bytes(df, id_col, text_col)
-    kind = dict(source.dtypes)["id"]
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(digest, hashes): the shingle set of each ``body``, four bytes a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [sketches((b or b"").lower().split(), shingle) for b in batch.column(1).to_pylist()]
-            if got:
-                digests, narrow, wide = zip(*got, strict=True)
-                flat = np.concatenate(wide).view(np.int64)
-                edges = np.arange(len(got) + 1, dtype=np.int32) * (WIDE // 64)
-                pair = np.stack(narrow).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(digests, pa.binary()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))],
-                    ["id", "digest", "s0", "s1", "wide"],
-                )
-
-    return source.mapInArrow(run, f"id {kind}, digest binary, s0 long, s1 long, wide array<long>")
-
-
-def _table_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, other) of (id, s0, s1): each table's part and all parts one bit from it, with the sketch's other half."""
-    masks = np.concatenate(([0], 1 << np.arange(TABLE_BITS, dtype=np.int64)))
-    for batch in batches:
-        halves = [batch.column(1).to_numpy(), batch.column(2).to_numpy()]
-        for table in range(TABLES):
-            mine, other = halves[table // 2], halves[1 - table // 2]
-            part = (mine >> (TABLE_BITS * (table % 2))) & ((1 << TABLE_BITS) - 1)
-            keys = ((part[:, None] ^ masks) | (table << TABLE_BITS)).ravel()
-            at = np.repeat(np.arange(len(part)), len(masks))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), batch.column(0).take(pa.array(at)), pa.array(other[at])], ["key", "id", "other"]
-            )
+            words = [(b or b"").lower().split() for b in batch.column(0).to_pylist()]
+            sets = [shingle_set(w, shingle).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, words), pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
 
+    return texts.select("body").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
 
-def _leaders(near: int, id_type):
-    """Edges from the members of a key to the first member whose other half is near; rows come sorted by key and id."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+def _blocks(most: int):
+    """(unit, key, members) of the (key, digest) rows that share a key; rows come sorted by key.
+
+    Keys of more than ``most`` members are cut into several units, which then have the key; others have null. A
+    unit is named by its members, so that bands which bring the same texts together make one unit.
+    """
+
+    def unit(key: int | None, held: list[bytes], cut: bool) -> list[tuple]:
+        if len(held) < 2 and not cut:
+            return []
+        members = sorted(held)
+        return [(xxhash.xxh3_64_intdigest(b"".join(members), int(cut)) - (1 << 63), key if cut else None, members)]
 
-        kind = to_arrow_type(id_type)
-        now, heads, head_ids = None, np.zeros(0, np.uint64), []
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, cut = None, [], False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, other = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            out: list[tuple] = []
+            key, digest = batch.column(0).to_numpy(), batch.column(1)
             begins = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             ends = np.append(begins[1:], len(key))
             shared = (ends - begins > 1) | (begins == 0) | (ends == len(key))
-            us, vs = [], []
             for b, e in zip(begins[shared].tolist(), ends[shared].tolist(), strict=True):
                 if now is None or int(key[b]) != now:
-                    now, heads, head_ids = int(key[b]), np.zeros(0, np.uint64), []
-                left = np.arange(b, e)
-                for k in range(len(heads)):
-                    close = np.bitwise_count(other[left] ^ heads[k]) <= near
-                    vs += left[close].tolist()
-                    us += [head_ids[k]] * int(close.sum())
-                    left = left[~close]
-                while len(left):
-                    head = other[left[0]]
-                    heads, head_ids = np.append(heads, head), [*head_ids, batch.column(1)[int(left[0])].as_py()]
-                    close = np.bitwise_count(other[left[1:]] ^ head) <= near
-                    vs += left[1:][close].tolist()
-                    us += [head_ids[-1]] * int(close.sum())
-                    left = left[1:][~close]
-            if vs:
-                yield pa.RecordBatch.from_arrays([pa.array(us, kind), batch.column(1).take(pa.array(vs))], ["u", "v"])
+                    out += unit(now, held, cut)
+                    now, held, cut = int(key[b]), [], False
+                for d in digest.slice(b, e - b).to_pylist():
+                    if len(held) == most:
+                        cut = True
+                        out += unit(now, held, cut)
+                        held = []
+                    held.append(d)
+            yield _unit_rows(out)
+        yield _unit_rows(unit(now, held, cut))
 
     return run
 
 
+def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
+    units, keys, members = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(units, pa.int64()), pa.array(keys, pa.int64()), pa.array(members, pa.list_(pa.binary()))], ["unit", "key", "members"]
+    )
+
+
+def _alike_in(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of ``similarity`` or more that connect all such pairs; members of one group count as connected.
+
+    Every pair is compared on the whole sets unless it is connected already or the sizes alone rule it out.
+    """
+    of = {g: k for k, g in enumerate(dict.fromkeys(groups))}
+    part, size = np.array([of[g] for g in groups]), np.array([len(s) for s in sets])
+    found = []
+    for k in range(1, len(sets)):
+        fits = np.minimum(size[:k], size[k]) >= similarity * np.maximum(size[:k], size[k]) - 1e-9
+        for m in np.flatnonzero(fits & (part[:k] != part[k])).tolist():
+            if part[m] == part[k]:
+                continue
+            both = len(np.intersect1d(sets[m], sets[k], assume_unique=True))
+            if both and both >= similarity * (size[m] + size[k] - both) - 1e-9:
+                found.append((m, k))
+                part[part == part[m]] = part[k]
+    return found
+
+
+def _verified(similarity: float):
+    """Edges (u, v) of (unit, digest, part, hashes) rows, which come sorted by unit."""
+
+    def edges(held: list[tuple]) -> pa.RecordBatch:
+        sets = [np.frombuffer(h, np.uint32) for _, _, h in held]
+        pairs = _alike_in(sets, [p for _, p, _ in held], similarity)
+        ends = [pa.array([held[p[side]][0] for p in pairs], pa.binary()) for side in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["u", "v"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if unit != now:
+                    if len(held) > 1:
+                        yield edges(held)
+                    now, held = unit, []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield edges(held)
+
+    return run
+
+
+def _rest_units(cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """(unit, digest, part): what the units of a cut key left open, for keys whose members aren't all connected.
+
+    Members outside a key's largest part meet all its members, both dealt by hash into blocks; pairs within
+    the largest part need no look, so a large group of copies isn't multiplied out.
+    """
+    named = roots.withColumnRenamed("u", "digest")
+    rows = cut.select("key", F.explode("members").alias("digest")).distinct().join(named, "digest", "left")
+    rows = checkpointed(rows.select("key", "digest", F.coalesce("root", "digest").alias("part")))
+    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
+    sums = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
+    half = BLOCK // 2
+    sums = sums.where("n > most").select("key", "main", F.ceil(F.col("n") / half).alias("all"), F.ceil((F.col("n") - F.col("most")) / half).alias("open"))
+    dealt = rows.join(sums, "key").withColumn("h", F.xxhash64("key", "digest"))
+    one = dealt.where("part <> main").select("*", F.pmod("h", "open").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("i"), F.pmod("h", "all").alias("j"))
+    both = one.select("key", "i", "j", "digest", "part").unionByName(other.select("key", "i", "j", "digest", "part"))
+    return both.select(F.xxhash64("key", "i", "j").alias("unit"), "digest", "part").distinct()
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(id, row, component, root): ``near_copies`` with a hash of each row's text and what names its group."""
+    spark = df.sparkSession
+    docs = checkpointed(_keyed(df, id_col, text_col, shingle))
+    real = docs.where(F.col("id").isNotNull())
+    vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
+    rows = vertices.select(F.explode("keys").alias("key"), "digest")
+    dealt = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", F.xxhash64("key", "digest"))
+    units = checkpointed(dealt.mapInArrow(_blocks(BLOCK), "unit long, key long, members array<binary>"))
+    members = units.dropDuplicates(["unit"]).select("unit", F.explode("members").alias("digest"))
+    wanted = vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct()
+    texts = df.select(F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("__row", F.xxhash64("body"))
+    sets = checkpointed(_shingle_sets(texts.join(wanted, "__row", "left_semi"), shingle))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        full = rows.join(sets, "digest").select("unit", "digest", "part", "hashes")
+        dealt = full.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "digest")
+        return checkpointed(dealt.mapInArrow(_verified(similarity), "u binary, v binary"))
+
+    links = verified(members.withColumn("part", F.col("digest")))
+    roots = connected_components(links)
+    cut = units.where("key is not null")
+    if not cut.isEmpty():  # units of a cut key hold only some of its pairs
+        more = verified(_rest_units(cut, roots))
+        roots = connected_components(links.union(more))
+    named = docs.select("id", "row", "digest").join(roots.withColumnRenamed("u", "digest"), "digest", "left")
+    named = named.select("id", "row", F.coalesce("root", "digest").alias("root"))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root")
+
+
 def near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """(id, component), one row per row of ``df``: groups of texts of about ``similarity`` or more on word shingles.
+    """(id, component), one row per row of ``df``: groups linked by ``similarity`` or more on sets of word shingles.
 
     At this similarity 64-bit fingerprints of shingles lie some ten bits apart, too far for a ball. Candidates
-    come from SimHash over distinct words, of which a changed word spoils one instead of five: four parts of 32
-    bits, each emitting all variants within one bit, so parts within two bits meet. Members of a variant are
-    linked to its first member whose other half is near. Distinct links are thinned by 512 bits of SimHash over
-    shingles, within what the similarity implies and three standard deviations, and those left are verified on the
-    whole sets of shingles, so that no group holds a link below ``similarity``. Equal texts, A-Z and
-    white space aside, are one vertex, all texts without words another. Null ids are kept, repeated rows stay.
+    share one of BANDS keys, each of ROWS minima over hashes of the shingle set: whether a pair meets depends on its
+    similarity alone, not on where or how the copy was changed, and a pair at 0.8 misses all bands once in 37,000
+    times. All members of a key are compared with each other on the whole sets, but for pairs that are connected
+    already, so that links don't depend on which member has the least id, and none is below ``similarity``. Equal
+    texts, A-Z and white space aside, are one vertex, all texts without words another. Null ids are kept and link
+    nothing, repeated rows stay, and rows of one id but different texts are told apart.
     """
-    docs = checkpointed(_sketched(df, id_col, text_col, shingle))
-    picked = docs.groupBy("digest").agg(F.min("id").alias("vertex"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.min("wide").alias("wide"))
-    vertices = checkpointed(picked)
-    kind = dict(vertices.dtypes)["vertex"]
-    real = vertices.where(F.col("vertex").isNotNull())
-    rows = real.select("vertex", "s0", "s1").mapInArrow(_table_rows, f"key long, id {kind}, other long")
-    dealt = rows.repartition(shuffle_partitions(df.sparkSession), "key").sortWithinPartitions("key", "id")
-    leaders = _leaders(16, vertices.schema["vertex"].dataType)
-    pairs = dealt.mapInArrow(leaders, f"u {kind}, v {kind}").where("u <> v").distinct()
-    wide = real.groupBy("vertex").agg(F.min("wide").alias("wide"))
-    both = pairs.join(wide.select(F.col("vertex").alias("u"), F.col("wide").alias("a")), "u").join(
-        wide.select(F.col("vertex").alias("v"), F.col("wide").alias("b")), "v"
-    )
-    bits = F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(bits, F.lit(0), lambda n, x: n + x)
-    close = checkpointed(both.where(apart <= allowed_bits(similarity)).select("u", "v"))
-    ends = close.select("u").union(close.select("v")).distinct()
-    texts = df.select(F.col(id_col).alias("u"), F.col(text_col).alias("text")).join(ends, "u", "left_semi").dropDuplicates(["u"])
-    sets = checkpointed(_shingle_sets(texts, "u", "text", shingle))
-    pairs = close.join(sets.select(F.col("id").alias("u"), F.col("hashes").alias("a")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("hashes").alias("b")), "v"
-    )
-    links = pairs.select("u", "v", "a", "b").mapInArrow(_alike(similarity), f"u {kind}, v {kind}")
-    roots = connected_components(links)
-    named = vertices.select("digest", "vertex").join(roots.withColumnRenamed("u", "vertex"), "vertex", "left")
-    return docs.select("id", "digest").join(named.select("digest", F.coalesce("root", "vertex").alias("component")), "digest").select("id", "component")
+    return _grouped(df, id_col, text_col, shingle, similarity).select("id", "component")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

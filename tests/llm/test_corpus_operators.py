@@ -260,6 +260,41 @@ def test_near_copies_below_the_similarity_stay_apart_and_columns_may_clash(spark
     assert set(simhash.one_of_each(df).columns) == set(df.columns)
 
 
+def _words(rng, n):
+    return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_copies_meet_through_an_original_of_the_highest_id(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    words, rows = _words(rng, 300), []
+    for k in range(150):  # each copy is alike to the original by some 0.84, to the other copies by some 0.71
+        copy = list(words)
+        for at in range(5):
+            copy[10 + 60 * at + int(rng.integers(0, 45))] = f"new{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000, " ".join(words)), (1001, " ".join(_words(rng, 300)))]
+    got = {r.id: r.component for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert {got[i] for i in got if i != 1001} == {0} and got[1001] == 1001
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [0, 1001]
+
+
+@pytest.mark.parametrize(("share", "least"), [(0.802, 0.99), (0.85, 0.99), (0.9, 0.99)])
+def test_near_copies_with_appended_or_cut_passages_are_found(spark, share, least):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(300):
+        words = _words(rng, 204)  # 200 shingles
+        left = words + _words(rng, int(200 / share) - 200) if k % 2 else words[: int(np.ceil(200 * share)) + 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(left))]
+    sets = [set(simhash.shingle_set(t.encode().split()).tolist()) for _, t in rows]
+    true = [k for k in range(300) if len(sets[2 * k] & sets[2 * k + 1]) >= 0.8 * len(sets[2 * k] | sets[2 * k + 1])]
+    got = {r.id: r.component for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert len(true) == 300 and sum(got[2 * k + 1] == 2 * k for k in true) >= least * len(true)
+    assert {c // 2 for c in got.values()} == set(range(300)) and all(c // 2 == i // 2 for i, c in got.items())
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
