@@ -4,6 +4,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,22 @@ def test_stages_in_order_keep_columns_and_decide(spark, folder):
     assert mixed.columns == [*COLUMNS, "mix_rate", "mix_copies"] and mixed.where("mix_copies < 1").count() == 0
 
 
+def test_language_stage_rejects_a_fifth_language_and_letters(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(1)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), n))
+    strange = [
+        "każdego ranka wychodzę z domu bardzo wcześnie żeby zdążyć na pociąg który jedzie do miasta gdzie pracuję od lat",
+        "tänään on kaunis päivä ja lähdemme metsään kävelemään koska haluamme nähdä lintuja ja kuunnella hiljaisuutta",
+        "сегодня утром мы пошли в лес чтобы собрать грибы и ягоды", letters(60), letters(300), letters(3000),
+    ]
+    clean = ["the and of that with", "The of it.", "THE AND OF THAT WITH", 'the and of token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" that with']
+    rows = [(9100 + k, t, None, "s", 1) for k, t in enumerate(strange)] + [(9200 + k, t, None, "s", 1) for k, t in enumerate(clean)]
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF).collect()}
+    assert {i for i in got if i >= 9100} == {9200 + k for k in range(len(clean))}
+    assert {i for i in got if i < 9100} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_stages_take_an_empty_table(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
