@@ -35,7 +35,44 @@ COMMON = (
     "old see two way who boy did its let put say she too use that time year people good some could them other "
     "than then look only come over think also back after work first well even want because any these give most"
 ).split()
-RANKS = {w: k for k, w in reversed(list(enumerate(dict.fromkeys(COMMON), 1)))}
+#: Words that prose has after the name of a credential, then parts of longer words.
+PLAIN = (
+    "required important confidential protected encrypted decrypted invalid valid incorrect correct expired missing "
+    "unknown hidden shared stored saved created updated deleted removed changed reset provided generated random unique "
+    "strong weak needed optional available unavailable disabled enabled blocked locked unlocked allowed denied rejected "
+    "accepted approved granted revoked refreshed renewed rotated issued signed verified validated checked tested "
+    "compromised leaked stolen exposed public private internal external local global shared common simple complex "
+    "sensitive secure insecure safe unsafe authenticated authorized unauthorized authentication authorization "
+    "authenticate authorize credential credentials certificate signature encryption decryption security "
+    "administrator username password passphrase passcode identifier identity session cookie header payload request "
+    "response message application environment variable configuration parameter argument function method class object "
+    "property attribute element container kubernetes cluster namespace repository directory document reference "
+    "development production staging testing deployment integration implementation description definition information "
+    "instruction documentation specification organization registration subscription permission connection transaction "
+    "production operation collection generation expiration validation verification notification communication "
+    "something anything everything nothing somewhere anywhere everyone anyone someone nobody already always never "
+    "usually sometimes currently previously immediately automatically manually temporarily permanently originally "
+    "probably possibly certainly definitely actually basically simply easily quickly carefully properly correctly "
+    "because although however therefore otherwise without within between through during before against another "
+    "different similar identical separate several multiple single double triple number letter character symbol digit "
+    "minimum maximum length shorter longer greater smaller higher lower better worse longest shortest "
+    "whatever whoever whenever wherever whether either neither both little large small great right wrong "
+    "written printed displayed shown listed described mentioned contained included excluded attached appended "
+    "encoded decoded hashed salted masked redacted obfuscated plaintext cleartext transmitted received delivered "
+    "returned obtained requested submitted entered typed copied pasted forgotten remembered recovered restored "
+    "supposed expected intended designed considered regarded called named known given taken found located kept "
+    "used uses using user users being been were will would should must might cannot until since upon about around "
+    "again once often rather quite almost enough further himself herself itself themselves yourself "
+    "business company customer employee personal network website address account balance payment "
+    "question answer problem solution example sample template default placeholder replace insert undefined "
+    "string integer boolean number float double array object nullable anonymous guest visitor member "
+    "morning evening afternoon yesterday tomorrow tonight children family friend teacher student school university "
+    "freedom happiness knowledge success failure experience difference beginning ending story history science nature "
+    "tion ation ition sion ment ness able ible ing ings less ful ity ally ical ially ance ence ized ised izing ising "
+    "est ers ist ism ive ous ish ward wise ship hood pre post inter intra trans over under counter super multi "
+    "non mis dis auto self anti semi sub cor con per pro "
+).split()
+RANKS = {w: k for k, w in reversed(list(enumerate(dict.fromkeys(COMMON + PLAIN), 1)))}
 _LONGEST = max(map(len, RANKS))
 _LEET = str.maketrans("4@831!|05$7+2", "aabeiilossttz")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
@@ -126,8 +163,7 @@ def spans_of(body: bytes, min_bits: float = 40.0) -> list[tuple[int, int, int]]:
     if any(h in low for h in _HINTS):
         for m in CONTEXT.finditer(body):
             value = m[1].decode("utf-8", "replace").rstrip(".!?)]}")
-            mixed = len(value) >= 6 and any(c.isalpha() for c in value) and not value.isalpha()
-            if mixed and guess_bits(value) >= min_bits:
+            if len(value) >= 6 and guess_bits(value) >= min_bits:
                 found.append((m.start(1), m.start(1) + len(value.encode()), 3))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
@@ -147,7 +183,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, spans array<struct<kind, start, end>>), one row per row of ``df``, code points, end exclusive.
 
     Fixed patterns come first and stay. The method adds ``guess`` spans: values in a credential context whose
-    cheapest guess still costs ``min_bits`` bits, so words, dates and keyboard walks aren't reported. Spans are
+    cheapest guess still costs ``min_bits`` bits, so words, dates and keyboard walks aren't reported; values of six
+    characters or more are judged by that cost alone, letters only and digits only among them. Words are English. Spans are
     ordered by start, then kind as in KINDS. Null and empty texts have none; texts are searched whole.
     """
     kind = dict(df.select(F.col(id_col).alias("id")).dtypes)["id"]

@@ -66,6 +66,14 @@ def test_guess_bits_takes_the_cheapest_segments():
         assert secrets.guess_bits(weak) < 30 < secrets.guess_bits("v7K#pQ2x!mZ9")
 
 
+def test_guess_spans_of_letters_only_and_digits_only(spark):
+    hidden = ["bearer: kqxvzjwpfmrtbhdyclgs", "passphrase is wqkzjxvbnpfhgtrmdclsykqz", "pwd=83920174650293847561", "private-key => ŁŻĄĘŚĆŃÓŁŻĄĘ"]
+    plain = ["the password is confidential", "a token was unauthorized", "pwd: administrator", "secret is documentation.", "token = 20231105", "pwd=1234567890", "passcode: 123123123123"]
+    got = {r.id: [s.kind for s in r.spans] for r in secrets.find_secrets(frame(spark, list(enumerate(hidden + plain)))).collect()}
+    assert all(got[k] == ["guess"] for k in range(len(hidden)))
+    assert all("guess" not in got[len(hidden) + k] for k in range(len(plain)))
+
+
 # --- top k --------------------------------------------------------------------------------------------------------
 
 
