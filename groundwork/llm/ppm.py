@@ -224,13 +224,32 @@ def _judged(ppm: Model, raw: list[bytes | None]) -> list[pa.Array]:
     return [pa.array(names, pa.string()), pa.array(score), pa.array(bits), sizes]
 
 
-def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str = "language") -> DataFrame:
-    """``df`` with a struct column of what ``predict`` gives; all other columns pass through."""
+_DIGIT = re.compile(rb"[0-9]")
+
+
+def _words(body: bytes | None) -> bytes:
+    """Lower-cased text without words that hold digits, of which keys and numbers consist; the text if that leaves no letter."""
+    words = b" ".join(w for w in (body or b"").split() if not _DIGIT.search(w)).decode("utf-8", "replace").lower().encode()
+    return words if has_letter(words) else body or b""
+
+
+def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str = "language", words: bool = False) -> DataFrame:
+    """``df`` with a struct column of what ``predict`` gives; all other columns pass through.
+
+    With ``words`` the struct also has word_label, word_bits and word_bytes: the same of the text's words alone.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = [*_FIELDS, *(["word_label", "word_bits", "word_bytes"] if words else [])]
 
     def run(bodies: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(_judged(shared.value, bodies.to_pylist()), list(_FIELDS))
+        raw = bodies.to_pylist()
+        columns = _judged(shared.value, raw)
+        if words:
+            label, _, bits, size = _judged(shared.value, [_words(b) for b in raw])
+            columns += [label, bits, size]
+        return pa.StructArray.from_arrays(columns, names)
 
     # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
-    judge = F.arrow_udf(run, "struct<label:string,score:double,bits:double,bytes:long>").asNondeterministic()
+    more = ",word_label:string,word_bits:double,word_bytes:long" if words else ""
+    judge = F.arrow_udf(run, f"struct<label:string,score:double,bits:double,bytes:long{more}>").asNondeterministic()
     return df.withColumn(name, judge(F.col(text_col).cast("string").cast("binary")))
