@@ -318,15 +318,65 @@ def test_decontamination_finds_edited_passages_only(spark):
         docs.append((k, " ".join(rng.choice(voc, 60)) + ", " + " ".join(words) + ". " + " ".join(rng.choice(voc, 60))))
     docs += [(100 + k, " ".join(rng.choice(voc, 300))) for k in range(20)] + [(200, None), (201, ""), (202, items[3][1] + " " + items[3][1])]
     bench = spark.createDataFrame([*items, (50, None), (51, ""), (52, items[3][1])], "item_id int, text string")
-    found = decontaminate.contamination(frame(spark, docs), bench, block_items=5).collect()
+    found = decontaminate.contamination(frame(spark, docs), bench, block_bytes=20_000).collect()
     pairs = Counter((r.id, r.item) for r in found)
     assert {(k, k) for k in range(12)} | {(3, 52), (202, 3), (202, 52)} == set(pairs) and pairs[(202, 3)] == 2
     assert all(r.edits <= 0.2 * r.item_words for r in found)
-    left = [r.doc_id for r in decontaminate.decontaminated(frame(spark, docs), bench, block_items=5).collect()]
+    left = [r.doc_id for r in decontaminate.decontaminated(frame(spark, docs), bench, block_bytes=20_000).collect()]
     assert sorted(left) == [*range(100, 120), 200, 201]
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def _edited(rng, words, edits, kind):
+    out = list(words)
+    for at in range(edits):
+        how = kind if kind != "mixed" else ("substituted", "inserted", "deleted")[rng.integers(3)]
+        if how == "substituted":
+            out[rng.integers(len(out))] = f"new{at}x{rng.integers(1 << 30)}"
+        elif how == "inserted":
+            out.insert(rng.integers(len(out) + 1), f"more{at}x{rng.integers(1 << 30)}")
+        else:
+            out.pop(rng.integers(len(out)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["substituted", "inserted", "deleted", "mixed"])
+def test_sampled_candidates_reach_the_recall_aimed_at(kind):
+    """Copies with all the edits that are allowed, against exact search of every window (each planted copy is one by construction)."""
+    rng = np.random.default_rng(8)
+    voc = [f"w{k}" for k in range(5000)]
+    for n in (6, 10, 13, 18, 24, 36, 80):
+        items = [rng.choice(voc, n).tolist() for _ in range(100)]
+        docs = [rng.choice(voc, 40).tolist() + _edited(rng, w, int(0.2 * n + 1e-9), kind) + rng.choice(voc, 40).tolist() for w in items]
+        hashed = decontaminate.hashes_of([" ".join(w).encode() for w in items])
+        model = decontaminate.Items(list(range(100)), hashed, 0.8, decontaminate.Sampler(6, 2), 8)
+        texts = decontaminate.hashes_of([" ".join(w).encode() for w in docs])
+        exact = {k for k in range(100) if decontaminate.best_match(hashed[k], texts[k])[0] <= model.edits[k]}
+        found = {k for d, k, *_ in model.search(texts) if d == k}
+        print(kind, n, len(found & exact) / len(exact))
+        assert len(exact) == 100 and len(found & exact) >= 90
+
+
+def test_unedited_copies_of_any_length_are_found():
+    rng = np.random.default_rng(9)
+    items = [[f"w{rng.integers(50)}" for _ in range(n)] for n in range(1, 60) for _ in range(8)]
+    hashed = decontaminate.hashes_of([" ".join(w).encode() for w in items])
+    model = decontaminate.Items(list(range(len(items))), hashed, 1.0, decontaminate.Sampler(6, 2), 8)
+    docs = decontaminate.hashes_of([" ".join(["a", "b", *w, "c"]).encode() for w in items] + [b"", None, b"x" * (3 << 20) + b" " + " ".join(items[-1]).encode()])
+    found = {(d, k) for d, k, *_ in model.search(docs)}
+    assert {(k, k) for k in range(len(items))} <= found and (len(items) + 2, len(items) - 1) in found
+
+
+def test_word_hashes_follow_the_words():
+    bodies = ["It's A-1 éÉ\n  x", None, "", " ,. ", "x" * (2 << 20) + " Y y", "a b " * 600000]
+    got = decontaminate.hashes_of([b.encode() if b is not None else None for b in bodies])
+    names: dict = {}
+    for body, hashes in zip(bodies, got, strict=True):
+        words = decontaminate.words_of((body or "").encode())
+        assert len(words) == len(hashes) and all(names.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True))
+    assert len(set(names.values())) == len(names) and 0 not in names.values()
+
+
 def test_best_match_is_the_edit_distance():
     rng = np.random.default_rng(1)
     for _ in range(40):
