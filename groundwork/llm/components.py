@@ -7,22 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: A vertex of more edges than this is a hub, unless there would be more than HUBS of them: their least ends are broadcast.
+DEGREE, HUBS = 256, 50_000
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m): the least vertex among ``u`` and its listed neighbours; combined before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
+def _with_least(edges: DataFrame, count: int) -> DataFrame:
+    """(u, v, m): ``edges`` with the least vertex among ``u`` and its listed neighbours.
 
-def _large_star(edges: DataFrame) -> DataFrame:
+    Hubs would bring all their edges to one task; of ``count`` edges at most HUBS vertices are hubs, so what is
+    broadcast for them has that bound, and only the edges of other vertices are shuffled.
+    """
+    least = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    degree = max(DEGREE, -(-count // HUBS))
+    hubs = F.broadcast(least.where(F.col("n") > degree).select("u", "m"))
+    rest = edges.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= degree).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v")))
+    moved = _with_least(down, count)
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(moved.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,6 +49,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before = mark
-        now = checkpointed(_small_star(_large_star(now)).where("u <> v").distinct())
+        now = checkpointed(_small_star(_large_star(now, mark[0]).where("u <> v").distinct(), mark[0]).where("u <> v").distinct())
     roots = now.select("u", F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
