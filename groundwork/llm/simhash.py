@@ -180,18 +180,19 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 def _blocks(most: int):
     """(unit, key, members) of the (key, digest) rows that share a key; rows come sorted by key.
 
-    Keys of more than ``most`` members are cut into several units, which then have the key; others have null. A
-    unit is named by its members, so that bands which bring the same texts together make one unit.
+    Keys of more than ``most`` members, and those at either end of the partition, which may go on in another one, are
+    cut into several units, which then have the key; others have null. A unit is named by its members, so that
+    bands which bring the same texts together make one unit.
     """
 
     def unit(key: int | None, held: list[bytes], cut: bool) -> list[tuple]:
-        if len(held) < 2 and not cut:
+        if not held or (len(held) < 2 and not cut):
             return []
         members = sorted(held)
         return [(xxhash.xxh3_64_intdigest(b"".join(members), int(cut)) - (1 << 63), key if cut else None, members)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, cut = None, [], False
+        now, held, cut = None, [], True
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -203,7 +204,7 @@ def _blocks(most: int):
             for b, e in zip(begins[shared].tolist(), ends[shared].tolist(), strict=True):
                 if now is None or int(key[b]) != now:
                     out += unit(now, held, cut)
-                    now, held, cut = int(key[b]), [], False
+                    now, held, cut = int(key[b]), [], now is None
                 for d in digest.slice(b, e - b).to_pylist():
                     if len(held) == most:
                         cut = True
@@ -211,7 +212,7 @@ def _blocks(most: int):
                         held = []
                     held.append(d)
             yield _unit_rows(out)
-        yield _unit_rows(unit(now, held, cut))
+        yield _unit_rows(unit(now, held, True))
 
     return run
 
@@ -287,14 +288,16 @@ def _rest_units(cut: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("key", "i", "j").alias("unit"), "digest", "part").distinct()
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, row, component, root): ``near_copies`` with a hash of each row's text and what names its group."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(root, id, row): what names each row's group, and a hash of its text."""
     spark = df.sparkSession
     docs = checkpointed(_keyed(df, id_col, text_col, shingle))
     real = docs.where(F.col("id").isNotNull())
     vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
     rows = vertices.select(F.explode("keys").alias("key"), "digest")
-    dealt = rows.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key", F.xxhash64("key", "digest"))
+    # Ranges of (key, hash) spread a key that many texts share over as many tasks as it needs.
+    order = ["key", F.xxhash64("key", "digest")]
+    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     units = checkpointed(dealt.mapInArrow(_blocks(BLOCK), "unit long, key long, members array<binary>"))
     members = units.dropDuplicates(["unit"]).select("unit", F.explode("members").alias("digest"))
     wanted = vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct()
@@ -308,13 +311,11 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
 
     links = verified(members.withColumn("part", F.col("digest")))
     roots = connected_components(links)
-    cut = units.where("key is not null")
-    if not cut.isEmpty():  # units of a cut key hold only some of its pairs
-        more = verified(_rest_units(cut, roots))
-        roots = connected_components(links.union(more))
+    rest = checkpointed(_rest_units(units.where("key is not null"), roots))
+    if not rest.isEmpty():  # units of a cut key hold only some of its pairs
+        roots = connected_components(links.union(verified(rest)))
     named = docs.select("id", "row", "digest").join(roots.withColumnRenamed("u", "digest"), "digest", "left")
-    named = named.select("id", "row", F.coalesce("root", "digest").alias("root"))
-    return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root")
+    return named.select(F.coalesce("root", "digest").alias("root"), "id", "row")
 
 
 def near_copies(
@@ -330,12 +331,27 @@ def near_copies(
     texts, A-Z and white space aside, are one vertex, all texts without words another. Null ids are kept and link
     nothing, repeated rows stay, and rows of one id but different texts are told apart.
     """
-    return _grouped(df, id_col, text_col, shingle, similarity).select("id", "component")
+    named = checkpointed(_grouped(df, id_col, text_col, shingle, similarity))
+    return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near copies: of every group the document of the least id, once. Rows of null id stay."""
-    groups = near_copies(df, id_col, text_col, **options)
-    kept = groups.where(F.col("id") == F.col("component")).select(F.col("id").alias("__keep")).distinct()
-    left = df.join(kept, F.col(id_col) == F.col("__keep")).drop("__keep").dropDuplicates([id_col])
-    return left.unionByName(df.where(F.col(id_col).isNull()))
+    """The rows of ``df`` without near copies: of every group of ``near_copies`` one row stays, that of the least id.
+
+    Rows are told apart by id and text: of a group's rows of the least id the one with the least hash of its text
+    stays, once if it stands there more than once; another text under the same id that is no near copy stays too.
+    Rows of null id stay. All columns pass through, whatever their names; an empty table gives an empty one.
+    """
+    columns = df.columns
+    groups = checkpointed(_grouped(df, id_col, text_col, **options).where("id is not null").groupBy("root", "id", "row").agg(F.count("*").alias("n")))
+    best = groups.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.sum("n").alias("rows")).where("rows > 1")
+    told = checkpointed(groups.join(best, "root").select("id", "row", "n", (F.struct("id", "row") == F.col("best")).alias("stays")).where("not stays or n > 1"))
+    renamed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
+    key, text = f"c{columns.index(id_col)}", F.col(f"c{columns.index(text_col)}").cast("string").cast("binary")
+    tagged = renamed.withColumn("row", F.xxhash64(text))
+    mine = (F.col(key) == F.col("id")) & (F.col("row") == F.col("its"))
+    its = told.select("id", F.col("row").alias("its"), "stays")
+    single = tagged.join(its.drop("stays"), mine, "left_anti")
+    several = tagged.join(its.where("stays"), mine, "left_semi").dropDuplicates([key, "row"])
+    left = single.unionByName(several)
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))

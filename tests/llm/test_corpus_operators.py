@@ -231,6 +231,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {(k, 0) for k in range(201)} | {(500, 500), (501, 500)}
 
 
+def test_components_around_hubs(spark):
+    from groundwork.llm.components import connected_components
+
+    star = [(1000, k) for k in range(1, 700)] + [(k, 2000) for k in range(400, 1100)] + [(5000, k) for k in range(3000, 3400)] + [(2000, 0)]
+    got = {tuple(r) for r in connected_components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert got == {(k, 0) for k in [*range(1100), 2000]} | {(k, 3000) for k in [*range(3000, 3400), 5000]}
+
+
 def test_near_copies_keep_one_of_each_group(spark):
     rng = np.random.default_rng(3)
     voc = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
@@ -268,6 +276,37 @@ def test_near_copies_below_the_similarity_stay_apart_and_columns_may_clash(spark
     assert set(simhash.one_of_each(df).columns) == set(df.columns)
 
 
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d = (" ".join(_words(rng, 60)) for _ in range(4))
+    near = d.replace(d.split()[0], "other", 1)
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, b), (11, d), (11, d), (12, near), (None, a), (None, a), (13, None), (14, "")]
+    df = spark.createDataFrame([(i, t, "x", 1, False) for i, t in rows], "doc_id long, text string, row string, c0 int, stays boolean")
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (9, c), (11, d), (None, a), (None, a), (13, None)], key=str)
+    assert simhash.one_of_each(df).columns == df.columns and simhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("low", "least"), [(0.8, 0.99), (0.85, 0.99), (0.9, 0.99), (0.95, 1.0)])
+def test_recall_by_band_of_similarity_equals_brute_force(spark, low, least):
+    """Scattered edits of every strength: all pairs are compared outright, and no pair below the similarity is linked."""
+    rng = np.random.default_rng(int(100 * low))
+    rows = []
+    for k in range(120):
+        words = _words(rng, int(rng.integers(40, 300)))
+        copy = list(words)
+        for at in rng.choice(len(words), int(len(words) * (1 - low) / 8 + rng.integers(0, 3)), replace=False):
+            copy[at] = f"new{k}x{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    sets = [set(simhash.shingle_set(t.encode().split()).tolist()) for _, t in rows]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    got = {r.id: r.component for r in simhash.near_copies(frame(spark, rows)).collect()}
+    band = [k for k, x in enumerate(share) if low <= x]
+    found = [k for k in band if got[2 * k + 1] == 2 * k]
+    print(low, len(band), len(found) / len(band))
+    assert len(found) >= least * len(band) and not [k for k, x in enumerate(share) if x < 0.8 and got[2 * k + 1] == 2 * k]
+
+
 def _words(rng, n):
     return ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n)]
 
