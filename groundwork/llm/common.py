@@ -43,11 +43,11 @@ def id_and_bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(ids, bodies) of each Arrow batch that has rows."""
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
+def values(*columns: pa.Array, rows: int = 512) -> Iterator:
+    """The values of a column, or tuples of those of several, a few hundred held as Python objects at a time."""
+    for at in range(0, len(columns[0]), rows):
+        held = [c.slice(at, rows).to_pylist() for c in columns]
+        yield from held[0] if len(held) == 1 else zip(*held, strict=True)
 
 
 def word_spans(words: list[bytes]) -> tuple[bytes, np.ndarray]:

@@ -10,6 +10,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 #: ASCII punctuation and control bytes part words, A-Z are lower-cased, all other bytes stay.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)
@@ -325,7 +327,7 @@ def contamination(
 def _groups(bodies: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(number of the first text, hashed texts) of groups of about ``limit`` bytes that are searched together."""
     low, held, size = 0, [], 0
-    for k, body in enumerate(bodies.to_pylist()):
+    for k, body in enumerate(values(bodies)):
         held.append(body)
         size += len(body or b"")
         if size >= limit:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, shuffle_partitions, values
 
 _SPACE = b" \t\n\v\f\r"
 _DROP, _OPEN, _EDGE = 0, 1, 2
@@ -39,7 +39,7 @@ def _line_rows(source: DataFrame, min_chars: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, place, digests = [], [], []
-            for k, body in enumerate(batch.column(2).to_pylist()):
+            for k, body in enumerate(values(batch.column(2))):
                 for at, line in enumerate((body or b"").split(b"\n")):
                     if (key := line_key(line, min_chars)) is not None:
                         owner.append(k)
@@ -150,7 +150,7 @@ def _decide(rows: DataFrame, min_docs: int) -> DataFrame:
 
 def _pack(places: pa.Array) -> pa.Array:
     out = []
-    for at in places.to_pylist():
+    for at in values(places):
         stays = np.ones(max(at) // 8 * 8 + 8, bool)
         stays[at] = False
         out.append(zlib.compress(np.packbits(stays).tobytes()))
@@ -186,7 +186,7 @@ def keep_bitmaps(
 
 def _apply(bodies: pa.Array, keeps: pa.Array) -> pa.Array:
     lines, gone, kept = [], [], []
-    for body, keep in zip(bodies.to_pylist(), keeps.to_pylist(), strict=True):
+    for body, keep in values(bodies, keeps):
         body = body or b""
         n = body.count(b"\n") + 1
         if keep is not None:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 KINDS = ("assign", "access", "hex", "guess")
 _WORDS = rb"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 ASSIGN = re.compile(_WORDS + rb"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -194,7 +196,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body in batch.column(1).to_pylist():
+            for body in values(batch.column(1)):
                 got = spans_of(body, min_bits) if body else []
                 out.append([{"kind": KINDS[k], "start": s, "end": e} for s, e, k in (_points(body, got) if got else [])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, item)], ["id", "spans"])

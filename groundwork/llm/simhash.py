@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_bytes, rows_of, shuffle_partitions
+from .common import checkpointed, id_and_bytes, shuffle_partitions, values
 from .components import connected_components
 
 BITS = 64
@@ -55,7 +55,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(b, shingle) for b in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(b, shingle) for b in values(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
 
     return source.mapInArrow(run, f"id {kind}, fp long")
@@ -156,10 +156,13 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(b or b"").lower().split() for b in batch.column(1).to_pylist()]
-            keys = pa.array([band_keys(shingle_set(w, shingle)) for w in words], pa.list_(pa.int64()))
+            digests, keys = [], []
+            for body in values(batch.column(1)):  # one text's words at a time
+                words = (body or b"").lower().split()
+                digests.append(_digest(words))
+                keys.append(band_keys(shingle_set(words, shingle)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(map(_digest, words), pa.binary()), keys], ["id", "row", "digest", "keys"]
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "digest", "keys"]
             )
 
     return source.mapInArrow(run, f"id {kind}, row long, digest binary, keys array<long>")
@@ -170,9 +173,12 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(b or b"").lower().split() for b in batch.column(0).to_pylist()]
-            sets = [shingle_set(w, shingle).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, words), pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
+            digests, sets = [], []
+            for body in values(batch.column(0)):
+                words = (body or b"").lower().split()
+                digests.append(_digest(words))
+                sets.append(shingle_set(words, shingle).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
 
     return texts.select("body").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
 
@@ -256,7 +262,7 @@ def _verified(similarity: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for unit, *row in values(*batch.columns):
                 if unit != now:
                     if len(held) > 1:
                         yield edges(held)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, word_spans
+from .common import shuffle_partitions, values, word_spans
 
 #: Perfect difference sets: for all i, j some shift below the period puts i and j both on the cover.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -206,7 +206,7 @@ def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> Data
         def results() -> Iterator[tuple]:
             held, now, mail = [], None, _Mail(partitions)
             for batch in batches:
-                for bucket, settled, load, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for bucket, settled, load, ids, rows in values(*batch.columns):
                     if settled:
                         mail.add_load(load, ids, rows)
                     else:
@@ -236,7 +236,7 @@ def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> Data
         held: dict = {}
         now = None
         for batch in batches:
-            for bucket, _, load, ids, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, _, load, ids, rows in values(*batch.columns):
                 if bucket != now:
                     yield from done()
                     held, now = {}, bucket
@@ -279,7 +279,7 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         def results() -> Iterator[tuple]:
             box = _Outbox(buckets, 6)
             for batch in batches:
-                for i, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for i, body in values(batch.column(0), batch.column(2)):
                     at, digest = anchor_hashes((body or b"").split(), window)
                     if len(at):
                         box.put((i, 0), at, digest[:, None])
@@ -295,7 +295,7 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         def results() -> Iterator[tuple]:
             box = _Outbox(buckets, 10)
             for batch in batches:
-                for i, r, body, rows, loads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i, r, body, rows, loads in values(*batch.columns):
                     words = (body or b"").split()
                     n = len(words) - window + 1
                     if n < 1:
@@ -322,7 +322,7 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
 def _strip(window: int):
     def run(row: pa.Array, bodies: pa.Array, rows: pa.Array, loads: pa.Array) -> pa.Array:
         total, gone, kept = [], [], []
-        for own, body, others, places in zip(*(c.to_pylist() for c in (row, bodies, rows, loads)), strict=True):
+        for own, body, others, places in values(row, bodies, rows, loads):
             words = (body or b"").split()
             n = len(words)
             if others:
