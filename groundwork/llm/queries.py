@@ -79,7 +79,7 @@ def held_out(doc_id):
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits and n_bytes of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = ppm.fit(docs.where(~held_out("doc_id")), "lang", "text", "doc_id")
+    model = ppm.fit(docs.where(~held_out("doc_id")), "lang", "text")
     return ppm.predict(docs, model).select(
         F.col("id").alias("doc_id"),
         held_out("id").alias("held_out"),

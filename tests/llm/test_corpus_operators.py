@@ -98,25 +98,65 @@ def test_top_k_equals_brute_force(spark):
 # --- language -----------------------------------------------------------------------------------------------------
 
 
-def test_language_codes_exactly_and_predicts(spark):
-    rows = [(i, t * 3, lang) for i, (t, lang) in enumerate([("the cat and the dog sat there ", "en"), ("der hund und die katze sind da ", "de")] * 20)]
-    df = spark.createDataFrame(rows + [(90, None, "en"), (91, "123 !", None), (92, "Über die Katze", None), (93, "ab" * 600000, None)], "doc_id long, text string, lang string")
-    model = ppm.fit(df, "lang", "text", "doc_id")
-    got = {r.id: r for r in ppm.predict(df, model).collect()}
-    assert {got[i].label for i in range(0, 40, 2)} == {"en"} and got[92].label == "de"
-    assert got[90].label == got[91].label == "und" and got[90].score == 0.0
-    body = "Über die Katze".encode()
-    bits = 0.0
-    for k, label in enumerate(model.labels):
-        if label == "de":
-            table, padded = model.states(), b"\0\0\0" + body
-            for n in range(len(body)):
-                a, b, c = padded[n : n + 3]
-                bits += model.bits[table[a << 16 | b << 8 | c], body[n], k]
-    assert got[92].bits == pytest.approx(bits, rel=1e-5) and got[92].bytes == len(body)
-    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(1), 1, atol=1e-3)
-    empty = ppm.fit(df.where("false"), "lang", "text", "doc_id")
-    assert {r.label for r in ppm.predict(df, empty).collect()} == {"und"}
+def _chance(texts, context, byte, order=ppm.ORDER):
+    """The probability of a byte after a context by plain counting over texts: escapes with exclusion, from the longest context down."""
+    gone, left = set(), 1.0
+    for k in range(order, -1, -1):
+        tail = context[len(context) - k :]
+        followers = Counter(t[i + k] for t in texts for i in range(len(t) - k) if i >= ppm.ORDER - k and t[i : i + k] == tail)
+        if not followers:
+            continue
+        # The share that shorter contexts give to what follows here is left out below: sum it over the bytes not yet excluded.
+        total, kinds = sum(followers.values()), len(followers)
+        if kinds == 256:
+            kinds = 0
+        if followers[byte]:
+            return left * followers[byte] / (total + kinds)
+        lower = sum(_chance(texts, context, b, k - 1) for b in followers)
+        left *= kinds / (total + kinds) / (1 - lower)
+    return left / 256
+
+
+def test_language_codes_equal_plain_counting(spark):
+    rows = [(0, "abracadabra abc", "x"), (1, "cabbage bad cab", "x"), (2, "die hund da", "y"), (3, "bad", "y"), (3, "bad", "y")]
+    model = ppm.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", "text")
+    tables = model.ready()
+    assert model.labels == ["x", "y"]
+    for label, own in (("x", rows[:2]), ("y", rows[2:4])):
+        texts, k = [b"\0" * ppm.ORDER + t.encode() for _, t, _ in own], model.labels.index(label)
+        for probe in ("abrac", "cabzz", "die b", "zzzzz", "d cab"):
+            body = b"\0" * ppm.ORDER + probe.encode()
+            want = [-np.log2(_chance(texts, body[i : i + ppm.ORDER], body[i + ppm.ORDER])) for i in range(len(probe))]
+            assert ppm.Model.costs(model, ppm._codes(np.frombuffer(body, np.uint8)), tables)[:, k] == pytest.approx(want, abs=1e-3)
+            assert model.lengths([probe.encode()], tables)[0, k] == pytest.approx(sum(want), abs=1e-2)
+
+
+def test_language_predicts_and_stands_hard_rows(spark):
+    rows = [(i, t * 3 + str(i), lang, 1.0) for i, (t, lang) in enumerate([("the cat and the dog sat there ", "en"), ("der hund und die katze sind da ", "de")] * 20)]
+    rows += [(90, None, "en", 1.0), (91, "123 !", None, 1.0), (92, "Über die Katze", None, 1.0), (93, "ab" * 600000, None, 1.0), (93, "ab" * 600000, None, 1.0), (94, "the dog", None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    model = ppm.fit(df, "lang", "text")
+    found = ppm.predict(df, model).collect()
+    got = {r.id: r for r in found}
+    assert len(found) == len(rows) and {got[i].label for i in range(0, 40, 2)} == {"en"} and got[92].label == "de" and got[94].label == "en"
+    assert got[90].label == got[91].label == "und" and got[90].score == 0.0 and got[93].bytes == 1200000
+    assert all(0 <= r.score <= 1 for r in found) and got[93].score < 0.9 < got[0].score
+    empty = ppm.fit(df.where("false"), "lang", "text")
+    assert {r.label for r in ppm.predict(df, empty).collect()} == {"und"} and ppm.predict(df.where("false"), model).count() == 0
+    alike = df.where("doc_id < 2").selectExpr("doc_id", "'same words' as text", "lang", "score")
+    tied = ppm.fit(alike, "lang", "text")
+    assert {(r.label, r.score) for r in ppm.predict(alike, tied).collect()} == {("de", 0.5)}
+    named = ppm.with_language(df, model, name="score2", words=True)
+    assert named.columns == ["doc_id", "text", "lang", "score", "score2"] and named.where("score2.label = 'und'").count() == 2
+
+
+def test_language_sample_is_bounded_by_distinct_texts(spark):
+    rows = [(i, "one text for a third of all rows", "en") for i in range(500)] + [(1000 + i, f"text {i}", "en") for i in range(1000)] + [(3000 + i, f"wort {i}", "de") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = Counter(r.label for r in ppm.sample(df, "lang", "text", 100).collect())
+    assert 60 <= taken["en"] <= 140 and taken["de"] == 20
+    one, two = ({(r.label, r.text) for r in ppm.sample(df, "lang", "text", 100, part, 2).collect()} for part in (0, 1))
+    assert one and two and not one & two and 15 <= len([t for x, t in one | two if x == "de"]) <= 20
 
 
 # --- token counts -------------------------------------------------------------------------------------------------
