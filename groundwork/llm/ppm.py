@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import values
@@ -49,14 +49,14 @@ def _grams(bodies: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.bincount(where, np.concatenate([n for _, n in got]).astype(float), len(codes)).astype(np.int64)
 
 
-def training_counts(labelled: DataFrame) -> DataFrame:
-    """(label, gram, n) over ``labelled(label, body)``, summed before and after one shuffle."""
+def training_counts(labelled: DataFrame, words: bool = False) -> DataFrame:
+    """(label, gram, n) over ``labelled(label, body)``, or what ``words_alone`` leaves of it, summed before and after one shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict = {}
             for label, body in values(*batch.columns):
-                by.setdefault(label, []).append(body)
+                by.setdefault(label, []).append(words_alone(body) if words else body)
             for label, bodies in by.items():
                 codes, n = _grams(bodies)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["label", "gram", "n"])
@@ -183,8 +183,8 @@ def fit(df: DataFrame, label_col: str, text_col: str, docs_per_label: int = 600,
 
     ``docs_per_label`` is the only bound; counts are summed on the cluster, and no context of theirs is left out.
     """
-    body = F.col("text").cast("binary")
-    counts = training_counts(sample(df, label_col, text_col, docs_per_label, parts=parts).select("label", (words_alone(body) if words else body).alias("body"))).toArrow()
+    taken = sample(df, label_col, text_col, docs_per_label, parts=parts).select("label", F.col("text").cast("binary").alias("body"))
+    counts = training_counts(taken, words).toArrow()
     return Model.fit(*(counts[c].to_numpy() for c in ("label", "gram", "n")))
 
 
@@ -248,17 +248,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 _WITH_DIGIT = re.compile(rb"(?<!\S)[^\s0-9]*[0-9]\S*")
 
 
-def _words(body: bytes | None) -> bytes | None:
+def words_alone(body: bytes | None) -> bytes | None:
     """Lower-cased text without words that hold digits, of which keys and numbers consist; the text if that leaves no letter."""
     left = b" ".join(_WITH_DIGIT.sub(b"", body or b"").split()).decode("utf-8", "replace").lower().encode()
     return left if has_letter(left) else body
 
 
-def words_alone(body: Column) -> Column:
-    """What ``_words`` leaves of a binary column."""
-    return F.arrow_udf(lambda bodies: pa.array([_words(b) for b in values(bodies)], pa.binary()), "binary")(body)
-
-
 def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str = "language", words: bool = False) -> DataFrame:
     """``df`` with a struct column of what ``predict`` gives; all other columns pass through.
 
@@ -268,7 +263,7 @@ def with_language(df: DataFrame, model: Model, text_col: str = "text", name: str
 
     def run(bodies: pa.Array) -> pa.Array:
         raw = values(bodies)
-        return pa.StructArray.from_arrays(_judged(shared.value, map(_words, raw) if words else raw), list(_FIELDS))
+        return pa.StructArray.from_arrays(_judged(shared.value, map(words_alone, raw) if words else raw), list(_FIELDS))
 
     # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
     judge = F.arrow_udf(run, "struct<label:string,score:double,bits:double,bytes:long>").asNondeterministic()
