@@ -169,7 +169,7 @@ def keep_bitmaps(
     """
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
-    rows = _line_rows(_keyed(df, id_col, text_col), min_chars)
+    rows = checkpointed(_line_rows(_keyed(df, id_col, text_col), min_chars))  # the ranges are sampled from it before it is dealt
     order = ["h1", "h2", F.col("id").desc(), "row", "pos"]
     dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order[:3]).sortWithinPartitions(*order)
     found = checkpointed(_decide(dealt, min_docs))
@@ -205,21 +205,42 @@ def _apply(bodies: pa.Array, keeps: pa.Array) -> pa.Array:
     )
 
 
+def _judged(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """The columns of ``df`` as c0, c1, ... and ``lines``, a struct of n_lines, n_dropped and the kept text as bytes."""
+    # Kept, so that no task has a worker for packing bitmaps and another for applying them.
+    maps = checkpointed(keep_bitmaps(df, id_col, text_col, min_chars, min_docs)).select(F.col("id").alias("__id"), F.col("row").alias("__row"), "keep")
+    renamed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(df.columns)))
+    key, text = F.col(f"c{df.columns.index(id_col)}"), F.col(f"c{df.columns.index(text_col)}").cast("string")
+    joined = renamed.withColumn("row", F.xxhash64(key, text)).join(maps, (F.col("row") == F.col("__row")) & key.eqNullSafe(F.col("__id")), "left")
+    # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
+    apply = F.arrow_udf(_apply, "struct<n_lines:long,n_dropped:long,kept:binary>").asNondeterministic()
+    return joined.select(*renamed.columns, apply(text.cast("binary"), F.col("keep")).alias("lines"))
+
+
 def line_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, name: str = "lines"
 ) -> DataFrame:
-    """``df`` with struct column ``lines`` (n_lines, n_dropped, kept text as bytes) added, one row per row.
+    """``df`` with struct column ``name`` (n_lines, n_dropped, kept text as bytes) added, one row per row.
 
     A key held by ``min_docs`` or more ids loses all its lines except those of the largest id that holds it.
     Null and empty texts are one empty line; null ids count as one document, smaller than any; rows of one id
-    are one document; an empty table gives an empty one. Other columns, whatever their names, pass through.
+    are one document; an empty table gives an empty one. Other columns, whatever their names, pass through; a table
+    that has a column ``name`` already is refused.
     """
-    maps = keep_bitmaps(df, id_col, text_col, min_chars, min_docs).select(
-        F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("keep").alias("__keep")
-    )
-    text = F.col(text_col).cast("string")
-    tagged = df.withColumn("__key", F.xxhash64(F.col(id_col), text))
-    joined = tagged.join(maps, (F.col("__key") == F.col("__row")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    # As nondeterministic it is evaluated once, and a filter on its result isn't pushed below it.
-    apply = F.arrow_udf(_apply, "struct<n_lines:long,n_dropped:long,kept:binary>").asNondeterministic()
-    return joined.withColumn("lines", apply(text.cast("binary"), F.col("__keep"))).drop("__key", "__id", "__row", "__keep")
+    if name in df.columns:
+        raise ValueError(f"the table has a column {name!r} already")
+    judged = _judged(df, id_col, text_col, min_chars, min_docs)
+    return judged.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns)), F.col("lines").alias(name))
+
+
+def deduplicated(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3
+) -> DataFrame:
+    """``df`` with the text that ``line_dedup`` leaves; rows that lost lines and have nothing left but white space go.
+
+    Other columns pass through as they are, whatever their names; a null text that loses nothing becomes empty.
+    """
+    judged = _judged(df, id_col, text_col, min_chars, min_docs)
+    left = judged.where((F.col("lines.n_dropped") == 0) | (F.trim(F.col("lines.kept").cast("string"), F.lit(" \t\n\u000b\f\r")) != ""))
+    text = F.col("lines.kept").cast("string")
+    return left.select(*((text if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(df.columns)))
