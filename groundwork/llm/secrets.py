@@ -19,8 +19,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
 #: Wider than the fixed pattern: more names for credentials, words between name and value, any value.
 CONTEXT = re.compile(
-    rb"(?i)(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|"
-    rb"bearer)[\"']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+(?:is|was)\x20+)[\"'`]?([^\s\"'`<>,;]+)"
+    rb"(?i)(?:(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer)[\"']?"
+    rb"(?:\x20*(?::=|=>|[:=])\x20*|\x20+(?:is|was)\x20+)|bearer\x20+)[\"'`]?([^\s\"'`<>,;]+)"
 )
 _ASSIGN_HINTS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"bearer")
@@ -78,77 +78,116 @@ RANKS = {w: k for k, w in reversed(list(enumerate(dict.fromkeys(COMMON + PLAIN),
 _LONGEST = max(map(len, RANKS))
 _LEET = str.maketrans("4@831!|05$7+2", "aabeiilossttz")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
-_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_KEYS = {c: (r, k + 0.5 * r) for r, row in enumerate(_ROWS) for k, c in enumerate(row)}
-
-
-def _near(a: str, b: str) -> bool:
+_DATE_SIZES = range(4, 11)
+#: Rows of a keyboard, plain and shifted, and how far right each starts, in keys.
+_ROWS = (
+    ("`1234567890-=", "~!@#$%^&*()_+", 0.0), ("qwertyuiop[]\\", "QWERTYUIOP{}|", 1.5), ("asdfghjkl;'", 'ASDFGHJKL:"', 1.75),
+    ("zxcvbnm,./", "ZXCVBNM<>?", 2.25),
+)
+_KEYS = {c: (r, k + left, shift) for r, (plain, upper, left) in enumerate(_ROWS) for shift, row in enumerate((plain, upper)) for k, c in enumerate(row)}
+_PERIODS = (1, 2, 3, 4)
+
+
+def step_of(a: str, b: str) -> tuple[int, int] | None:
+    """The direction from one key to one beside it, rows down and keys right; None if they aren't neighbours."""
     if a not in _KEYS or b not in _KEYS:
-        return False
-    (r, x), (s, y) = _KEYS[a], _KEYS[b]
-    return a != b and abs(r - s) <= 1 and abs(x - y) <= 1
+        return None
+    (r, x, _), (s, y, _) = _KEYS[a], _KEYS[b]
+    if abs(r - s) > 1 or not 0 < abs(x - y) <= 1:
+        return None
+    return s - r, 1 if y > x else -1
 
 
-def _charset(c: str) -> float:
+def char_bits(c: str) -> float:
     """Bits of one brute-forced character."""
     if c.isascii():
-        size = 10 if c.isdigit() else 26 if c.isalpha() else 33
-    else:
-        size = 256
-    return math.log2(size)
+        return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
+    return 8.0
+
+
+def word_bits(low: str, plain: str, raw: str) -> float:
+    """Bits of a dictionary word by rank, capitals and look-alike characters; infinite for any other text."""
+    rank, extra = RANKS.get(low), 0.0
+    if rank is None:
+        rank, extra = RANKS.get(plain), 2.0
+    if rank is None:
+        return math.inf
+    caps = sum(c.isupper() for c in raw)
+    if caps:
+        extra += 1.0 if caps == len(raw) or (caps == 1 and raw[0].isupper()) else caps + 1.0
+    return math.log2(rank + 1) + extra + 1
+
+
+def date_bits(text: str) -> float:
+    """Bits of a year or a whole date; infinite for any other text."""
+    if not _DATE.fullmatch(text):
+        return math.inf
+    return (math.log2(150) if len(text) == 4 else math.log2(150 * 365) + 2) + 1
+
 
+def repeat_bits(n: int) -> float:
+    """Bits of any number of copies of the one to four characters before them, within a value of ``n`` characters."""
+    return math.log2(n) + 3
 
-def guess_bits(value: str) -> float:
-    """log2 of the guesses that the cheapest segmentation of ``value`` needs; 0 for an empty value.
 
-    Segments are dictionary words (rank, capitals and look-alike characters counted), dates, repeats of a block
-    of up to four characters, keyboard walks and brute-force spans. Every segment but a brute-force character
-    costs one bit more for its place. Runs are extended step by step, so time is linear in the length.
+def walk_bits(n: int) -> float:
+    """Bits of a keyboard walk before its turns: its first key, its length within ``n`` characters, its place."""
+    return math.log2(47) + math.log2(n) + 1
+
+
+#: Bits of each direction that a walk takes, the first among them, and of each change of the shift key.
+TURN_BITS, SHIFT_BITS = 2.0, 1.0
+
+
+def guess_bits(value: str, enough: float = math.inf) -> float:
+    """log2 of the guesses that the cheapest segmentation of ``value`` needs, exactly; 0 for an empty value.
+
+    Segments are dictionary words, dates, repeats of what stands before them, keyboard walks and brute-force
+    characters, of every start and length. Repeats and walks are states that go on from character to character, so time is
+    linear in the length. Once nothing that is open costs less than ``enough``, the rest isn't read and at least
+    ``enough`` is returned.
     """
     n = len(value)
+    if not n:
+        return 0.0
     low = value.lower()
     plain = low.translate(_LEET) if len(low) == n else low
     low, plain = (low, plain) if len(low) == n and len(plain) == n else (value, value)
-    walk = [0] * n  # length of the keyboard walk that ends here
-    turns = [0] * n
-    repeat = [[0] * n for _ in range(5)]  # how long a block of this period has gone on
-    for k in range(1, n):
-        if _near(low[k - 1], low[k]):
-            walk[k] = walk[k - 1] + 1 if walk[k - 1] else 2
-            step = (ord(low[k]) - ord(low[k - 1])) if k > 1 else 0
-            turns[k] = turns[k - 1] + (k > 1 and step != ord(low[k - 1]) - ord(low[k - 2]))
-        for p in range(1, min(4, k) + 1):
-            repeat[p][k] = repeat[p][k - 1] + 1 if value[k] == value[k - p] else 0
-    dates: dict[int, list[int]] = {}
-    for start in range(n):
-        if value[start].isdigit() and (m := _DATE.match(value, start)):
-            dates.setdefault(m.end(), []).append(start)
-    best = [0.0] * (n + 1)
-    for end in range(1, n + 1):
-        least = best[end - 1] + _charset(value[end - 1])
+    repeated, walked = repeat_bits(n), walk_bits(n)
+    best = [0.0]
+    runs = dict.fromkeys(_PERIODS, math.inf)
+    walks: dict[tuple[int, int] | None, float] = {}  # cost by the direction last taken; None where only the first key was
+    window = max(_LONGEST, _DATE_SIZES[-1])
+    for k, c in enumerate(value):
+        end = k + 1
+        least = best[k] + char_bits(c)
         for start in range(max(0, end - _LONGEST), end - 2):
-            rank = RANKS.get(low[start:end])
-            extra = 0.0
-            if rank is None and (rank := RANKS.get(plain[start:end])) is not None:
-                extra = 2.0
-            if rank is not None:
-                caps = sum(c.isupper() for c in value[start:end])
-                extra += 0.0 if not caps else 1.0 if caps == end - start or value[start].isupper() and caps == 1 else caps + 1.0
-                least = min(least, best[start] + math.log2(rank + 1) + extra + 1)
-        for start in dates.get(end, ()):
-            least = min(least, best[start] + (math.log2(150) if end - start == 4 else math.log2(150 * 365) + 2) + 1)
-        if walk[end - 1] >= 4:
-            size = min(walk[end - 1], 64)
-            least = min(least, best[end - size] + math.log2(47 * size) + 2.0 * (1 + turns[end - 1] - turns[end - size]) + 1)
-        for p in range(1, 5):
-            run = repeat[p][end - 1]
-            if run >= max(2, p):
-                start = end - run
-                least = min(least, best[start] + math.log2(run // p + 1) + 1)
-        best[end] = least
+            least = min(least, best[start] + word_bits(low[start:end], plain[start:end], value[start:end]))
+        if c.isdigit():
+            for size in _DATE_SIZES:
+                if size <= end and value[end - size].isdigit():
+                    least = min(least, best[end - size] + date_bits(value[end - size : end]))
+        for p in _PERIODS:
+            runs[p] = min(runs[p], best[k]) if k >= p and c == value[k - p] else math.inf
+            least = min(least, runs[p] + repeated)
+        walks = _walked_on(walks, value[k - 1] if k else "", c)
+        walks[None] = best[k] + walked if c in _KEYS else math.inf
+        least = min(least, *walks.values())
+        best.append(least)
+        if enough < math.inf and min(*best[-window:], *runs.values(), *walks.values()) >= enough:
+            return max(enough, least)
     return best[n]
 
 
+def _walked_on(walks: dict, before: str, c: str) -> dict:
+    """The open walks after one more key."""
+    way = step_of(before, c) if before else None
+    if way is None:
+        return {}
+    cost = min(x if last == way else x + TURN_BITS for last, x in walks.items())
+    return {way: cost + (SHIFT_BITS if _KEYS[before][2] != _KEYS[c][2] else 0.0)}
+
+
 def _assigned(body: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in ASSIGN.finditer(body) if m.end(1) - m.start(1) >= 6]
 
@@ -163,10 +202,14 @@ def spans_of(body: bytes, min_bits: float = 40.0) -> list[tuple[int, int, int]]:
         found += [(*m.span(), 1) for m in ACCESS.finditer(body)]
     found += [(*m.span(), 2) for m in HEX.finditer(body)]
     if any(h in low for h in _HINTS):
-        for m in CONTEXT.finditer(body):
-            value = m[1].decode("utf-8", "replace").rstrip(".!?)]}")
-            if len(value) >= 6 and guess_bits(value) >= min_bits:
-                found.append((m.start(1), m.start(1) + len(value.encode()), 3))
+        at = 0
+        while m := CONTEXT.search(body, at):
+            at = m.start(1)  # the value may begin another context, as in "bearer token: ..."
+            value = m[1].rstrip(b".!?)]}")
+            text = value.decode("utf-8", "replace")
+            if len(text) >= 6 and guess_bits(text, min_bits) >= min_bits:
+                at = m.start(1) + len(value)
+                found.append((m.start(1), at, 3))
     return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
 
@@ -187,7 +230,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Fixed patterns come first and stay. The method adds ``guess`` spans: values in a credential context whose
     cheapest guess still costs ``min_bits`` bits, so words, dates and keyboard walks aren't reported; values of six
     characters or more are judged by that cost alone, letters only and digits only among them. Words are English. Spans are
-    ordered by start, then kind as in KINDS. Null and empty texts have none; texts are searched whole.
+    ordered by start, then kind as in KINDS. Null and empty texts have none; texts are searched whole, however long
+    they or a value are; repeated rows and null ids are rows like any other, an empty table gives none.
     """
     kind = dict(df.select(F.col(id_col).alias("id")).dtypes)["id"]
     schema = f"id {kind}, spans array<struct<kind:string,start:int,end:int>>"
