@@ -19,6 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CHUNK = 1 << 19
 _MAIL = 1 << 25
+#: Bytes of text whose anchors make up a bucket, which a task holds whole, and a partition, which it reads one bucket after another.
+BUCKET_BYTES, PARTITION_BYTES = 16 << 20, 128 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -85,7 +87,7 @@ class _Outbox:
         begins = np.concatenate(([True], ~same))
         twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
         settled = np.sort(order[twice])
-        mail = _Mail(self.buckets // 2)
+        mail = _Mail(self.buckets)
         mail.add_runs(owner[settled], place[settled], self.docs)
         yield from mail.flush()
         rep, known = order[begins], twice[begins]
@@ -121,14 +123,14 @@ def _unpack(load: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 class _Mail:
-    """Places of documents, gathered and packed by the bucket of the document's id."""
+    """Places of documents, gathered and packed by a bucket of documents."""
 
     def __init__(self, buckets: int) -> None:
         self.buckets, self.size = buckets, 0
         self.by: dict[int, list[tuple]] = {}
 
     def add(self, doc: tuple, places: bytes) -> None:
-        self.by.setdefault(xxhash.xxh3_64_intdigest(repr(doc[0])) % self.buckets, []).append((*doc, places))
+        self.by.setdefault(xxhash.xxh3_64_intdigest(repr(doc)) % self.buckets, []).append((*doc, places))
         self.size += len(places) + 32
 
     def add_runs(self, owner: np.ndarray, place: np.ndarray, docs: list[tuple]) -> None:
@@ -183,8 +185,8 @@ def _batches(rows: Iterable[tuple], kind: pa.DataType, limit: int = 8 << 20) ->
         yield batch()
 
 
-def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> DataFrame:
-    """(id, rows, loads): the places of each id whose digest occurs twice, as parallel arrays by row."""
+def _repeated(packed: DataFrame, width: int, buckets: int, partitions: int, kind: str) -> DataFrame:
+    """(id, row, load): the places of each document whose digest occurs twice."""
     id_type = packed.schema["ids"].dataType.elementType
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +206,7 @@ def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> Data
             mail.add_runs(owner[hit], np.concatenate([p[3] for p in parts])[hit], docs)
 
         def results() -> Iterator[tuple]:
-            held, now, mail = [], None, _Mail(partitions)
+            held, now, mail = [], None, _Mail(buckets)
             for batch in batches:
                 for bucket, settled, load, ids, rows in values(*batch.columns):
                     if settled:
@@ -226,12 +228,12 @@ def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> Data
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        types = (to_arrow_type(id_type), pa.list_(pa.int64()), pa.list_(pa.binary()))
+        types = (to_arrow_type(id_type), pa.int64(), pa.binary())
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                cols = list(held), [list(v) for v in held.values()], [[b"".join(x) for x in v.values()] for v in held.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "rows", "loads"])
+                cols = *zip(*held, strict=True), map(b"".join, held.values())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "row", "load"])
 
         held: dict = {}
         now = None
@@ -240,37 +242,37 @@ def _repeated(packed: DataFrame, width: int, partitions: int, kind: str) -> Data
                 if bucket != now:
                     yield from done()
                     held, now = {}, bucket
-                for (i, r), places in _opened(load, ids, rows):
-                    held.setdefault(i, {}).setdefault(r, []).append(places)
+                for doc, places in _opened(load, ids, rows):
+                    held.setdefault(doc, []).append(places)
         yield from done()
 
     by = lambda df: df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     mailed = by(packed).mapInArrow(match, _SCHEMA.format(kind))
-    return by(mailed).mapInArrow(gather, f"id {kind}, rows array<long>, loads array<binary>")
+    return by(mailed).mapInArrow(gather, f"id {kind}, row long, load binary")
 
 
 def _with_places(source: DataFrame, hits: DataFrame, how: str) -> DataFrame:
     """Documents with their places; both joins of a query deal the texts alike, so that is done once."""
-    return source.alias("s").join(hits.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")), how).select(
-        "s.id", "s.row", "s.body", "h.rows", "h.loads"
-    )
+    same = (F.col("s.row") == F.col("h.row")) & F.col("s.id").eqNullSafe(F.col("h.id"))
+    return source.alias("s").join(hits.alias("h"), same, how).select("s.id", "s.row", "s.body", "h.load")
 
 
-def _marks(row: int | None, rows: list[int], loads: list[bytes], n: int) -> np.ndarray:
-    """Which of a document's ``n`` words are places; of those under other rows of its id, if ``row`` is given, none."""
+def _marks(load: bytes, n: int) -> np.ndarray:
+    """Which of a document's ``n`` words are places."""
     out = np.zeros(n, bool)
-    for r, load in zip(rows, loads, strict=True):
-        if row is None or r == row:
-            at = np.frombuffer(load, np.uint32)
-            out[at[at < n]] = True
+    out[np.frombuffer(load, np.uint32)] = True
     return out
 
 
 def repeated_windows(source: DataFrame, window: int) -> DataFrame:
-    """(id, rows, loads) of ``source(id, row, body)``: where windows start that start elsewhere too."""
+    """(id, row, load) of ``source(id, row, body)``: where windows start that start elsewhere too.
+
+    Buckets and partitions are as many as the text asks for, and at least as the cluster is set to.
+    """
     kind, id_type = dict(source.dtypes)["id"], source.schema["id"].dataType
-    partitions = shuffle_partitions(source.sparkSession)
-    buckets = 2 * partitions
+    size = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    partitions = max(shuffle_partitions(source.sparkSession), -(-size // PARTITION_BYTES))
+    buckets = max(2 * partitions, -(-size // BUCKET_BYTES))
     period, _ = cover_for(window)
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +281,10 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         def results() -> Iterator[tuple]:
             box = _Outbox(buckets, 6)
             for batch in batches:
-                for i, body in values(batch.column(0), batch.column(2)):
+                for i, r, body in values(*batch.columns):
                     at, digest = anchor_hashes((body or b"").split(), window)
                     if len(at):
-                        box.put((i, 0), at, digest[:, None])
+                        box.put((i, r), at, digest[:, None])
                     if box.size >= _CHUNK:
                         yield from box.flush()
             yield from box.flush()
@@ -295,13 +297,13 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         def results() -> Iterator[tuple]:
             box = _Outbox(buckets, 10)
             for batch in batches:
-                for i, r, body, rows, loads in values(*batch.columns):
+                for i, r, body, load in values(*batch.columns):
                     words = (body or b"").split()
                     n = len(words) - window + 1
                     if n < 1:
                         continue
                     text, starts = word_spans(words)
-                    sums = np.concatenate(([0], np.cumsum(_marks(None, rows, loads, len(words)))))
+                    sums = np.concatenate(([0], np.cumsum(_marks(load, len(words)))))
                     at = np.flatnonzero(sums[np.arange(n) + period] > sums[:n])
                     ends = (starts[at + window] - 1).tolist()
                     got = [xxhash.xxh3_128_digest(text[b:e]) for b, e in zip(starts[at].tolist(), ends, strict=True)]
@@ -314,19 +316,19 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
 
         yield from _batches(results(), to_arrow_type(id_type))
 
-    hits = _repeated(source.mapInArrow(anchors, _SCHEMA.format(kind)), 6, partitions, kind)
+    hits = _repeated(source.mapInArrow(anchors, _SCHEMA.format(kind)), 6, buckets, partitions, kind)
     near = _with_places(source, hits, "inner")
-    return _repeated(near.mapInArrow(windows, _SCHEMA.format(kind)), 10, partitions, kind)
+    return _repeated(near.mapInArrow(windows, _SCHEMA.format(kind)), 10, buckets, partitions, kind)
 
 
 def _strip(window: int):
-    def run(row: pa.Array, bodies: pa.Array, rows: pa.Array, loads: pa.Array) -> pa.Array:
+    def run(bodies: pa.Array, loads: pa.Array) -> pa.Array:
         total, gone, kept = [], [], []
-        for own, body, others, places in values(row, bodies, rows, loads):
+        for body, load in values(bodies, loads):
             words = (body or b"").split()
             n = len(words)
-            if others:
-                sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(_marks(own, others, places, n))))
+            if load:
+                sums = np.concatenate((np.zeros(window, np.int64), np.cumsum(_marks(load, n))))
                 stays = np.flatnonzero(sums[window:] == sums[:-window])
                 words = [words[k] for k in stays.tolist()]
             total.append(n)
@@ -347,7 +349,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are hashed only at cover positions modulo a period: two equal windows share an anchor at the same inner
     place, wherever they start. Windows over an anchor that occurs twice are then compared whole, by 80 bits
     of hash and the bucket; anchors alone decide nothing. Null texts have no words; texts shorter than a window keep all;
-    rows that are equal in id and text are each other's copies; null ids are kept.
+    rows that are equal in id and text are each other's copies; null ids are kept; an empty table gives none.
     """
     if window < 2:
         raise ValueError("window must be 2 words or more")
@@ -357,4 +359,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     joined = _with_places(source, repeated_windows(source, window), "left")
     strip = F.arrow_udf(_strip(window), "struct<n_words:long,n_removed:long,kept:binary>")
-    return joined.select("id", strip("row", "body", "rows", "loads").alias("words"))
+    return joined.select("id", strip("body", "load").alias("words"))
