@@ -63,9 +63,9 @@ with ints as (
 ), scored as (
   select q.vec_id as query_id, c.vec_id,
     cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-  from ints q join ints c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+  from ints q join ints c on q.vec_id % 100 = 0 and c.vec_id is distinct from q.vec_id and len(q.v) = len(c.v)
 ), ranked as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+  select *, row_number() over (partition by query_id order by score desc, vec_id nulls last) as rank from scored
 )
 select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10
 """

@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffle_partitions
 
 #: Sums of products below this are exact in double precision.
 _EXACT = float(1 << 53)
 _FOCUS = 3
 #: Length levels at most; a level has as many buckets as its rows ask for.
 _LEVELS = 64
+_LOWEST = np.iinfo(np.int64).min
 
 
 def scaled(vector: Column, scale: int = 1024) -> Column:
@@ -25,32 +26,26 @@ def scaled(vector: Column, scale: int = 1024) -> Column:
     return F.when(fine, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of rows; through doubles where those are exact."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    bound = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if bound < _EXACT else a @ b.T
-
-
 class Bucket:
-    """Candidates of about one length, longest first, with every coordinate of their directions sorted."""
+    """Candidates of about one length, longest first, with the coordinates of their directions sorted as they are asked for."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.sqrt((vectors.astype(float) ** 2).sum(1))
+    def __init__(self, ids: np.ndarray, nameless: np.ndarray, vectors: np.ndarray) -> None:
+        exact = vectors.astype(float)
+        norms = np.sqrt((exact**2).sum(1))
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.vectors, self.norms = ids[order], vectors[order], norms[order]
-        self.longest = float(self.norms[0]) * (1 + 1e-12)
-        self.directions = self.vectors / np.maximum(self.norms, 1e-300)[:, None]
+        self.ids, self.nameless, self.vectors, self.norms = ids[order], nameless[order], vectors[order], norms[order]
+        self.floats = exact[order]
+        self.longest, self.largest = float(self.norms[0]) * (1 + 1e-12), float(np.abs(vectors).max(initial=0))
         self.ranked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
         if f not in self.ranked:
-            order = np.argsort(self.directions[:, f], kind="stable")
-            self.ranked[f] = self.directions[order, f], order
+            values = self.floats[:, f] / np.maximum(self.norms, 1e-300)
+            order = np.argsort(values, kind="stable")
+            self.ranked[f] = values[order], order
         return self.ranked[f]
 
-    def candidates(self, query: np.ndarray, norm: float, least: float) -> np.ndarray | None:
+    def candidates(self, query: np.ndarray, norm: float, least: float) -> np.ndarray | slice | None:
         """Row numbers that may reach a score of ``least``; None if the whole bucket can't.
 
         The local threshold is the cosine that a vector of the bucket's greatest length would need. Above 1 the
@@ -59,13 +54,13 @@ class Bucket:
         in a narrow range around the query's, so only rows in the range of all focus coordinates remain.
         """
         if least <= 0 or norm == 0:
-            return np.arange(len(self.ids)) if least <= 0 else None
-        local = least / (norm * self.longest)
+            return slice(None) if least <= 0 else None
+        local = least / (norm * self.longest) if self.longest else np.inf
         if local > 1 + 1e-9:
             return None
-        keep = np.searchsorted(-self.norms, -(least / norm) * (1 - 1e-9), side="right")
+        keep = int(np.searchsorted(-self.norms, -(least / norm) * (1 - 1e-9), side="right"))
         if local < 0.5:
-            return np.arange(keep)
+            return slice(keep)
         unit = query / norm
         hits = np.zeros(len(self.ids), np.int8)
         slack = np.sqrt(max(0.0, 1 - min(local, 1.0) ** 2))
@@ -78,30 +73,35 @@ class Bucket:
             hits[order[np.searchsorted(values, low - 1e-9) : np.searchsorted(values, high + 1e-9, side="right")]] += 1
         return np.flatnonzero(hits[:keep] == len(focus))
 
+    def scores(self, query: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+        """Exact integer inner products; through doubles where those are exact."""
+        if self.largest * float(np.abs(query).max(initial=0)) * len(query) < _EXACT:
+            return (self.floats[rows] @ query.astype(float)).astype(np.int64)
+        return self.vectors[rows] @ query
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The k best of rows by score, ties to the smaller id."""
+
+def _best(ids: np.ndarray, nameless: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best of rows by score, ties to the smaller id, rows without an id last."""
     if len(ids) > 4 * k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         few = np.flatnonzero(scores >= cut)
-        return few[np.lexsort((ids[few], -scores[few]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return few[np.lexsort((ids[few], nameless[few], -scores[few]))[:k]]
+    return np.lexsort((ids, nameless, -scores))[:k]
 
 
-def _search(queries: tuple, bucket: Bucket, least: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    out = []
-    q_ids, q_vectors = queries
+def _search(q_ids: np.ndarray, q_vectors: np.ndarray, bucket: Bucket, least: np.ndarray, k: int) -> list[tuple[int, int | None, int]]:
+    out: list[tuple[int, int | None, int]] = []
     norms = np.sqrt((q_vectors.astype(float) ** 2).sum(1))
-    for at in range(len(q_ids)):
+    for at, own in enumerate(q_ids.tolist()):
         rows = bucket.candidates(q_vectors[at], norms[at], float(least[at]))
-        if rows is None or not len(rows):
+        if rows is None:
             continue
-        scores = _dots(q_vectors[at : at + 1], bucket.vectors[rows])[0]
-        mine = (bucket.ids[rows] != q_ids[at]) & (scores >= least[at])
-        rows, scores = rows[mine], scores[mine]
-        if len(rows):
-            top = _best(bucket.ids[rows], scores, k)
-            out += zip([int(q_ids[at])] * len(top), bucket.ids[rows[top]].tolist(), scores[top].tolist(), strict=True)
+        ids, nameless, scores = bucket.ids[rows], bucket.nameless[rows], bucket.scores(q_vectors[at], rows)
+        mine = np.flatnonzero(((ids != own) | nameless) & (scores >= least[at]))
+        if len(mine):
+            top = mine[_best(ids[mine], nameless[mine], scores[mine], k)]
+            named = [None if none else i for i, none in zip(ids[top].tolist(), nameless[top].tolist(), strict=True)]
+            out += zip([own] * len(top), named, scores[top].tolist(), strict=True)
     return out
 
 
@@ -110,17 +110,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
 
 
-def _pairs(candidates: DataFrame, queries: DataFrame, k: int, bounded: bool) -> DataFrame:
-    """(query_id, vec_id, score) from each (bucket, block) of candidates and the block's queries."""
+def _pairs(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) from each (bucket, block) of candidates and the block's queries with their ``least``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names, types = ["query_id", "vec_id", "score"], [pa.int64()] * 3
         rows: list = []
         if left.num_rows and right.num_rows:
-            c, q = left.combine_chunks(), right.combine_chunks()
-            bucket = Bucket(c["id"].to_numpy(), _matrix(c["v"].combine_chunks()))
-            least = q["least"].to_numpy() if bounded else np.full(q.num_rows, np.iinfo(np.int64).min)
-            rows = _search((q["id"].to_numpy(), _matrix(q["v"].combine_chunks())), bucket, least, k)
+            ids, vectors = left["id"].combine_chunks(), _matrix(left["v"].combine_chunks())
+            bucket = Bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), vectors)
+            rows = _search(right["id"].to_numpy(), _matrix(right["v"].combine_chunks()), bucket, right["least"].to_numpy(), k)
         cols = zip(*rows, strict=True) if rows else ([], [], [])
         return pa.table([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
 
@@ -129,7 +128,7 @@ def _pairs(candidates: DataFrame, queries: DataFrame, k: int, bounded: bool) ->
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -139,36 +138,39 @@ def top_k(
     k: int = 10,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    bucket_rows: int = 4096,
-    block_queries: int = 8192,
+    bucket_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` best scores of every query, exactly; ties to the smaller id.
-
-    Vectors are ranked by length and cut into buckets of about ``bucket_rows``; queries are cut into blocks. The bucket
-    of the longest vectors gives every query a first k-th score; no better than k-th results elsewhere can
-    lie under it, so it is every other bucket's threshold. Pairs of bucket and block are dealt over the
-    cluster, each within one task's memory; only k rows a query come out of one. Vectors that are null or
-    hold a null or non-finite component take no part, nor do null ids; only vectors of equally many components
-    are compared; a row is the query's own if the ids are equal; equal rows are taken once, different rows of
-    one id are candidates each. Scores must fit in a long.
+    """(query_id, rank, vec_id, score): the ``k`` best scores of every query, exactly; ties to the smaller id, a null id last.
+
+    Vectors are ranked by length and cut into buckets, queries into blocks, either of at most ``bucket_bytes`` of
+    vectors, which is what one task holds of each. The bucket of the longest vectors gives every query a first k-th
+    score; no better than k-th results elsewhere can lie under it, so it is every other bucket's threshold. Only k
+    rows a query come out of a pair of bucket and block. A vector goes to every block and a query to every bucket that is
+    long enough, as in a blocked matrix product: how often follows from the memory of a task alone.
+
+    Every row is a candidate of every query but those of the query's own id: repeated rows count each, rows of null id
+    are candidates and no queries; several query rows of one id are ranked together. Vectors that are null or
+    hold a null or non-finite component take no part; only vectors of equally many components, any number of them, are
+    compared. Scores must fit in a long. An empty table gives no rows; other columns don't matter.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col)).alias("v"), is_query.alias("asks"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    used = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()).withColumns({"norm": norm, "dim": F.size("v")})
-    used = checkpointed(used.dropDuplicates(["id", "v"]))
+    used = checkpointed(rows.where(F.col("v").isNotNull()).withColumns({"norm": norm, "dim": F.size("v"), "asks": F.col("asks") & F.col("id").isNotNull()}))
     sizes = {r["dim"]: (r["n"], r["asked"]) for r in used.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("int")).alias("asked")).collect()}
     found = None
     for dim, (n, asked) in sorted(sizes.items()):
         if asked:
-            part = _top_k_of_dim(used.where(F.col("dim") == dim), n, asked, k, bucket_rows, block_queries)
+            part = _top_k_of_dim(used.where(F.col("dim") == dim), n, asked, k, max(1, bucket_bytes // (8 * max(1, dim))))
             found = part if found is None else found.union(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return found
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _top_k_of_dim(used: DataFrame, n: int, asked: int, k: int, bucket_rows: int, block_queries: int) -> DataFrame:
-    blocks = max(1, -(-asked // block_queries))
+def _top_k_of_dim(used: DataFrame, n: int, asked: int, k: int, most: int) -> DataFrame:
+    """(query_id, vec_id, score) among the vectors of one length, buckets and blocks of about ``most`` rows at most."""
+    bucket_rows = min(most, max(1024, -(-n // (2 * shuffle_partitions(used.sparkSession)))))  # fewer where that gives every core one
+    blocks = max(1, -(-asked // most))
     wanted = min(_LEVELS, max(1, -(-n // bucket_rows)))
     cuts = used.stat.approxQuantile("norm", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
     level = F.lit(0)
@@ -176,7 +178,7 @@ def _top_k_of_dim(used: DataFrame, n: int, asked: int, k: int, bucket_rows: int,
         level = level + (F.col("norm") < F.lit(edge)).cast("int")
     leveled = used.withColumn("level", level)
     held = leveled.groupBy("level").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("level").collect()
-    # A level that holds more rows than a bucket, as when many lengths are equal, is cut by a hash of the id.
+    # A level that holds more rows than a bucket, as when many lengths are equal, is cut by a hash of the row.
     parts = [max(1, -(-r["n"] // bucket_rows)) for r in held]
     first = [sum(parts[:i]) for i in range(len(parts))]
     levels = F.array(
@@ -186,27 +188,25 @@ def _top_k_of_dim(used: DataFrame, n: int, asked: int, k: int, bucket_rows: int,
         ]
     )
     mine = F.filter(levels, lambda x: x["level"] == F.col("level"))[0]
-    bucketed = leveled.withColumn("bucket", (mine["a"] + F.pmod(F.xxhash64("id"), mine["p"].cast("long"))).cast("int"))
-    queries = used.where("asks").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    # Equal rows are dealt apart: a row number, fixed by the checkpoint, is hashed with the id.
+    place = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), mine["p"].cast("long"))
+    bucketed = checkpointed(leveled.withColumn("bucket", (mine["a"] + place).cast("int")).select("id", "v", "bucket"))
+    lowest = F.lit(_LOWEST).cast("long")
+    queries = used.where("asks").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("id", "v", "norm", "block")
 
-    def spread(candidates: DataFrame, asking: DataFrame, bounded: bool) -> DataFrame:
+    def spread(candidates: DataFrame, asking: DataFrame) -> DataFrame:
         """Candidates go to every block of queries; queries to the buckets that are long enough for them."""
         every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        dealt = candidates.select("id", "v", "bucket", F.explode(every).alias("block"))
-        return _pairs(dealt, asking.select("id", "v", *(["least"] if bounded else []), "block", "bucket"), k, bounded)
+        return _pairs(candidates.select("id", "v", "bucket", F.explode(every).alias("block")), asking.select("id", "v", "least", "block", "bucket"), k)
 
-    opening = checkpointed(_ranked(spread(bucketed.where("bucket = 0"), queries.withColumn("bucket", F.lit(0)), False), k).drop("rank"))
+    opening = checkpointed(_ranked(spread(bucketed.where("bucket = 0"), queries.withColumns({"bucket": F.lit(0), "least": lowest})), k).drop("rank"))
     if sum(parts) == 1:
-        return _ranked(opening, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    least = opening.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    lowest = F.lit(-(1 << 63)).cast("long")
-    bounded = queries.join(least, queries["id"] == least["query_id"], "left").withColumn("least", F.coalesce("least", lowest))
+        return opening
+    least = opening.groupBy(F.col("query_id").alias("q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    bounded = queries.join(least, queries["id"] == least["q"], "left").withColumn("least", F.coalesce("least", lowest))
     reach = F.sqrt("norm") * (1 + 1e-9)
     open_to = F.filter(levels, lambda x: (F.col("least") <= 0) | (reach * F.sqrt(x["longest"]) >= F.col("least")))
     sent = bounded.withColumn("to", F.explode(open_to)).withColumn(
         "bucket", F.explode(F.sequence(F.col("to.a"), F.col("to.a") + F.col("to.p") - 1))
     )
-    rest = spread(bucketed.where("bucket > 0"), sent.where("bucket > 0"), True)
-    return _ranked(opening.select("query_id", "vec_id", "score").union(rest), k).select(
-        "query_id", F.col("rank").cast("int"), "vec_id", "score"
-    )
+    return opening.union(spread(bucketed.where("bucket > 0"), sent.where("bucket > 0")))
