@@ -6,6 +6,11 @@ import re
 import unicodedata
 from typing import NamedTuple
 
+#: The characters that ``str.isdigit`` holds for digits, as the inside of a class.
+DIGIT = (
+    r"\d²³¹⁰⁴-⁹₀-₉፩-፱᧚①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
+    "\U00010a40-\U00010a43\U00010e60-\U00010e68\U00011052-\U0001105a\U0001f100-\U0001f10a"
+)
 _LOOSE = re.compile(r"^\s|\s$|\s\s|[^\S ]")
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .extracting import extract
 from .folding import digits_of, fold, shape_of
 from .languages import packs_of, rules_of
-from .matching import places, probe_of
-from .segmenting import script_of, segment, stops_of
+from .matching import Hay, places, probe_of
+from .segmenting import Segmenter, script_of
 
 TOKEN = "struct<ord:int,kind:string,start:int,end:int,text:string,form:string,probe:string,digits:string,shape:string>"
 SEGMENTS = (
@@ -38,10 +38,10 @@ def token_fields(kind: str, start: int, text: str, order: int) -> dict:
     }
 
 
-def segments_with_tokens(text: str, stops: dict, rules: Sequence) -> list[dict]:
+def segments_with_tokens(text: str, segmenter: Segmenter, rules: Sequence) -> list[dict]:
     """All segments of a text, each with its tokens in the text's coordinates; code has none."""
     out = []
-    for k, s in enumerate(segment(text, stops)):
+    for k, s in enumerate(segmenter.segments_of(text)):
         body = text[s.start : s.end]
         tokens = [] if s.kind == "code" else extract(body, rules)
         found = [token_fields(t.kind, s.start + t.start, body[t.start : t.end], i) for i, t in enumerate(tokens)]
@@ -54,10 +54,10 @@ def segments_with_tokens(text: str, stops: dict, rules: Sequence) -> list[dict]:
 def segment_function(codes: Sequence[str] | None = None):
     """array of segments with tokens of a text column; null for null. One pass of Python for both steps."""
     packs = packs_of(codes)
-    stops, rules = stops_of(packs), rules_of(packs)
+    segmenter, rules = Segmenter(packs), rules_of(packs)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else segments_with_tokens(t, stops, rules) for t in texts.to_pylist()], pa.list_(_SEGMENT))
+        return pa.array([None if t is None else segments_with_tokens(t, segmenter, rules) for t in texts.to_pylist()], pa.list_(_SEGMENT))
 
     return F.arrow_udf(run, SEGMENTS)
 
@@ -87,7 +87,7 @@ def places_function(matcher: str = "normalized"):
             if text not in kept:
                 if len(kept) > 256:
                     kept.clear()
-                kept[text] = fold(text or "")
+                kept[text] = Hay.of(text or "")
             out.append([{"start": a, "end": b} for a, b in places(form, kept[text], matcher)])
         return pa.array(out, pa.list_(_SPAN))
 

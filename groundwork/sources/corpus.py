@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.languages import KINDS
+from ..functions.vocabulary import KINDS
 
 SPAN = "array<int>"
 PLANT = (
