@@ -33,6 +33,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, of which later stages read only the columns they need."""
+    path = checkpoint_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The configured shuffle width, which operators grow with the cluster's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 
 def words_of(text: Column) -> Column:
@@ -30,11 +30,13 @@ def word_count(words: Column) -> Column:
 
 #: Documents of overall behaviour that every domain's counts are mixed with.
 _STRENGTH = 20.0
+#: A Poisson deviance that one token in 100,000 reaches by chance.
+_CLEAR = 9.0
 
 
 @dataclass
 class Classifier:
-    """Naive Bayes over presence and absence of at most a few hundred telling tokens; soft posteriors by domain."""
+    """Naive Bayes over presence and absence of telling tokens; soft posteriors by domain."""
 
     domains: list[str]
     tokens: list[str]
@@ -59,18 +61,19 @@ def fit_classifier(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_labelled: int = 4000,
-    max_tokens: int = 96,
-    min_deviance: float = 9.0,
 ) -> Classifier:
     """From a bounded sample of labelled documents, whole texts; ``domain`` is a column of ``labels``.
 
-    The sample is the ``max_labelled`` labelled ids with the least hashes. Token counts are summed on the cluster;
-    only the ``max_tokens`` tokens that a domain holds most surprisingly often come to the driver. Labels with null
-    id or domain, or one not in ``domains``, don't count; of labels for one id the least counts.
+    The sample is the ``max_labelled`` labelled ids with the least hashes among those that ``docs`` holds. Token counts
+    are summed on the cluster; the tokens that a domain holds more often than chance explains come to the driver, all of
+    them, so that the sample alone bounds their number: those whose count is as far above what its overall count
+    predicts as one token in a hundred thousand is by chance, or, where a small sample has none so clear, the clearest.
+    Labels with null id or domain, or one not in ``domains``, don't count; of labels for one id the least counts.
     """
     key = labels.select(F.col(id_col).alias("id"), domain.alias("domain"))
     known = key.where(F.col("id").isNotNull() & F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    present = known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")
+    sample = present.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     text = F.col("body")
     tokens = F.array_distinct(F.concat(words_of(text), symbols_of(text)))
     taken = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).join(F.broadcast(sample), "id")
@@ -92,8 +95,10 @@ def fit_classifier(
         return F.when(got > due, got * F.log(got / due) - got + due).otherwise(0.0)
 
     telling = F.greatest(*(surprise(k) for k in range(len(domains))), F.lit(0.0))
+    judged = checkpointed(counts.withColumn("telling", telling).where("telling > 0"))
+    clearest = judged.agg(F.max("telling")).first()[0] or 0.0
     best = (
-        counts.where(telling >= min_deviance).orderBy(telling.desc(), "token").limit(max_tokens)
+        judged.where(F.col("telling") >= min(_CLEAR, clearest)).orderBy(F.col("telling").desc(), "token")
         .select("token", *(F.least(shrunk(k), F.lit(0.999)).alias(f"p{k}") for k in range(len(domains)))).collect()
     )
     weights = []
@@ -128,22 +133,31 @@ def rate_of(p: Column, history: list[list[float]]) -> Column:
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], passes: int = 24, tolerance: float = 1e-4) -> list[list[float]]:
-    """The steps of scaled projected gradient descent for ``members(id, tokens, p)``.
+@dataclass
+class Fit:
+    """The steps that rates follow from, and how far the expected shares of the domains are from their targets at most."""
+
+    steps: list[list[float]]
+    off: float | None
+
+
+def fit_rates(members: DataFrame, targets: list[float], passes: int = 32, tolerance: float = 1e-4) -> Fit:
+    """Scaled projected gradient descent for ``members(id, tokens, p)``.
 
     Least squares over domains of expected tokens less target, as shares of all tokens; rates are at least 0.
     Gradients are taken in the metric of the documents' tokens, so a document's step depends on its posteriors
     only, and its rate is a function of the few numbers of each step. A pass over the table sums, for the steps so
     far, the domain totals and the second moments of the documents whose rate isn't 0; the latter scale the next
-    step. A step that doesn't come nearer is halved. Nothing but those sums comes to the driver.
+    step. A step that doesn't come nearer is halved, and what is returned has been evaluated. Nothing but those sums
+    comes to the driver. Where no rates meet the targets, as with posteriors that don't tell domains apart, ``off`` says so.
     """
     k = len(targets)
     n, p, rate = F.col("tokens"), F.col("p"), F.col("rate")
     goal = np.array(targets) / max(sum(targets), 1e-300)
-    history: list[list[float]] = []
-    best = math.inf
+    steps: list[list[float]] = []
+    found, best = Fit([], None), math.inf
     for _ in range(passes):
-        rated = members.select(n, p, rate_of(p, history).alias("rate"))
+        rated = members.select(n, p, rate_of(p, steps).alias("rate"))
         got = rated.agg(
             F.sum("tokens").alias("n"),
             *(F.sum(n * p[i] * rate).alias(f"t{i}") for i in range(k)),
@@ -151,20 +165,21 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 24, tolera
         ).first()
         total = float(got["n"] or 0)
         if not total:
-            return []
+            break
         off = np.array([got[f"t{i}"] / total for i in range(k)]) - goal
         far = float(off @ off)
-        if history and far >= best:
-            if max(map(abs, history[-1])) < 1e-6:
-                return history[:-1]
-            history[-1] = [x / 2 for x in history[-1]]
+        if far >= best:
+            if max(map(abs, steps[-1])) < 1e-6:
+                break
+            steps[-1] = [x / 2 for x in steps[-1]]
             continue
-        if np.abs(off).max() <= tolerance or (history and far > 0.999 * best):
+        gained = best - far
+        found, best = Fit([list(s) for s in steps], float(np.abs(off).max())), far
+        if found.off <= tolerance or gained < 1e-3 * far:
             break
-        best = far
         gram = np.array([[(got[f"m{max(i, j)}_{min(i, j)}"] or 0) / total for j in range(k)] for i in range(k)])
-        history.append(np.linalg.solve(gram + 1e-6 * np.eye(k), off).tolist())
-    return history
+        steps.append(np.linalg.solve(gram + 1e-6 * np.eye(k), off).tolist())
+    return found
 
 
 def mixing_rates(
@@ -176,18 +191,20 @@ def mixing_rates(
     text_col: str = "text",
     **bounds: int,
 ) -> DataFrame:
-    """(id, tokens, p, rate), one row per row of ``docs``: how often each document should be taken.
+    """(id, tokens, p, rate, off), one row per row of ``docs``: how often each document should be taken.
 
     ``targets`` gives every domain its share of the tokens; the sum over documents of rate * tokens * p nears
-    share * all tokens. Null and empty texts have no words and the posteriors of a text without telling tokens; null
-    ids are kept; an empty table gives none; with no usable labels all posteriors are alike.
+    share * all tokens. ``off``, the same in all rows, is how far the farthest domain's expected share is from its
+    target: above 0.0001 the targets are out of reach of these documents and labels. Null and empty texts have no
+    words and the posteriors of a text without telling tokens; texts may be of any length; null ids are kept, repeated
+    rows are rows like any other; an empty table gives none; with no usable labels all posteriors are alike.
     """
     names = list(targets)
     model = fit_classifier(docs, labels, domain, names, id_col, text_col, **bounds)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     members = checkpointed(memberships(texts, model, "body").drop("body"))
-    history = fit_rates(members, [targets[d] for d in names])
-    return members.withColumn("rate", rate_of(F.col("p"), history))
+    fit = fit_rates(members, [targets[d] for d in names])
+    return members.select("id", "tokens", "p", rate_of(F.col("p"), fit.steps).alias("rate"), F.lit(fit.off).cast("double").alias("off"))
 
 
 def mixed(
@@ -199,22 +216,22 @@ def mixed(
     text_col: str = "text",
     **bounds: int,
 ) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``mix_rate`` and ``mix_copies`` added; see ``mixing_rates``.
+    """The rows of ``docs`` that the mix takes, with ``mix_rate``, ``mix_copies`` and ``mix_off`` added; see ``mixing_rates``.
 
-    Rates follow from a text and the few numbers of the fit, so texts are scored once more instead of being
-    shuffled. Rows of no copies leave; a row isn't repeated but says how often it counts.
+    Texts are scored once and written with their posteriors, of which the fit reads no more than it needs. Rows of no
+    copies leave; a row isn't repeated but says how often it counts. Columns of ``docs`` pass through; those named
+    like the three that are added are refused.
     """
-    names, columns = list(targets), docs.columns
+    names, columns, added = list(targets), docs.columns, ("mix_rate", "mix_copies", "mix_off")
+    if taken := set(added) & set(columns):
+        raise ValueError(f"the table has {', '.join(sorted(taken))} already")
     model = fit_classifier(docs, labels, domain, names, id_col, text_col, **bounds)
-    texts = docs.select(F.col(text_col).alias("body"))
-    history = fit_rates(checkpointed(memberships(texts, model, "body").drop("body")), [targets[d] for d in names])
-    renamed = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
     at = {c: f"c{k}" for k, c in enumerate(columns)}
-    # A row number, used above, keeps the filter from being pushed below the posteriors and computing them for every mention.
-    scored = memberships(renamed, model, at[text_col]).withColumn("__row", F.monotonically_increasing_id())
-    rated = scored.withColumn("mix_rate", rate_of(F.col("p"), history))
-    taken = rated.withColumn("mix_copies", copies_of(F.col("mix_rate"), F.col(at[id_col]))).where("mix_copies > 0 and __row >= 0")
-    return taken.select(*(F.col(at[c]).alias(c) for c in columns), "mix_rate", "mix_copies")
+    scored = written(memberships(docs.select(*(F.col(c).alias(at[c]) for c in columns)), model, at[text_col]))
+    fit = fit_rates(scored.select("tokens", "p"), [targets[d] for d in names])
+    rated = scored.withColumn("mix_rate", rate_of(F.col("p"), fit.steps))
+    kept = rated.withColumn("mix_copies", copies_of(F.col("mix_rate"), F.col(at[id_col]))).where("mix_copies > 0")
+    return kept.select(*(F.col(at[c]).alias(c) for c in columns), "mix_rate", "mix_copies", F.lit(fit.off).cast("double").alias("mix_off"))
 
 
 def copies_of(rate: Column, key: Column) -> Column:

@@ -42,11 +42,11 @@ def label_domain():
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, one posterior for each domain, and the rate of every document."""
+    """doc_id, tokens, one posterior for each domain, the rate of every document, and how far off the targets the mix is."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = mixing.mixing_rates(docs, labels, label_domain(), MIX_TARGETS)
     posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(MIX_TARGETS)]
-    return found.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate")
+    return found.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate", "off")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,10 @@ def tokenizer_path() -> str:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of every document."""
+    """doc_id, n_pretokens, n_tokens of every document.
+
+    The vocabulary file lists pieces by rank without probabilities, so a piece's is taken to fall as 1 / (rank + 1).
+    """
     vocabulary = tokencount.vocabulary_of_model(tokenizer_path())
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary).withColumnRenamed("id", "doc_id")
 

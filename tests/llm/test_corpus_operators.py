@@ -228,7 +228,10 @@ def test_token_counts_equal_unigram_segmentation(spark, corpus):
     pieces = {"▁": -3.0, "▁a": -2.0, "ab": -2.5, "a": -4.0, "b": -4.1, "c": -4.2, "cde": -3.3, "d": -4.4, "e": -4.5, "éß": -3.0, "abc": -3.1, "x": -4.0, "xx": -4.4}
     vocabulary = tokencount.Vocabulary(pieces)
     other = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], 0, False))
-    got = [tuple(r)[1:] for r in tokencount.token_counts(frame(spark, corpus), vocabulary, memory_words=50).collect()]
+    got = [tuple(r)[1:] for r in tokencount.token_counts(frame(spark, corpus), vocabulary).collect()]
+    for head in (0, 2000):
+        assert sorted(tuple(r)[1:] for r in tokencount.token_counts(frame(spark, corpus), vocabulary, head_bytes=head).collect()) == sorted(got)
+    assert tokencount.token_counts(frame(spark, corpus).limit(0), vocabulary).count() == 0
     words = [[w for w in WORD.findall(t or "")] for _, t in corpus]
     # Runs of uncovered characters are one token there and one each here, so only covered words are compared.
     covered = {p for p in pieces if len(p) == 1}
@@ -259,10 +262,20 @@ def _best_tokens(word, pieces, unknown):
 
 def test_trie_scores_a_shared_prefix_once():
     trie = tokencount.Trie(tokencount.Vocabulary({"a": -1.0, "b": -1.0}))
-    trie.counts(["aaaa", "aaab", "aab", "aaaa"])
+    assert [trie.count(w) for w in ("aaaa", "aaab", "aab", "aab")] == [4, 4, 3, 3]
     assert trie.scored == 4 + 1 + 1
 
 
+def test_trie_equals_search_of_all_segmentations_with_ties():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        pieces = {"".join(rng.choice(list("abc"), rng.integers(1, 5))): -float(rng.integers(1, 5)) for _ in range(rng.integers(1, 14))}
+        vocabulary = tokencount.Vocabulary(pieces)
+        trie = tokencount.Trie(vocabulary)
+        for word in sorted({"".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(30)} | {"a" * 300, "a" * 300 + "b"}):
+            assert trie.count(word) == _best_tokens(word, pieces, vocabulary.unknown)
+
+
 # --- urls ---------------------------------------------------------------------------------------------------------
 
 
@@ -610,7 +623,39 @@ def test_mixing_meets_targets_and_keeps_rows(spark):
     assert np.mean([(r.p[1] > 0.5) == (r.id % 3 == 0) for r in clear]) > 0.98
     assert {r.tokens for r in got if r.id in (900, 901)} == {0}
     taken = mixing.mixed(docs, labels, domain, {"b0": 0.9, "b1": 0.1})
-    assert taken.columns == [*docs.columns, "mix_rate", "mix_copies"] and taken.where("mix_copies < 1").count() == 0
+    assert taken.columns == [*docs.columns, "mix_rate", "mix_copies", "mix_off"] and taken.where("mix_copies < 1").count() == 0
     assert mixing.mixing_rates(docs.limit(0), labels, domain, {"b0": 1.0}).count() == 0
     flat = mixing.mixing_rates(docs, labels.limit(0), domain, {"b0": 0.5, "b1": 0.5}).first()
-    assert flat.p == pytest.approx([0.5, 0.5])
+    assert flat.p == pytest.approx([0.5, 0.5]) and flat.off < 1e-4
+    far = mixing.mixing_rates(docs, labels.limit(0), domain, {"b0": 0.9, "b1": 0.1}).first()
+    assert far.off == pytest.approx(0.4, abs=0.01)
+    with pytest.raises(ValueError):
+        mixing.mixed(taken, labels, domain, {"b0": 0.9, "b1": 0.1})
+
+
+def test_mixing_rates_are_the_least_squares(spark):
+    rng = np.random.default_rng(14)
+    for targets in ([0.6, 0.3, 0.1], [0.98, 0.01, 0.01], [0.0, 0.0, 1.0]):
+        p = rng.dirichlet([0.6, 0.4, 0.3], 60)
+        tokens = rng.integers(1, 400, 60)
+        members = spark.createDataFrame([(int(t), q.tolist()) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+        fit = mixing.fit_rates(members, targets)
+        rows = members.withColumn("rate", mixing.rate_of(F.col("p"), fit.steps)).collect()
+        weights = tokens[:, None] * p / tokens.sum()
+        objective = lambda r: float((((weights * r[:, None]).sum(0) - targets) ** 2).sum())  # noqa: B023, E731
+        rates = np.ones(60)
+        for _ in range(60000):  # plain projected gradient over each rate by itself
+            rates = np.maximum(0, rates - 2000 * weights @ ((weights * rates[:, None]).sum(0) - targets) / 60)
+        got = np.array([r.rate for r in rows])
+        assert got.min() >= 0 and objective(got) <= objective(rates) + 1e-6
+        assert fit.off == pytest.approx(np.abs((weights * got[:, None]).sum(0) - targets).max(), abs=1e-9)
+
+
+def test_mixing_uses_labels_of_documents_that_are_there_and_all_telling_tokens(spark):
+    rows = [(i, f"plain text {'nasty' if i % 2 else 'kind'} {'mean' if i % 4 == 1 else 'soft' if i % 4 == 0 else 'grey'} " + "w" * 3000 * (i == 3), "x", 1.0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p string, tokens double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(10_000 + i, 0) for i in range(5000)], "doc_id long, bad int")
+    model = mixing.fit_classifier(docs, labels, F.concat(F.lit("b"), F.col("bad").cast("string")), ["b0", "b1"], max_labelled=100)
+    assert {"nasty", "kind"} <= set(model.tokens) and "plain" not in model.tokens
+    got = {r.id: r.p for r in mixing.mixing_rates(docs, labels, F.concat(F.lit("b"), F.col("bad").cast("string")), {"b0": 0.5, "b1": 0.5}).collect()}
+    assert all((q[1] > 0.9) == (i % 2 == 1) for i, q in got.items())

@@ -55,7 +55,7 @@ def test_stages_in_order_keep_columns_and_decide(spark, folder):
     ids = {r.doc_id for r in clean.collect()}
     assert clean.columns == COLUMNS and 9008 not in ids and {9001, 9002, 9005, 9009} <= ids
     mixed = corpus_pipeline.mix(spark, docs, folder)
-    assert mixed.columns == [*COLUMNS, "mix_rate", "mix_copies"] and mixed.where("mix_copies < 1").count() == 0
+    assert mixed.columns == [*COLUMNS, "mix_rate", "mix_copies", "mix_off"] and mixed.where("mix_copies < 1").count() == 0
 
 
 def test_language_stage_rejects_a_fifth_language_and_letters(spark):
