@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,9 +77,11 @@ class Model:
         self.labels, self.base, self.grams, self.escapes = labels, base, grams, escapes
 
     @classmethod
-    def fit(cls, label: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-        """From parallel columns of (label, code, how often)."""
-        labels, who = np.unique(label.astype(str), return_inverse=True) if len(label) else (np.zeros(0, str), np.zeros(0, int))
+    def fit(cls, counts: pa.Table) -> Model:
+        """From the columns label, gram (a code) and n (how often)."""
+        named = counts["label"].combine_chunks().dictionary_encode()
+        labels, place = np.unique(np.array(named.dictionary.to_pylist(), object), return_inverse=True)
+        who, gram, n = place[named.indices.to_numpy()], counts["gram"].to_numpy(), counts["n"].to_numpy()
         size = len(labels)
         base = np.full((256, size), 1 / 256)
         mine = [who == k for k in range(size)]
@@ -111,10 +112,12 @@ class Model:
             grams.append((codes, bits.astype(np.float32)))
             escapes.append((contexts, away.astype(np.float32)))
             below, codes_below = bits, codes
-        return cls(labels.tolist(), base_bits, grams, escapes)
+        return cls([str(x) for x in labels], base_bits, grams, escapes)
 
     def ready(self) -> list[tuple]:
-        """For each order, hash indexes of both tables."""
+        """For each order, hash indexes of both tables, as a worker builds them."""
+        import pandas as pd
+
         return [(pd.Index(g[0]), g[1], pd.Index(e[0]), e[1]) for g, e in zip(self.grams, self.escapes, strict=True)]
 
     def costs(self, codes: np.ndarray, tables: list[tuple]) -> np.ndarray:
@@ -184,8 +187,7 @@ def fit(df: DataFrame, label_col: str, text_col: str, docs_per_label: int = 600,
     ``docs_per_label`` is the only bound; counts are summed on the cluster, and no context of theirs is left out.
     """
     taken = sample(df, label_col, text_col, docs_per_label, parts=parts).select("label", F.col("text").cast("binary").alias("body"))
-    counts = training_counts(taken, words).toArrow()
-    return Model.fit(*(counts[c].to_numpy() for c in ("label", "gram", "n")))
+    return Model.fit(training_counts(taken, words).toArrow())
 
 
 _READY: dict = {}
