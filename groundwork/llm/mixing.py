@@ -133,6 +133,9 @@ def rate_of(p: Column, history: list[list[float]]) -> Column:
     return rate
 
 
+_LEAST_DAMPING = 1e-6
+
+
 @dataclass
 class Fit:
     """The steps that rates follow from, and how far the expected shares of the domains are from their targets at most."""
@@ -141,21 +144,23 @@ class Fit:
     off: float | None
 
 
-def fit_rates(members: DataFrame, targets: list[float], passes: int = 32, tolerance: float = 1e-4) -> Fit:
+def fit_rates(members: DataFrame, targets: list[float], passes: int = 64, tolerance: float = 1e-4) -> Fit:
     """Scaled projected gradient descent for ``members(id, tokens, p)``.
 
     Least squares over domains of expected tokens less target, as shares of all tokens; rates are at least 0.
     Gradients are taken in the metric of the documents' tokens, so a document's step depends on its posteriors
     only, and its rate is a function of the few numbers of each step. A pass over the table sums, for the steps so
     far, the domain totals and the second moments of the documents whose rate isn't 0; the latter scale the next
-    step. A step that doesn't come nearer is halved, and what is returned has been evaluated. Nothing but those sums
-    comes to the driver. Where no rates meet the targets, as with posteriors that don't tell domains apart, ``off`` says so.
+    step, damped the more the oftener a step failed to come nearer, down to a plain gradient step. What is returned has
+    been evaluated. Nothing but those sums comes to the driver. Where no rates meet the targets, as with posteriors
+    that don't tell domains apart, ``off`` says so.
     """
     k = len(targets)
     n, p, rate = F.col("tokens"), F.col("p"), F.col("rate")
     goal = np.array(targets) / max(sum(targets), 1e-300)
+    found, best, damping = Fit([], None), math.inf, _LEAST_DAMPING
     steps: list[list[float]] = []
-    found, best = Fit([], None), math.inf
+    gram, off = np.eye(k), np.zeros(k)
     for _ in range(passes):
         rated = members.select(n, p, rate_of(p, steps).alias("rate"))
         got = rated.agg(
@@ -166,19 +171,20 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 32, tolera
         total = float(got["n"] or 0)
         if not total:
             break
-        off = np.array([got[f"t{i}"] / total for i in range(k)]) - goal
-        far = float(off @ off)
-        if far >= best:
-            if max(map(abs, steps[-1])) < 1e-6:
+        now = np.array([got[f"t{i}"] / total for i in range(k)]) - goal
+        far = float(now @ now)
+        if far < best:
+            gained, best, off = best - far, far, now
+            found = Fit(steps, float(np.abs(off).max()))
+            gram = np.array([[(got[f"m{max(i, j)}_{min(i, j)}"] or 0) / total for j in range(k)] for i in range(k)])
+            if found.off <= tolerance or gained < 1e-5 * far:
                 break
-            steps[-1] = [x / 2 for x in steps[-1]]
-            continue
-        gained = best - far
-        found, best = Fit([list(s) for s in steps], float(np.abs(off).max())), far
-        if found.off <= tolerance or gained < 1e-3 * far:
-            break
-        gram = np.array([[(got[f"m{max(i, j)}_{min(i, j)}"] or 0) / total for j in range(k)] for i in range(k)])
-        steps.append(np.linalg.solve(gram + 1e-6 * np.eye(k), off).tolist())
+            damping = max(damping / 10, _LEAST_DAMPING)
+        else:
+            damping *= 10
+            if damping > 1e3:
+                break
+        steps = [*found.steps, np.linalg.solve(gram + damping * np.eye(k), off).tolist()]
     return found
 
 
