@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, id_and_bytes, shuffle_partitions, values
@@ -230,68 +230,100 @@ def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _alike_in(sets: list[np.ndarray], groups: list, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of ``similarity`` or more that connect all such pairs; members of one group count as connected.
+def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements every two of some sets have in common."""
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(where, minlength=len(values)) > 1
+    column, used = np.cumsum(often) - 1, often[where]
+    column, owner, total = column[where[used]], owner[used], int(often.sum())
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, total, 8192):
+        b, e = np.searchsorted(column, (low, low + 8192))
+        part = np.zeros((len(sets), min(8192, total - low)), np.float32)
+        part[owner[b:e], column[b:e] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _alike_in(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
+    """(edges, leader): pairs of ``similarity`` or more that connect all such pairs; the set with most of them, and how many.
 
-    Every pair is compared on the whole sets unless it is connected already or the sizes alone rule it out.
+    Every two sets are compared whole. Edges make trees around the sets with the most alike ones.
     """
-    of = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    part, size = np.array([of[g] for g in groups]), np.array([len(s) for s in sets])
-    found = []
-    for k in range(1, len(sets)):
-        fits = np.minimum(size[:k], size[k]) >= similarity * np.maximum(size[:k], size[k]) - 1e-9
-        for m in np.flatnonzero(fits & (part[:k] != part[k])).tolist():
-            if part[m] == part[k]:
-                continue
-            both = len(np.intersect1d(sets[m], sets[k], assume_unique=True))
-            if both and both >= similarity * (size[m] + size[k] - both) - 1e-9:
-                found.append((m, k))
-                part[part == part[m]] = part[k]
-    return found
+    size = np.array([len(s) for s in sets])
+    both = _shared_counts(sets)
+    alike = (both > 0) & (both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9)
+    np.fill_diagonal(alike, False)
+    degree = alike.sum(1)
+    seen, edges = np.zeros(len(sets), bool), []
+    for start in np.argsort(-degree, kind="stable").tolist():
+        if seen[start] or not degree[start]:
+            continue
+        seen[start], queue = True, [start]
+        for at in queue:
+            fresh = np.flatnonzero(alike[at] & ~seen)
+            seen[fresh] = True
+            fresh = fresh[np.argsort(-degree[fresh], kind="stable")].tolist()
+            edges += [(at, k) for k in fresh]
+            queue += fresh
+    most = int(degree.argmax()) if len(sets) else 0
+    return edges, (most, int(degree[most])) if len(sets) and degree[most] else None
 
 
 def _verified(similarity: float):
-    """Edges (u, v) of (unit, digest, part, hashes) rows, which come sorted by unit."""
+    """(unit, u, v, n) of (unit, digest, hashes) rows, which come sorted by unit: edges with n 0, and a unit's leader with its n links."""
 
-    def edges(held: list[tuple]) -> pa.RecordBatch:
-        sets = [np.frombuffer(h, np.uint32) for _, _, h in held]
-        pairs = _alike_in(sets, [p for _, p, _ in held], similarity)
-        ends = [pa.array([held[p[side]][0] for p in pairs], pa.binary()) for side in (0, 1)]
-        return pa.RecordBatch.from_arrays(ends, ["u", "v"])
+    def told(unit: int, held: list[tuple]) -> list[tuple]:
+        edges, leader = _alike_in([np.frombuffer(h, np.uint32) for _, h in held], similarity)
+        rows = [(unit, held[a][0], held[b][0], 0) for a, b in edges]
+        return rows + ([(unit, held[leader[0]][0], held[leader[0]][0], leader[1])] if leader else [])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["unit", "u", "v", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for batch in batches:
-            for unit, *row in values(*batch.columns):
+        for part in batches:
+            for unit, digest, hashes in values(*part.columns):
                 if unit != now:
-                    if len(held) > 1:
-                        yield edges(held)
+                    yield batch(told(now, held) if len(held) > 1 else [])
                     now, held = unit, []
-                held.append(tuple(row))
-        if len(held) > 1:
-            yield edges(held)
+                held.append((digest, hashes))
+        yield batch(told(now, held) if len(held) > 1 else [])
 
     return run
 
 
-def _rest_units(cut: DataFrame, roots: DataFrame) -> DataFrame:
-    """(unit, digest, part): what the units of a cut key left open, for keys whose members aren't all connected.
+#: Leaders of a key that all its members are compared with.
+LEADERS = 128
 
-    Members outside a key's largest part meet all its members, both dealt by hash into blocks; pairs within
-    the largest part need no look, so a large group of copies isn't multiplied out.
-    """
-    named = roots.withColumnRenamed("u", "digest")
-    rows = cut.select("key", F.explode("members").alias("digest")).distinct().join(named, "digest", "left")
-    rows = checkpointed(rows.select("key", "digest", F.coalesce("root", "digest").alias("part")))
-    parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    sums = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"))
-    half = BLOCK // 2
-    sums = sums.where("n > most").select("key", "main", F.ceil(F.col("n") / half).alias("all"), F.ceil((F.col("n") - F.col("most")) / half).alias("open"))
-    dealt = rows.join(sums, "key").withColumn("h", F.xxhash64("key", "digest"))
-    one = dealt.where("part <> main").select("*", F.pmod("h", "open").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"))
-    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("open") - 1)).alias("i"), F.pmod("h", "all").alias("j"))
-    both = one.select("key", "i", "j", "digest", "part").unionByName(other.select("key", "i", "j", "digest", "part"))
-    return both.select(F.xxhash64("key", "i", "j").alias("unit"), "digest", "part").distinct()
+
+def _open_keys(cut: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key): keys of several units whose members aren't all connected."""
+    members = cut.select("key", F.explode("members").alias("digest")).join(roots.withColumnRenamed("u", "digest"), "digest", "left")
+    return members.select("key", F.coalesce("root", "digest").alias("root")).distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+
+
+def _led_units(cut: DataFrame, found: DataFrame) -> DataFrame:
+    """(unit, digest): each unit of a key with the key's leaders, the members that have the most alike ones in their own units."""
+    leading = found.where("n > 0").select("unit", F.col("u").alias("digest"), "n").join(cut.select("unit", "key").distinct(), "unit")
+    ranked = leading.groupBy("key", "digest").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("key").orderBy(F.col("n").desc(), "digest")
+    leaders = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).groupBy("key").agg(F.collect_list("digest").alias("leaders"))
+    both = cut.join(leaders, "key").select(F.xxhash64(F.lit("led"), "key", "unit").alias("unit"), F.explode(F.array_union("members", "leaders")).alias("digest"))
+    return both.distinct()
+
+
+def _finer_keys(vertices: DataFrame, cut: DataFrame) -> DataFrame:
+    """(key, digest): for members of the cut keys, one key for every two of their cut keys."""
+    hot = cut.select("key", F.explode("members").alias("digest")).distinct().groupBy("digest").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    pairs = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.xxhash64(a, b))))
+    return hot.select(F.explode(pairs).alias("key"), "digest")
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -299,27 +331,42 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
     spark = df.sparkSession
     docs = checkpointed(_keyed(df, id_col, text_col, shingle))
     real = docs.where(F.col("id").isNotNull())
-    vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
-    rows = vertices.select(F.explode("keys").alias("key"), "digest")
-    # Ranges of (key, hash) spread a key that many texts share over as many tasks as it needs.
-    order = ["key", F.xxhash64("key", "digest")]
-    dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    units = checkpointed(dealt.mapInArrow(_blocks(BLOCK), "unit long, key long, members array<binary>"))
-    members = units.dropDuplicates(["unit"]).select("unit", F.explode("members").alias("digest"))
+    vertices = checkpointed(real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys")))
+
+    def units_of(rows: DataFrame) -> DataFrame:
+        # Ranges of (key, hash) spread a key that many texts share over as many tasks as it needs.
+        order = ["key", F.xxhash64("key", "digest")]
+        dealt = rows.select("key", "digest").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+        return checkpointed(dealt.mapInArrow(_blocks(BLOCK), "unit long, key long, members array<binary>"))
+
+    def listed(units: DataFrame) -> DataFrame:
+        return units.dropDuplicates(["unit"]).select("unit", F.explode("members").alias("digest"))
+
+    units = units_of(vertices.select(F.explode("keys").alias("key"), "digest"))
+    members = listed(units)
     wanted = vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct()
     texts = df.select(F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("__row", F.xxhash64("body"))
     sets = checkpointed(_shingle_sets(texts.join(wanted, "__row", "left_semi"), shingle))
 
     def verified(rows: DataFrame) -> DataFrame:
-        full = rows.join(sets, "digest").select("unit", "digest", "part", "hashes")
+        full = rows.join(sets, "digest").select("unit", "digest", "hashes")
         dealt = full.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "digest")
-        return checkpointed(dealt.mapInArrow(_verified(similarity), "u binary, v binary"))
+        return checkpointed(dealt.mapInArrow(_verified(similarity), "unit long, u binary, v binary, n long"))
+
+    def edges(found: DataFrame) -> DataFrame:
+        return found.where("n = 0").select("u", "v")
 
-    links = verified(members.withColumn("part", F.col("digest")))
+    found = verified(members)
+    links = edges(found)
     roots = connected_components(links)
-    rest = checkpointed(_rest_units(units.where("key is not null"), roots))
-    if not rest.isEmpty():  # units of a cut key hold only some of its pairs
-        roots = connected_components(links.union(verified(rest)))
+    # Units of a cut key hold only some of its pairs: they meet the key's leaders, then one another by finer keys.
+    cut = checkpointed(units.where("key is not null").join(_open_keys(units.where("key is not null"), roots), "key", "left_semi"))
+    if not cut.isEmpty():
+        links = links.union(edges(verified(_led_units(cut, found))))
+        roots = connected_components(links)
+        cut = checkpointed(cut.join(_open_keys(cut, roots), "key", "left_semi"))
+        if not cut.isEmpty():
+            roots = connected_components(links.union(edges(verified(listed(units_of(_finer_keys(vertices, cut)))))))
     named = docs.select("id", "row", "digest").join(roots.withColumnRenamed("u", "digest"), "digest", "left")
     return named.select(F.coalesce("root", "digest").alias("root"), "id", "row")
 
@@ -332,10 +379,13 @@ def near_copies(
     At this similarity 64-bit fingerprints of shingles lie some ten bits apart, too far for a ball. Candidates
     share one of BANDS keys, each of ROWS minima over hashes of the shingle set: whether a pair meets depends on its
     similarity alone, not on where or how the copy was changed, and a pair at 0.8 misses all bands once in 37,000
-    times. All members of a key are compared with each other on the whole sets, but for pairs that are connected
-    already, so that links don't depend on which member has the least id, and none is below ``similarity``. Equal
-    texts, A-Z and white space aside, are one vertex, all texts without words another. Null ids are kept and link
-    nothing, repeated rows stay, and rows of one id but different texts are told apart.
+    times. All members of a key are compared with each other on the whole sets, so links don't depend on which member
+    has the least id, and none is below ``similarity``. A key of more than BLOCK members is cut into units that are
+    compared whole; then all its members are compared with its LEADERS members that have the most alike ones, and if
+    they still aren't one group, with those that share two of their cut keys, which a pair at 0.8 does but for one in
+    2,500 times. So no key's pairs are multiplied out. Equal texts, A-Z and white space aside, are one vertex, all
+    texts without words another. Null ids are kept and link nothing, repeated rows stay, and rows of one id but
+    different texts are told apart; an empty table gives none.
     """
     named = checkpointed(_grouped(df, id_col, text_col, shingle, similarity))
     return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
