@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions, values
+from .common import shuffle_partitions, values, written
 
 MARK = "▁"
 _NEVER = -1e300
@@ -91,8 +91,17 @@ class Trie:
 #: Prefixes longer than this aren't shared, so that one endless word takes no memory.
 _DEPTH = 256
 #: Bytes of the frequent pre-tokens that are broadcast, and what one takes besides its text.
-HEAD_BYTES, _ENTRY = 32 << 20, 64
-_FLUSH = 200_000
+HEAD_BYTES, _ENTRY = 64 << 20, 64
+#: Distinct words that a worker counts before it hands them on.
+_FLUSH = 1_000_000
+
+
+class _Known(dict):
+    """Tokens of frequent words; words that aren't among them count as 0 and are noted."""
+
+    def __missing__(self, word: bytes) -> int:
+        self.rare.append(word)
+        return 0
 
 
 def distinct_words(source: DataFrame) -> DataFrame:
@@ -157,28 +166,29 @@ def token_counts(
     """
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("body"))
     kind = dict(source.dtypes)["id"]
-    scored = checkpointed(scored_words(distinct_words(source), vocabulary))
+    scored = written(scored_words(distinct_words(source), vocabulary))
     shared = df.sparkSession.sparkContext.broadcast(_head(scored, head_bytes))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = _Known(shared.value)
+        shared.__dict__.pop("_value", None)  # the plain table isn't needed beside it
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 split, sums, open_words = [], [], []
                 for body in values(part.column(1)):
                     words = (body or b"").split()
-                    tokens = list(map(known.get, words))
-                    rare = [w for w, t in zip(words, tokens, strict=True) if t is None] if None in tokens else []
+                    known.rare = []
                     split.append(len(words))
-                    sums.append(sum(filter(None, tokens)))
-                    open_words.append(rare)
+                    sums.append(sum(map(known.__getitem__, words)))
+                    open_words.append(known.rare)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(split, pa.int64()), pa.array(sums, pa.int64()), pa.array(open_words, pa.list_(pa.binary()))],
                     ["id", "n_pretokens", "sums", "words"],
                 )
 
-    rows = checkpointed(source.mapInArrow(run, f"id {kind}, n_pretokens long, sums long, words array<binary>")).withColumn("place", F.monotonically_increasing_id())
+    counted = source.mapInArrow(run, f"id {kind}, n_pretokens long, sums long, words array<binary>")
+    rows = written(counted.withColumn("place", F.monotonically_increasing_id()))
     rare = rows.select("place", F.explode("words").alias("word")).join(scored.select("word", "tokens"), "word").groupBy(F.col("place").alias("at")).agg(F.sum("tokens").alias("more"))
     total = (F.col("sums") + F.coalesce("more", F.lit(0))).alias("n_tokens")
     return rows.join(rare, rows["place"] == rare["at"], "left").select("id", "n_pretokens", total)
