@@ -144,8 +144,8 @@ class Fit:
     off: float | None
 
 
-def fit_rates(members: DataFrame, targets: list[float], passes: int = 64, tolerance: float = 1e-4) -> Fit:
-    """Scaled projected gradient descent for ``members(id, tokens, p)``.
+def fit_rates(members: DataFrame, targets: list[float], passes: int = 48, tolerance: float = 5e-4) -> Fit:
+    """Scaled projected gradient descent for ``members(tokens, p)``, of which rows with the same posteriors count as one.
 
     Least squares over domains of expected tokens less target, as shares of all tokens; rates are at least 0.
     Gradients are taken in the metric of the documents' tokens, so a document's step depends on its posteriors
@@ -161,8 +161,9 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 64, tolera
     found, best, damping = Fit([], None), math.inf, _LEAST_DAMPING
     steps: list[list[float]] = []
     gram, off = np.eye(k), np.zeros(k)
+    alike = checkpointed(members.groupBy("p").agg(F.sum("tokens").alias("tokens")))
     for _ in range(passes):
-        rated = members.select(n, p, rate_of(p, steps).alias("rate"))
+        rated = alike.select(n, p, rate_of(p, steps).alias("rate"))
         got = rated.agg(
             F.sum("tokens").alias("n"),
             *(F.sum(n * p[i] * rate).alias(f"t{i}") for i in range(k)),
@@ -201,7 +202,7 @@ def mixing_rates(
 
     ``targets`` gives every domain its share of the tokens; the sum over documents of rate * tokens * p nears
     share * all tokens. ``off``, the same in all rows, is how far the farthest domain's expected share is from its
-    target: above 0.0001 the targets are out of reach of these documents and labels. Null and empty texts have no
+    target: above 0.0005 the targets are out of reach of these documents and labels. Null and empty texts have no
     words and the posteriors of a text without telling tokens; texts may be of any length; null ids are kept, repeated
     rows are rows like any other; an empty table gives none; with no usable labels all posteriors are alike.
     """
