@@ -5,26 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import vocabulary
 from .operators import evaluation as ev
 from .operators import grounding as g
 from .plans import audit as plan
 from .plans import orders
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .runtime import spread, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full audit of the order answers: one report row each."""
     return plan.audit(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir), plain=False)
@@ -46,35 +34,30 @@ select doc_id, case when regexp_matches(text, '[\x{3040}-\x{30ff}\x{31f0}-\x{31f
 from documents
 """)
 def script_of_documents(spark, sf_dir):
-    """SEG8 with expressions alone."""
-    text = F.col("text")
-    script = (
-        F.when(text.rlike(r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}]"), "ja")
-        .when(text.rlike(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"), "zh")
-        .when(text.rlike(r"[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]"), "en")
-        .otherwise("und")
-    )
-    return table(spark, sf_dir, "documents").select("doc_id", script.alias("script"))
+    """SEG8 by the engine's own kernel."""
+    from .functions.kernels import script_function
 
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", script_function()(F.col("text")).alias("script"))
 
-@query(r"""
-with l as (select doc_id, unnest(string_split(text, chr(10))) as raw from documents),
-t as (select doc_id, trim(raw, ' ' || chr(9) || chr(13)) as line from l),
-k as (select doc_id, case when regexp_matches(line, '^#+ ') then 'heading' when line like '|%' then 'table_row' when line like '>%' then 'quote'
-  when regexp_matches(line, '^(- |\* |\+ |・|‐ |— )') or regexp_matches(line, '^[0-9]+[.)、．]( |$)') then 'list_item' else 'prose' end as kind
-  from t where line <> '')
-select kind, count(*)::bigint as lines, count(distinct doc_id)::bigint as documents from k group by kind
-""")
+
+_LINES = (
+    ("## Part {0}", "heading"), ("- item {0}", "list_item"), ("{0}. item", "list_item"), ("| {0} | x |", "table_row"), ("> said {0}", "quote"), ("Plain {0} here.", "prose"),
+    ("・{0}", "list_item"), ("#{0} is plain.", "prose"), ("-{0} is plain.", "prose"),
+)
+
+
+@query(
+    "with l(place, kind) as (values " + ", ".join(f"({k}, '{kind}')" for k, (_, kind) in enumerate(_LINES)) + "), d as (select doc_id, l.* from documents, l where (doc_id + place) % 3 <> 0) "
+    "select kind, cast(count(*) as bigint) as lines, cast(count(distinct doc_id) as bigint) as documents from d group by kind"
+)
 def line_kinds_documents(spark, sf_dir):
-    """SEG2 and SEG3 over every line that isn't blank."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw"))
-    line = F.col("line")
-    kind = (
-        F.when(line.rlike("^#+ "), "heading").when(F.startswith(line, F.lit("|")), "table_row").when(F.startswith(line, F.lit(">")), "quote")
-        .when(line.rlike(r"^(- |\* |\+ |・|‐ |— )") | line.rlike("^[0-9]+[.)、．]( |$)"), "list_item").otherwise("prose")
-    )
-    named = lines.withColumn("line", F.trim("raw", F.lit(" \t\r"))).where("line <> ''").withColumn("kind", kind)
-    return named.groupBy("kind").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("documents"))
+    """SEG2-SEG4 by the engine's segmenter, over lines of every kind made from ids; two of three stand in each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    lines = [F.when((F.col("doc_id") + k) % 3 != 0, F.replace(F.lit(shape), F.lit("{0}"), F.col("doc_id").cast("string"))) for k, (shape, _) in enumerate(_LINES)]
+    text = F.array_join(F.array_compact(F.array(*lines)), "\n\n  ")
+    segs = g.segments(docs.select("doc_id", text.alias("text")), "text")
+    return segs.groupBy("kind").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("documents"))
 
 
 def _document_segments(spark, sf_dir):
@@ -82,11 +65,37 @@ def _document_segments(spark, sf_dir):
     return g.segments(spread(docs, "doc_id"), "text")
 
 
-@query()
+#: Documents hold prose in scripts with spaces and no structure, so SQL can cut them word by word: a stop ends a sentence only at
+#: the end of a word, outside brackets, and not after an initial or an abbreviation unless the paragraph ends there.
+_CUTS = r"""
+with docs as (select doc_id, text, regexp_extract_all(text, '\S+') as words, string_split_regex(text, '\S+') as gaps from documents where regexp_matches(text, '\S')),
+flat as (select doc_id, unnest(range(1, len(words) + 1)) as i, words, gaps from docs),
+word as (select doc_id, i, words[i] as w, gaps[i] as gap from flat),
+placed as (select *, cast(sum(length(gap) + length(w)) over (partition by doc_id order by i) as bigint) as b,
+    sum(case when regexp_matches(gap, '\n\s*\n') then 1 else 0 end) over (partition by doc_id order by i) as block,
+    sum(case when contains(gap, chr(10)) then 1 else 0 end) over (partition by doc_id order by i) as line from word),
+read as (select *, b - length(w) as a, regexp_extract(w, '([.!?]+)[」』）)】》〉\]"''’”]*$', 1) as stops, regexp_extract(w, '([.!?]+[」』）)】》〉\]"''’”]*)$', 1) as tail,
+    regexp_extract(w, '([\p{L}\p{N}.]*\.)[」』）)】》〉\]"''’”]*$', 1) as short, i = max(i) over (partition by doc_id, block) as final from placed),
+chars as (select doc_id, unnest(string_split(text, '')) as c, unnest(range(length(text))) as pos from docs where regexp_matches(text, '[「『（(【《〈\[」』）)】》〉\]]')),
+marks as (select m.doc_id, m.pos, m.step, p.block from (select doc_id, pos, case when contains('「『（(【《〈[', c) then 1 else -1 end as step from chars where contains('「『（(【《〈[」』）)】》〉]', c)) m
+    asof join placed p on p.doc_id = m.doc_id and m.pos >= p.b - length(p.w)),
+sums as (select *, sum(step) over (partition by doc_id, block order by pos) as s from marks),
+deep as (select doc_id, block, pos, s - least(0, min(s) over (partition by doc_id, block order by pos)) as depth from sums),
+judged as (select r.*, coalesce(d.depth, 0) = 0 and case when stops = '' then false
+      when stops = '.' then not regexp_matches(short, '(^|\.)\p{Lu}\.$') and (final or lower(short) not in (ABBREVIATIONS)) else regexp_matches(stops, '[!?]') end as cut
+    from read r asof left join deep d on d.doc_id = r.doc_id and d.block = r.block and r.b - length(r.tail) > d.pos),
+grouped as (select *, coalesce(sum(cut::int) over (partition by doc_id, block order by i rows between unbounded preceding and 1 preceding), 0) as n, bool_or(cut) over (partition by doc_id, block) as any_cut from judged),
+seg as (select doc_id, block, case when any_cut then n else line end as n, min(a) as a, max(b) as b, case when not bool_or(any_cut) then 'line' when bool_or(cut) then 'terminator' else 'end' end as boundary
+    from grouped group by doc_id, block, case when any_cut then n else line end),
+cuts as (select seg.doc_id, cast(row_number() over (partition by seg.doc_id order by a) - 1 as int) as seg, cast(a as int) as a, cast(b as int) as b, boundary, substr(text, a + 1, b - a) as body
+    from seg join docs on docs.doc_id = seg.doc_id)
+""".replace("ABBREVIATIONS", ", ".join(f"'{x}'" for x in vocabulary.ABBREVIATIONS.split()))
+
+
+@query(_CUTS + r"""select doc_id, seg, a as "start", b as "end", 'prose' as kind, boundary, case when regexp_matches(body, '[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]') then 'en' else 'und' end as script from cuts""")
 def segments_documents(spark, sf_dir):
-    """SEG1-SEG9, EXT1-EXT5 over whole documents."""
-    segs = _document_segments(spark, sf_dir)
-    return segs.select("doc_id", "seg", "start", "end", "kind", "script", "boundary", F.size("tokens").cast("long").alias("tokens"))
+    """SEG1-SEG8 over whole documents."""
+    return _document_segments(spark, sf_dir).select("doc_id", "seg", "start", "end", "kind", "script", "boundary")
 
 
 @query("select cast(0 as bigint) as doc_id, 0 as seg, 'x' as problem where false")
@@ -106,7 +115,7 @@ def segment_tiling_violations(spark, sf_dir):
     return rows.withColumn("problem", problem).where("problem is not null").select("doc_id", "seg", "problem")
 
 
-@query()
+@query(_CUTS + "select doc_id, cast(sum(case when boundary = 'line' then b - a else 0 end) as bigint) as by_line, cast(sum(b - a) as bigint) as chars, sum(case when boundary = 'line' then b - a else 0 end) / sum(b - a) as share from cuts group by doc_id")
 def fallback_share_documents(spark, sf_dir):
     """SEG9: share of a document's characters in segments cut at line ends."""
     chars = F.col("end") - F.col("start")
@@ -166,22 +175,25 @@ def sample_alias_resolution(spark, sf_dir):
     return got.select(F.col("audit").alias("conv_id"), F.col("question").isNotNull().alias("has_question"), F.size("contexts").cast("long").alias("contexts"), "refused")
 
 
-@query("""
-select item_id, cast(count(*) as bigint) as documents from benchmark b join documents d on contains(d.text, b.text) group by item_id
+@query(r"""
+with b as (select item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as needle from benchmark),
+d as (select doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) as hay from documents where text is not null)
+select item_id, cast(count(*) as bigint) as documents from b join d on contains(hay, needle) group by item_id
 """)
 def benchmark_in_documents(spark, sf_dir):
-    """MAT3-style containment: an item meets the documents that hold its longest inner word, which is a whole word there too.
+    """JN1, MAT3: benchmark items as tokens, documents as evidence of one package, by the exact matcher."""
+    from .functions.kernels import forms_function
 
-    Items of fewer than three words have no inner word and are tested against all texts.
-    """
-    docs, words = table(spark, sf_dir, "documents").select("doc_id", "text"), F.split("needle", " ")
-    inner = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")).withColumn("word", F.array_max(inner)["w"])
-    held = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    pairs = held.join(items.where("word is not null"), "word").select("doc_id", "item_id", "needle")
-    long = docs.join(pairs, "doc_id").where(F.contains("text", "needle")).select("item_id")
-    short = docs.join(items.where("word is null"), F.contains("text", "needle")).select("item_id")
-    return long.union(short).groupBy("item_id").agg(F.count("*").alias("documents"))
+    form = forms_function("exact")(F.col("text"))
+    tokens = table(spark, sf_dir, "benchmark").select("item_id", F.lit(0).alias("pkg"), form.alias("f")).select("item_id", "pkg", "f.*")
+    none = F.lit(None).cast("string")
+    items = table(spark, sf_dir, "documents").where("text is not null").select(
+        F.lit(0).alias("pkg"), F.col("doc_id").alias("item"), F.col("doc_id").cast("string").alias("item_id"), F.lit("documents").alias("document_id"), none.alias("source_path"),
+        none.alias("section"), F.lit(0).alias("start"), F.length("text").alias("end"), none.alias("layer"), none.alias("producer"), "text",
+    )
+    found = g.with_locations(tokens, g.locate(tokens, items, "exact"))
+    held = found.select("item_id", F.explode("locations.item").alias("item")).distinct()
+    return held.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 # --- the audit of the order answers, against what the columns say -----------------------------------------------------
@@ -213,26 +225,31 @@ seg as (
 """
 
 
-def _audited(spark, sf_dir):
-    return plan.audited(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir))
+def _audited(spark, sf_dir, neighbours=False):
+    return plan.audited(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir), neighbours=neighbours)
+
+
+def _placed(spark, sf_dir):
+    admitted = plan.admit(orders.answers(spark, sf_dir))
+    return g.placed_tokens(plan.segments_of(admitted), orders.evidence(spark, sf_dir))
 
 
 @query(_BASE + "select pkg as audit, seg, tok, kind, text, cast(places as bigint) as places from token")
 def locate_orders(spark, sf_dir):
     """JN1, WIN1, WIN2, EXT1-EXT8: every token of every answer and in how many places of the evidence it stands."""
-    _, _, tokens = _audited(spark, sf_dir)
+    tokens = _placed(spark, sf_dir)
     return tokens.select("audit", "seg", "tok", "kind", "text", F.size("locations").cast("long").alias("places"))
 
 
 @query(_BASE + "select pkg as audit, kind, text from token where places = 0")
 def floating_orders(spark, sf_dir):
-    _, _, tokens = _audited(spark, sf_dir)
+    tokens = _placed(spark, sf_dir)
     return g.floating(tokens).select("audit", "kind", "text")
 
 
 @query(_BASE + "select pkg as audit, kind, text from token where places > 0")
 def grounded_orders(spark, sf_dir):
-    _, _, tokens = _audited(spark, sf_dir)
+    tokens = _placed(spark, sf_dir)
     return g.grounded(tokens).select("audit", "kind", "text")
 
 
@@ -244,14 +261,18 @@ def contradicted_orders(spark, sf_dir):
 
 
 @query(_BASE + """
-, near as (select f.pkg, l.q || ' kg' as text, row_number() over (partition by f.pkg order by l.item) as n from facts f join line l on l.pkg = f.pkg where f.k = 1)
-select pkg as audit, cast(n as bigint) as n, text from near where n <= 5
+, lost as (select t.*, f.k, f.d from token t join facts f on f.pkg = t.pkg where t.places = 0 and not (f.k = 2 and f.same_q = 1)),
+seen as (select t.pkg, t.seg, t.tok, case when t.kind = 'quantity' then l.q || ' kg' else l.d end as text, l.item,
+    case when t.k = 9 and l.d = t.d then 0 else 2 end as scope
+  from lost t join line l on l.pkg = t.pkg where t.kind in ('quantity', 'date')),
+near as (select *, row_number() over (partition by pkg, seg, tok order by scope, item) as n from seen)
+select pkg as audit, seg, tok, cast(n as bigint) as n, text from near where n <= 5
 """)
 def nearby_orders(spark, sf_dir):
-    """JN5, WIN3, for answers without any grounded token."""
-    _, _, tokens = _audited(spark, sf_dir)
-    rows = tokens.where(F.col("audit") % 10 == 1).select("audit", F.posexplode("nearby").alias("n", "x"))
-    return rows.select("audit", (F.col("n") + 1).cast("long").alias("n"), "x.text")
+    """JN5, JN6, WIN3: what lies near every floating token, in the sentence of a grounded one first."""
+    _, _, tokens = _audited(spark, sf_dir, neighbours=True)
+    rows = tokens.select("audit", "seg", "tok", F.posexplode("nearby").alias("n", "x"))
+    return rows.select("audit", "seg", "tok", (F.col("n") + 1).cast("long").alias("n"), "x.text")
 
 
 @query(_BASE + "select pkg as audit, seg, verdict from seg")
@@ -286,8 +307,8 @@ select cast((select count(*) from facts) as bigint) as answers, cast(count(disti
   cast(count(*) filter (where places = 0) as bigint) as floating, count(*) filter (where places > 0) / count(*) as grounded_share from token
 """)
 def grounded_share_pooled(spark, sf_dir):
-    """AGG6: tokens are pooled, shares aren't averaged."""
-    return plan.pooled(flagship(spark, sf_dir))
+    """AGG5, AGG6: tokens are pooled, shares aren't averaged; nothing but places is worked out."""
+    return plan.pooled_shares(plan.shares(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir)))
 
 
 @query(_BASE + """
@@ -348,17 +369,20 @@ union all select 6, 'the restorer put nothing back', cast(count(*) as bigint) fr
 union all select 7, null, cast(count(*) as bigint) from orders where o_orderkey % 12 = 7
 union all select 8, 'the package and the record disagree on the protection', cast(count(*) as bigint) from orders where o_orderkey % 12 = 8
 union all select 9, 'give a restorer or its name, not both', cast(count(*) as bigint) from orders where o_orderkey % 12 = 9
+union all select 10, null, cast(count(*) as bigint) from orders where o_orderkey % 12 = 10
+union all select 11, 'the answer is protected and nothing restored it', cast(count(*) as bigint) from orders where o_orderkey % 12 = 11
 """)
 def admission_outcomes(spark, sf_dir):
-    """OP2: a grid of protection, residue, restorer and record."""
+    """OP2, JN23, OP22: a grid of protection, residue, restorer and record, which agrees, disagrees or stands alone."""
     k = F.col("o_orderkey") % 12
     shield = lambda back: F.struct(F.lit("redactor").alias("by"), F.lit("names").alias("scope"), F.lit(back).alias("reversible"))
-    text = F.when(k.isin(0, 2, 4, 5, 6, 7), "Paid to <PERSON_1> today.").otherwise("Paid today.")
-    made = table(spark, sf_dir, "orders").where(k < 10).select(
+    text = F.when(k.isin(0, 2, 4, 5, 6, 7, 10), "Paid to <PERSON_1> today.").otherwise("Paid today.")
+    made = table(spark, sf_dir, "orders").select(
         k.alias("grid"), F.col("o_orderkey").alias("audit"), text.alias("answer"),
-        F.when(k == 2, shield(False)).when(k.isin(4, 5, 6, 7, 8), shield(True)).alias("protection"), F.when(k == 8, shield(False)).alias("record"),
+        F.when(k == 2, shield(False)).when(k.isin(4, 5, 6, 7, 8, 10), shield(True)).alias("protection"),
+        F.when(k == 8, shield(False)).when(k.isin(10, 11), shield(True)).alias("record"),
         F.when(k == 6, "Paid to <PERSON_1> today.").when(k == 7, "Paid to Ada today.").when(k == 9, "Paid today.").alias("restored"),
-        F.when(k.isin(3, 5, 9), "a person").alias("restored_by"),
+        F.when(k.isin(3, 5, 9, 10), "a person").alias("restored_by"),
     )
     return plan.admit(made).groupBy("grid", "refused").agg(F.count("*").alias("n"))
 
@@ -378,13 +402,17 @@ def package_items(spark, sf_dir):
     return got.groupBy(F.col("pkg").alias("audit")).agg(F.count("*").alias("items"), F.min(F.length("text")).cast("long").alias("shortest"))
 
 
-@query("""
-select o_orderkey % 5 as rule, cast(count(*) as bigint) as n from orders group by 1
+@query(_BASE + """
+select pkg as audit, case item % 3 when 0 then 'below_threshold' when 1 then 'budget_exhausted' else 'stale_anchor' end as rule, cast(count(*) as bigint) as n
+from line where q > 25 group by 1, 2
 """)
 def withheld_by_rule(spark, sf_dir):
-    """AGG7."""
-    made = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("rule"))
-    return g.withheld_by_rule(made)
+    """AGG7: what packages withheld, as reports tell it."""
+    lines = orders.numbered_lines(spark, sf_dir).where(F.col("l_quantity").cast("int") > 25)
+    rule = F.when(F.col("item") % 3 == 0, "below_threshold").when(F.col("item") % 3 == 1, "budget_exhausted").otherwise("stale_anchor")
+    omissions = lines.select(F.col("l_orderkey").alias("pkg"), rule.alias("rule"))
+    reports = plan.audit(orders.answers(spark, sf_dir), orders.evidence(spark, sf_dir), omissions, plain=False)
+    return reports.select("audit", F.explode("provenance.withheld").alias("w")).select("audit", "w.rule", "w.n")
 
 
 @query("""
@@ -394,7 +422,7 @@ select coalesce(a.audit, b.audit) as audit, coalesce(a.path, b.path) as path, co
 from a full join b on a.audit = b.audit and a.path = b.path where a.v is distinct from b.v
 """)
 def recheck_diff(spark, sf_dir):
-    """OP6, OP7, JN20, SET6, ORD4: leaves of two documents compared."""
+    """OP7, JN20, SET6: leaves of two documents compared."""
     rows = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     old = rows.select(k.alias("audit"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.when(k % 3 == 0, "x").alias("only"))).alias("document"))
@@ -509,11 +537,9 @@ c as (select pkg, kind, mine, count(*) filter (where mine = theirs) as own, coun
 select pkg as audit, kind, cast(sum(own * other) as bigint) as pairs from c group by pkg, kind having sum(own * other) > 0
 """)
 def source_conflict_orders(spark, sf_dir):
-    """JN19, AGG18: values that other items of the package give otherwise."""
-    _, _, tokens = _audited(spark, sf_dir)
-    pairs = ev.source_conflict(tokens, g.source_index(orders.evidence(spark, sf_dir)))
-    kind = F.when(F.startswith("text", F.lit("$")), "money").when(F.endswith("text", F.lit("kg")), "quantity").otherwise("date")
-    return pairs.groupBy("audit", kind.alias("kind")).agg(F.count("*").alias("pairs"))
+    """JN19, AGG18: values that other items of the package give otherwise, counted without pairing them."""
+    found = ev.conflict_counts(_placed(spark, sf_dir), g.source_index(orders.evidence(spark, sf_dir)))
+    return found.groupBy("audit", "kind").agg(F.sum("rivals").cast("long").alias("pairs"))
 
 
 @query("""
@@ -545,26 +571,15 @@ def markup_documents(spark, sf_dir):
     """SRC18, SRC19: markup taken off, with the places of what it marked."""
     from .sources import corpus
 
-    text = F.concat(F.lit("A {{P:number}}"), F.col("doc_id").cast("string"), F.lit("{{/P}} and {{P:date}}2024-01-02{{/P}}."))
-    made = table(spark, sf_dir, "documents").select("doc_id", corpus.strip_markup(text).alias("c"))
+    tag = F.when(F.col("doc_id") % 2 == 0, "P").otherwise("F")
+    marked = lambda name, body: F.concat(F.lit("{{"), tag, F.lit(f":{name}}}}}"), body, F.lit("{{/"), tag, F.lit("}}"))
+    text = F.concat(F.lit("A "), marked("number", F.col("doc_id").cast("string")), F.lit(" and "), marked("date", F.lit("2024-01-02")), F.lit("."))
+    stripped = F.when(tag == "P", corpus.strip_markup(text)).otherwise(corpus.strip_markup(text, "F"))
+    made = table(spark, sf_dir, "documents").select("doc_id", stripped.alias("c"))
     flat = made.select("doc_id", "c.text", F.explode("c.markings").alias("m"))
     return flat.select("doc_id", "text", "m.kind", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"))
 
 
-_GOLDEN = (
-    ("令和6年5月に契約した。", "date", "令和6年5月"), ("第三条による。", "reference", "第三条"), ("共计3公斤。", "quantity", "3公斤"), ("重さは１２kgです。", "quantity", "１２kg"),
-    ("It rose 4.5%.", "percentage", "4.5%"), ("See Section 4.2(a).", "reference", "Section 4.2(a)"), ("It took 30 days.", "duration", "30 days"),
-)
-
-
-@query("select * from (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GOLDEN) + ") as t(text, kind, particular)")
-def tokens_golden(spark, sf_dir):
-    """EXT7: one text for each of several rules; the values are written down, so this is the weaker kind of twin."""
-    texts = spark.createDataFrame([(a, a) for a, _, _ in _GOLDEN], "key string, text string")
-    rows = g.segments(texts, "text").select("key", F.explode("tokens").alias("t"))
-    return rows.select(F.col("key").alias("text"), "t.kind", F.col("t.text").alias("particular"))
-
-
 @query("""
 with m as (select o_orderkey % 3 as k from orders)
 select 'all' as view, cast(count(*) * 2 as bigint) as marked, cast(count(*) + count(*) filter (where k <> 0) as bigint) as exact, cast(count(*) filter (where k = 0) as bigint) as overlapping,

@@ -21,6 +21,8 @@ from .plans import audit as plan
 from .sources import corpus, packages, samples
 
 VERSION = "1"
+#: Differences that are printed at most.
+DIFFERENCES = 40
 
 
 class Refused(Exception):
@@ -31,14 +33,19 @@ def _answers(spark: SparkSession, text: str, pkg: str, restored_by: str | None):
     return spark.createDataFrame([(0, 0, text, pkg, restored_by)], "audit long, pkg long, answer string, package_id string, restored_by string")
 
 
-def report(spark: SparkSession, package: str | None, contexts: str | None, response: str | None, settings: problems.Settings, restored_by: str | None = None) -> Row:
-    """The report of one answer against a package document or a list of contexts."""
+def report(
+    spark: SparkSession, package: str | None, contexts: str | None, response: str | None, settings: problems.Settings,
+    restored_by: str | None = None, text: str | None = None,
+) -> Row:
+    """The report of one answer, a file or ``text``, against a package document or a list of contexts."""
     plain, omissions = contexts is not None, None
+    if text is None and response is not None:
+        text = Path(response).read_text(encoding="utf-8")
     if plain:
         body = json.loads(Path(contexts).read_text(encoding="utf-8"))
         sample = body if isinstance(body, dict) else {"contexts": body}
-        if response is not None:
-            sample = {k: v for k, v in sample.items() if k not in samples.ANSWERS} | {"answer": Path(response).read_text(encoding="utf-8")}
+        if text is not None:
+            sample = {k: v for k, v in sample.items() if k not in samples.ANSWERS} | {"answer": text}
         row = samples.resolve(spark.read.json(spark.sparkContext.parallelize([json.dumps(sample | {"audit": 0})])))
         first = row.first()
         if first.refused:
@@ -47,11 +54,12 @@ def report(spark: SparkSession, package: str | None, contexts: str | None, respo
     else:
         raw = Path(package).read_text(encoding="utf-8")
         read = packages.read(spark.createDataFrame([(0, raw)], "pkg long, raw string"))
-        first = read.select("refused", "package.package_id", F.col("package.provenance.protection").alias("protection")).first()
+        first = read.select("refused", "package.package_id", F.col("package.provenance.protection").alias("protection"), "unrecognised").first()
         if first.refused:
             raise Refused(first.refused)
         items, omissions = packages.items_of(read), packages.omissions_of(read)
-        answers = _answers(spark, Path(response).read_text(encoding="utf-8"), first.package_id or "", restored_by)
+        answers = _answers(spark, text, first.package_id or "", restored_by)
+        answers = answers.withColumn("unrecognised", F.array(*map(F.lit, first.unrecognised)).cast("array<string>"))
         if first.protection is not None:
             p = first.protection
             answers = answers.withColumn("protection", F.struct(F.lit(p["by"]).alias("by"), F.lit(p["scope"]).alias("scope"), F.lit(p["reversible"]).alias("reversible")))
@@ -66,19 +74,31 @@ def recheck(spark: SparkSession, archived: str, package: str | None, contexts: s
     old = corpus.archived_reports(spark.createDataFrame([(0, Path(archived).read_text(encoding="utf-8"))], "audit long, raw string")).first()
     if old.refused:
         raise Refused(old.refused)
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # on the driver alone: the answer as a file, as report() reads it
-        (path := Path(folder, "answer.txt")).write_text(old.report.answer, encoding="utf-8")
-        again = problems.Settings(matcher=old.report.audited.matcher, languages=tuple(old.report.audited.packs))
-        fresh = report(spark, package, contexts, str(path), again)
+    again = problems.Settings(matcher=old.report.audited.matcher, languages=tuple(old.report.audited.packs))
+    fresh = report(spark, package, contexts, None, again, text=old.report.answer)
     new = json.dumps(sinks.report_document(fresh.asDict(True)), ensure_ascii=False, default=str)
     frame = lambda text: spark.createDataFrame([(0, text)], "audit long, document string")
     return plan.recheck(plan.leaves(frame(old.document)), plan.leaves(frame(new))).collect()
 
 
-def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...]) -> tuple[list[Row], list[Row]]:
-    """(rates, floors) of a folder of cases."""
+def archived(spark: SparkSession, path: str) -> dict:
+    """A report document from a file, taken out of its statement if it is in one."""
+    row = corpus.archived_reports(spark.createDataFrame([(0, Path(path).read_text(encoding="utf-8"))], "audit long, raw string")).first()
+    if row.refused:
+        raise Refused(row.refused)
+    return json.loads(row.document)
+
+
+def extraction_rows(spark: SparkSession, folder: str) -> list[Row]:
+    """Scores of extraction against the marked answers of a folder."""
+    marked = corpus.marked_answers(spark, folder)
+    if bad := marked.where("refused is not null").take(1):
+        raise Refused(f"{bad[0].name}: {bad[0].refused}")
+    return ev.score_extraction(marked).orderBy("view", "name").collect()
+
+
+def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...], extraction: list[Row] = ()) -> tuple[list[Row], list[Row]]:
+    """(rates, floors) of a folder of cases; with scores of extraction, its floors are held against those."""
     cases, plants, raws = corpus.cases(spark, root, splits)
     read = packages.read(raws)
     shield = read.select("pkg", F.col("package.provenance.protection").alias("protection"))
@@ -90,7 +110,12 @@ def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...]) -> tuple[l
     )
     live = plants.join(admitted.where("refused is null").select("audit"), "audit", "left_semi")
     rates = ev.rates(ev.tallies(ev.score_plants(live, tokens, segs), per))
-    return rates.collect(), ev.floors_check(rates.where("view = 'all'"), spark).collect()
+    measured = rates.where("view = 'all'").select("metric", "share")
+    if every := [r for r in extraction if r.view == "all"]:
+        names = {"extraction recall on claimed kinds": every[0].recall, "extraction precision": every[0].precision, "unbearing segments": every[0].unbearing_share}
+        told = spark.createDataFrame(list(names.items()), "metric string, share double")
+        measured = measured.join(told, "metric", "left_anti").unionByName(told)
+    return rates.orderBy("view", "name", "metric").collect(), ev.floors_check(measured, spark).orderBy("metric").collect()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -111,6 +136,16 @@ def parser() -> argparse.ArgumentParser:
     score.add_argument("root")
     score.add_argument("--split", action="append")
     score.add_argument("--gate", action="store_true")
+    score.add_argument("--marked", help="a folder of marked answers")
+    score.add_argument("--json", action="store_true")
+    told = sub.add_parser("explain", help="one segment of a report, from the report alone")
+    told.add_argument("report")
+    told.add_argument("--segment")
+    told.add_argument("--particular")
+    page = sub.add_parser("certificate", help="a report as a page")
+    page.add_argument("report")
+    page.add_argument("--out")
+    page.add_argument("--force", action="store_true")
     sub.add_parser("errors", help="kinds of refusal").add_argument("--by", required=True)
     sub.add_parser("doctor", help="what is installed")
     return top
@@ -122,19 +157,45 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(json.dumps(r.asDict()))
         return 0
     if args.command == "eval":
-        rates, floors = evaluate(spark, args.root, tuple(args.split or ("train",)))
-        for r in rates:
-            print(f"{r.view} {r.name} {r.metric}: {r.hits}/{r.total}")
+        extraction = extraction_rows(spark, args.marked) if args.marked else []
+        rates, floors = evaluate(spark, args.root, tuple(args.split or ("train",)), extraction)
         breached = [f for f in floors if f.breached]
+        if args.json:
+            print(json.dumps({"rates": [x.asDict() for x in rates], "extraction": [x.asDict() for x in extraction], "floors": [x.asDict() for x in floors]}, ensure_ascii=False, indent=2))
+            return 4 if args.gate and breached else 0
+        for x in rates:
+            print(f"{x.view} {x.name} {x.metric}: {x.hits}/{x.total}")
+        for x in extraction:
+            print(f"extraction {x.view} {x.name}: {(x.exact or 0) + (x.overlapping or 0)}/{x.marked} found, {x.exact}/{x.marked} to the character")
+        for f in floors:
+            print(f"floor {f.metric}: {'nothing to measure' if f.share is None else format(f.share, '.3f')}, {'at least' if f.at_least else 'at most'} {f.bound}")
         for f in breached:
             print(f"breached: {f.metric} is {f.share:.3f}, the bound {f.bound}")
         return 4 if args.gate and breached else 0
+    if args.command == "explain":
+        row = sinks.report_row(archived(spark, args.report))
+        if args.segment is None:
+            print("\n".join(["give a segment with --segment; findings:", *(f"  {x}" for x in sinks.findings(row) or ["none"])]))
+        else:
+            print(sinks.explanation(row, args.segment, args.particular), end="")
+        return 0
+    if args.command == "certificate":
+        made = sinks.page(sinks.report_row(archived(spark, args.report)))
+        if args.out is None:
+            print(made, end="")
+        elif Path(args.out).exists() and not args.force:
+            raise Refused(f"{args.out} exists; give --force to replace it")
+        else:
+            Path(args.out).write_text(made, encoding="utf-8", newline="\n")
+        return 0
     if (args.package is None) == (args.contexts is None):
         raise ValueError("give a package or contexts")
     if args.command == "recheck":
         differences = recheck(spark, args.report, args.package, args.contexts)
-        for d in differences:
+        for d in differences[:DIFFERENCES]:
             print(f"{d.path}: {d.archived} -> {d.fresh}")
+        if more := len(differences[DIFFERENCES:]):
+            print(f"and {more} more")
         return 5 if differences else 0
     if args.response is None and args.package is not None:
         raise ValueError("a package needs --response")

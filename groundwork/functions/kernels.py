@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 from .extracting import extract
 from .folding import digits_of, fold, shape_of
 from .languages import packs_of, rules_of
-from .matching import Hay, places, probe_of
+from .matching import Hay, keys_of, places, probe_of
 from .segmenting import Segmenter, script_of
 
-TOKEN = "struct<ord:int,kind:string,start:int,end:int,text:string,form:string,probe:string,digits:string,shape:string>"
+TOKEN = "struct<ord:int,kind:string,start:int,end:int,text:string,form:string,probe:string,digits:string,shape:string,keys:array<string>>"
 SEGMENTS = (
     "array<struct<ord:int,start:int,end:int,text:string,kind:string,script:string,boundary:string,"
     f"tokens:array<{TOKEN}>>>"
 )
 _TOKEN = pa.struct(
     [("ord", pa.int32()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
-    + [(n, pa.string()) for n in ("text", "form", "probe", "digits", "shape")]
+    + [(n, pa.string()) for n in ("text", "form", "probe", "digits", "shape")] + [("keys", pa.list_(pa.string()))]
 )
 _SEGMENT = pa.struct(
     [("ord", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
@@ -34,7 +34,7 @@ def token_fields(kind: str, start: int, text: str, order: int) -> dict:
     form = fold(text).text
     return {
         "ord": order, "kind": kind, "start": start, "end": start + len(text), "text": text, "form": form,
-        "probe": probe_of(form), "digits": digits_of(form), "shape": shape_of(form),
+        "probe": probe_of(form), "digits": digits_of(form), "shape": shape_of(form), "keys": keys_of(form),
     }
 
 
@@ -62,6 +62,22 @@ def segment_function(codes: Sequence[str] | None = None):
     return F.arrow_udf(run, SEGMENTS)
 
 
+def script_function():
+    """Script label of a text; null for null."""
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else script_of(t) for t in texts.to_pylist()], pa.string()), "string")
+
+
+def forms_function(matcher: str = "normalized"):
+    """struct<form, probe, keys> of whole texts that are looked for as tokens are."""
+    kind = pa.struct([("form", pa.string()), ("probe", pa.string()), ("keys", pa.list_(pa.string()))])
+
+    def run(texts: pa.Array) -> pa.Array:
+        forms = [fold(t or "").text for t in texts.to_pylist()]
+        return pa.array([{"form": f, "probe": probe_of(f), "keys": keys_of(f, matcher)} for f in forms], kind)
+
+    return F.arrow_udf(run, "struct<form:string,probe:string,keys:array<string>>")
+
+
 def fold_function():
     """Folded text of a column."""
 

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import folded, places_function, segment_function
-from ..functions.matching import SOURCE_LIMIT
+from ..functions.matching import DIGIT_RUNS, OTHER_RUNS, PAIRS, SOURCE_LIMIT
 from ..runtime import spread, staged
 
 NEARBY = 5
+# Verdicts, those that are findings and those that say a segment wasn't looked at, and the form of a placeholder.
 FINDINGS = ("floating", "contradicted")
 VERDICTS = ("grounded", "floating", "contradicted", "unbearing", "unchecked", "unverifiable")
 UNEXAMINED = ("unchecked", "unverifiable")
@@ -67,7 +68,7 @@ def segments(texts: DataFrame, text: str, codes=None) -> DataFrame:
 def tokens_of(segs: DataFrame) -> DataFrame:
     """One row for each token of segments that may be examined."""
     rows = segs.where(F.col("kind") != "code").select("audit", "pkg", "seg", F.explode("tokens").alias("t"))
-    return rows.select("audit", "pkg", "seg", F.col("t.ord").alias("tok"), "t.kind", "t.start", "t.end", "t.text", "t.form", "t.probe", "t.digits", "t.shape")
+    return rows.select("audit", "pkg", "seg", F.col("t.ord").alias("tok"), "t.kind", "t.start", "t.end", "t.text", "t.form", "t.probe", "t.digits", "t.shape", "t.keys")
 
 
 def source_index(items: DataFrame, codes=None) -> DataFrame:
@@ -81,21 +82,43 @@ def source_index(items: DataFrame, codes=None) -> DataFrame:
     )
 
 
+def _candidates(forms: DataFrame, items: DataFrame) -> DataFrame:
+    """(pkg, form, item): items that may hold a form, by an equi-join on the words that ``keys_of`` gives it.
+
+    An item lists the words of those sorts only that some form of its package asks for. The few forms without any word, as
+    one Han character, meet the items of their package that hold their longest run as a literal.
+    """
+    digits, bare = F.get("keys", F.lit(0)).rlike("^[0-9]"), F.size("keys") == 0
+    asked = forms.groupBy("pkg").agg(F.bool_or(digits).alias("digits"), F.bool_or(~digits & ~bare).alias("words"), F.bool_or(bare).alias("bare"))
+    none = F.array().cast("array<string>")
+    held = items.select("pkg", "item", "text").join(asked, "pkg").withColumn("fold", folded(F.col("text")))
+    runs = lambda pattern, group=0: F.regexp_extract_all("fold", F.lit(pattern), F.lit(group))
+    words = F.concat(
+        F.when(F.col("digits"), runs(DIGIT_RUNS)).otherwise(none), F.when(F.col("words"), F.concat(runs(OTHER_RUNS), runs(PAIRS, 1))).otherwise(none),
+        F.when(F.col("bare"), F.array(F.lit(""))).otherwise(none),
+    )
+    index = held.select("pkg", "item", "fold", F.explode(F.array_distinct(words)).alias("key")).withColumn("fold", F.when(F.col("key") == "", F.col("fold")))
+    asking = forms.select("pkg", "form", "probe", F.explode(F.when(bare, F.array(F.lit(""))).otherwise(F.col("keys"))).alias("key"))
+    met = asking.join(index, ["pkg", "key"]).where((F.col("key") != "") | F.contains("fold", "probe"))
+    return met.select("pkg", "form", "item").distinct()
+
+
 def locate(tokens: DataFrame, items: DataFrame, matcher: str = "normalized") -> DataFrame:
     """(pkg, form, locations): where each distinct token of a package stands alone, by item and place.
 
-    A token meets only items that hold its longest run, tested as a literal before Python sees the pair; equal
-    tokens of all answers to a package are looked up once. Beyond 32 documents the rest of the items is left.
+    Equal tokens of all answers to a package are looked up once, in the items that share a word with them. From the
+    item on that would add a 33rd document the rest is left: that item is the 33rd of the first items of the form's
+    documents, of which no more than so many leave a task.
     """
-    forms = tokens.where("probe <> ''").select("pkg", "form", "probe").distinct()
-    folds = items.withColumn("fold", folded(F.col("text")))
-    pairs = forms.join(folds, "pkg").where(F.contains("fold", "probe"))
+    forms = tokens.where("probe <> ''").select("pkg", "form", "probe", "keys").distinct()
+    pairs = _candidates(forms, items).join(items, ["pkg", "item"])
     spotted = pairs.withColumn("spans", places_function(matcher).asNondeterministic()("form", "text")).where(F.size("spans") > 0)
-    spotted = spread(spotted.drop("text", "fold", "probe"), "pkg", "form")  # of a large package, each token goes its own way
-    by_doc = Window.partitionBy("pkg", "form", "document_id").orderBy("item")
-    in_order = Window.partitionBy("pkg", "form").orderBy("item")
-    first = spotted.withColumn("fresh", (F.row_number().over(by_doc) == 1).cast("int"))
-    held = first.withColumn("documents", F.sum("fresh").over(in_order)).where(F.col("documents") <= SOURCE_LIMIT)
+    spotted = staged(spotted.drop("text"))
+    firsts = spotted.groupBy("pkg", "form", "document_id").agg(F.min("item").alias("first"))
+    in_order = Window.partitionBy("pkg", "form").orderBy("first", "document_id")
+    ranked = firsts.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= SOURCE_LIMIT + 1)
+    stops = ranked.where(F.col("n") == SOURCE_LIMIT + 1).select("pkg", "form", F.col("first").alias("stop"))
+    held = spotted.join(stops, ["pkg", "form"], "left").where(F.col("stop").isNull() | (F.col("item") < F.col("stop")))
     places = F.transform(
         "spans",
         lambda s: F.struct(
@@ -143,6 +166,11 @@ def _found() -> Column:
     return F.struct(F.col("e_text").alias("text"), "item_id", "document_id", "source_path", "section", F.col("e_start").alias("start"), F.col("e_end").alias("end"))
 
 
+def _found_of(index: DataFrame) -> Column:
+    """The struct of ``_found`` over columns of the index itself."""
+    return F.struct("text", "item_id", "document_id", "source_path", "section", F.col("base").alias("start"), F.col("base").alias("end"))
+
+
 def _close(lost: DataFrame, entries: DataFrame, near: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of a floating token and an entry of an item that its segment stands in; scope 0 is the same sentence, 1 the same item."""
     its = near.groupBy("audit", "seg", "item").agg(F.collect_set(F.struct("s_start", "s_end")).alias("sentences"))
@@ -207,18 +235,28 @@ def nearby(tokens: DataFrame, index: DataFrame, near: DataFrame, most: int = NEA
     return every.groupBy(*key).agg(F.transform(listed, lambda x: x["f"]).alias("nearby"))
 
 
-def checked_tokens(segs: DataFrame, items: DataFrame, codes=None, matcher: str = "normalized") -> DataFrame:
+def placed_tokens(segs: DataFrame, items: DataFrame, matcher: str = "normalized") -> DataFrame:
+    """Tokens of segments with their locations: all that shares are made of."""
+    tokens = tokens_of(segs)
+    return with_locations(tokens, locate(tokens, items, matcher))
+
+
+def checked_tokens(segs: DataFrame, items: DataFrame, codes=None, matcher: str = "normalized", neighbours: bool = True) -> DataFrame:
     """Tokens with locations, contradiction and nearby; the last two only where a token floats.
 
     Evidence is cut into sentences and indexed only for packages that some token floats in, each item where its
-    own hash falls, so that a large package isn't the work of one task.
+    own hash falls, so that a large package isn't the work of one task. Verdicts don't depend on what is nearby, which
+    is null without ``neighbours``.
     """
-    tokens = tokens_of(segs)
-    placed = staged(with_locations(tokens, locate(tokens, items, matcher)))
+    placed = staged(placed_tokens(segs, items, matcher))
     open_packages = floating(placed).select("pkg").distinct()
     index = staged(source_index(spread(items.join(open_packages, "pkg", "left_semi"), "pkg", "item"), codes))
     near = neighbourhood(placed.join(open_packages, "pkg", "left_semi"), index)
-    told = staged(explain(placed, index, near))
+    told = explain(placed, index, near)
+    if not neighbours:
+        kind = f"array<{dict(index.select(_found_of(index).alias('f')).dtypes)['f']}>"
+        return placed.join(told, ["audit", "seg", "tok"], "left").withColumn("nearby", F.lit(None).cast(kind))
+    told = staged(told)
     open_ones = placed.join(told.select("audit", "seg", "tok"), ["audit", "seg", "tok"], "left_anti")
     around = nearby(open_ones, index, near)
     return placed.join(told, ["audit", "seg", "tok"], "left").join(around, ["audit", "seg", "tok"], "left")

@@ -15,7 +15,7 @@ from ..runtime import spread, staged
 from ..sources import samples
 
 CONTRACT = "groundwork.audit-report/1"
-MAX_RUN, MAX_CLAIMS = 256, 64
+MAX_RUN, MAX_CLAIMS, MAX_PAIRS = 256, 64, 4096
 
 LIMITS = (
     "Grounded says that a string stands in the evidence, not that it is true or well reasoned from.",
@@ -52,7 +52,7 @@ def extractors(codes=None) -> list[str]:
 
 
 def admit(answers: DataFrame) -> DataFrame:
-    """``answers`` with refused, restored_by, asserted, text and residue.
+    """``answers`` with refused, restored_by, asserted, protection_by, text and residue.
 
     Reads ``answer`` and, where the frame has them, ``protection`` and ``record`` (struct<by,scope,reversible>),
     ``restored`` (the answer as a restorer gave it back, null if none ran) and ``restored_by`` (a claim that it was).
@@ -79,7 +79,7 @@ def admit(answers: DataFrame) -> DataFrame:
     text = F.when(ran, F.col("__text")).otherwise(F.col("answer"))
     by = F.when(guarded & ~back, None).when(ran, F.col("__shield.by")).otherwise(F.col("__by"))
     out = rows.withColumns(
-        {"refused": refused, "text": text, "restored": F.lit(None), "asserted": F.coalesce(by.isNotNull() & ~F.coalesce(ran, F.lit(False)), F.lit(False))}
+        {"refused": refused, "text": text, "restored": F.lit(None), "asserted": F.coalesce(by.isNotNull() & ~F.coalesce(ran, F.lit(False)), F.lit(False)), "protection_by": F.col("__shield.by")}
     ).withColumn("restored_by", by)
     kept = out.withColumn("residue", g.placeholders(F.col("text"))).withColumn("irreversible", F.coalesce(guarded & ~back, F.lit(False)))
     return kept.drop("__p", "__r", "__text", "__by", "__shield", "__residue", "restored")
@@ -109,21 +109,40 @@ def segments_of(admitted: DataFrame, codes=None) -> DataFrame:
     return staged(free.withColumn("tokens", F.when(F.size("residue") == 0, F.col("tokens")).otherwise(F.array().cast(kind))))
 
 
-def audited(answers: DataFrame, items: DataFrame, *, codes=None, matcher: str = "normalized") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(admitted answers, checked segments, checked tokens)."""
+def audited(
+    answers: DataFrame, items: DataFrame, *, codes=None, matcher: str = "normalized", neighbours: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(admitted answers, checked segments, checked tokens); without ``neighbours`` nothing is listed near floating tokens."""
     if matcher not in MATCHERS:
         raise ValueError(f"no matcher {matcher!r}")
     admitted = admit(answers)
     live = admitted.where("refused is null")
     segs = segments_of(live, codes)
-    tokens = staged(g.checked_tokens(segs, items, codes, matcher))
+    tokens = staged(g.checked_tokens(segs, items, codes, matcher, neighbours))
     return admitted, g.checked_segments(segs, tokens), tokens
 
 
+def shares(answers: DataFrame, items: DataFrame, *, codes=None, matcher: str = "normalized") -> DataFrame:
+    """(audit, grounded, floating) of each admitted answer, from the tokens' places alone; no report is made."""
+    admitted = admit(answers).where("refused is null")
+    placed = g.placed_tokens(segments_of(admitted, codes), items, matcher)
+    up = F.count_if(F.size("locations") > 0)
+    counts = placed.groupBy("audit").agg(up.alias("grounded"), (F.count("*") - up).alias("floating"))
+    return admitted.select("audit").join(counts, "audit", "left").select("audit", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("grounded", "floating")))
+
+
+def pooled_shares(rows: DataFrame) -> DataFrame:
+    """``pooled`` over rows of ``shares``."""
+    up, down = F.sum("grounded"), F.sum("floating")
+    return rows.agg(
+        F.count("*").alias("answers"), F.count_if(F.col("grounded") + F.col("floating") > 0).alias("scored"), up.alias("grounded"), down.alias("floating"), F.try_divide(up, up + down).alias("grounded_share"),
+    )
+
+
 def audit(answers: DataFrame, items: DataFrame, omissions: DataFrame | None = None, *, codes=None, matcher: str = "normalized", version: str = "", plain: bool = True) -> DataFrame:
     """One report row for each answer, refused ones with the reason and nothing else.
 
-    ``answers(audit, pkg, answer[, package_id, ...])``; ``items`` as sources give them; packages may serve many
+    ``answers(audit, pkg, answer[, package_id, unrecognised, ...])``; ``items`` as sources give them; packages may serve many
     answers. Arrays are in report order, so equal inputs give equal rows.
     """
     admitted, segs, tokens = audited(answers, items, codes=codes, matcher=matcher)
@@ -145,12 +164,13 @@ def audit(answers: DataFrame, items: DataFrame, omissions: DataFrame | None = No
     package = F.col("package_id") if "package_id" in answers.columns else F.lit("")
     extra = [F.lit(x) for x in LIMITS + ((PLAIN_LIMIT,) if plain else ())]
     limits = F.concat(F.array(*extra), F.when(F.col("irreversible") & (F.size("residue") > 0), F.array(F.lit(IRREVERSIBLE_LIMIT))).otherwise(F.array().cast("array<string>")), F.transform(F.coalesce("bounds", F.array().cast("array<struct<name:string,limit:int,because:string>>")), lambda b: b["because"]))
+    unread = F.coalesce("unrecognised" if "unrecognised" in answers.columns else F.lit(None), F.array().cast("array<string>"))
     whole = out.withColumn("response_hash", content_hash(F.col("text")))
     return whole.select(
         "audit", "pkg", "refused", F.lit(CONTRACT).alias("contract"), report_id(F.col("response_hash"), package, version, codes, matcher).alias("report_id"),
         F.struct(package.alias("package_id"), "response_hash", F.length("text").alias("response_length"), F.array(*map(F.lit, segmenters(codes))).alias("segmenters"), F.array(*map(F.lit, extractors(codes))).alias("extractors"), F.array(*[F.lit(p.code) for p in packs_of(codes)]).alias("packs"), F.lit(version).alias("engine_version"), F.lit(matcher).alias("matcher")).alias("audited"),
         "unchecked", "coverage", limits.alias("limits"), "bounds", "verdicts", "particulars", "grounded_share", "segments",
-        F.struct("restored_by", F.col("asserted").alias("restoration_asserted"), "withheld").alias("provenance"), F.col("text").alias("answer"),
+        F.struct("restored_by", F.col("asserted").alias("restoration_asserted"), "protection_by", "withheld", unread.alias("unrecognised")).alias("provenance"), F.col("text").alias("answer"),
     )
 
 
@@ -193,17 +213,73 @@ def claims(reports: DataFrame, with_grounded: bool = False) -> DataFrame:
     return rows.select("audit", "total", F.posexplode(F.slice("all", 1, MAX_CLAIMS)).alias("n", "c")).select("audit", (F.col("n") + 1).alias("n"), "c.*", "total")
 
 
-def judge(asked: DataFrame, contexts: DataFrame, score, supported: float = 0.5, unsupported: float = 0.2) -> DataFrame:
-    """Standing of each claim by the best of its contexts: ``score(premise, claim)`` is the caller's column function.
+def unjudgeable(asked: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(audit, refused): answers whose claims can't be judged, for want of contexts or because they make too many pairs."""
+    claims_of = asked.groupBy("audit").agg(F.count("*").alias("claims"))
+    both = claims_of.join(contexts.groupBy("audit").agg(F.count("*").alias("contexts")), "audit", "left")
+    pairs = F.col("claims") * F.col("contexts")
+    refused = F.when(F.col("contexts").isNull(), "there is no context to judge by").when(
+        pairs > MAX_PAIRS, F.format_string("%d claims and %d contexts make more than %d pairs", "claims", "contexts", F.lit(MAX_PAIRS))
+    )
+    return both.select("audit", refused.alias("refused")).where("refused is not null")
+
+
+def judge(asked: DataFrame, contexts: DataFrame, score, supported: float = 0.5, unsupported: float = 0.2, model: str = "", scope: str = "") -> DataFrame:
+    """(audit, n, segment_id, particular, standing, item, because, model, scope): each claim by the best of its answer's contexts.
 
-    ``contexts(audit, item, premise)`` are those of the claim's own answer; ties go to the first context.
+    ``contexts(audit, item, premise)`` are those of the claim's own answer; ties go to the first context. ``score(premise,
+    claim)`` is the caller's column function. Answers of more than MAX_PAIRS pairs of claim and context are left out
+    before any pair is made, as are those without a context; ``unjudgeable`` names them.
     """
-    pairs = asked.join(contexts.select("audit", "item", "premise"), "audit")
+    if not 0 <= unsupported <= supported <= 1:
+        raise ValueError("scores lie between 0 and 1, and what is unsupported below what is supported")
+    fit = asked.join(unjudgeable(asked, contexts).select("audit"), "audit", "left_anti")
+    pairs = fit.join(contexts.select("audit", "item", "premise"), "audit")
     scored = pairs.withColumn("score", score(F.col("premise"), F.coalesce("particular", "text")))
     best = scored.groupBy("audit", "n").agg(F.max_by(F.struct("score", "item"), F.struct("score", -F.col("item"))).alias("best"))
     got = F.col("best.score")
     standing = F.when(got >= supported, "supported").when(got < unsupported, "unsupported").otherwise("unclear")
-    return asked.join(best, ["audit", "n"], "left").select("audit", "n", "segment_id", "particular", standing.alias("standing"), "best.item")
+    why = F.format_string("score %.2f with context %d; supported from %.2f, unsupported below %.2f", got.cast("double"), F.col("best.item").cast("long"), F.lit(float(supported)), F.lit(float(unsupported)))
+    rows = fit.join(best, ["audit", "n"])
+    return rows.select("audit", "n", "segment_id", "particular", standing.alias("standing"), "best.item", why.alias("because"), F.lit(model).alias("model"), F.lit(scope).alias("scope"))
+
+
+JUDGEMENT_LIMITS = (
+    "What is listed under judged is the opinion of a model and no verdict; asked again it may differ, so each names its model.",
+    "Supported says that a model thinks the evidence entails a claim, not that the claim's tokens stand in the evidence.",
+    "Judgements don't enter the report's id, and deriving the report again leaves them out.",
+)
+
+
+def with_judgements(reports: DataFrame, judged: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Reports with ``judged``, in the order of the claims, and what that adds to limits and bounds; the id stays.
+
+    The limits are the standing ones and the scopes that the models state, each once, in the order they first appear.
+    ``asked`` are the claims, whose ``total`` says whether all were sent. A report with no judgement stays as it is.
+    """
+    row = F.struct("n", "segment_id", "particular", "standing", "because", "model", "scope")
+    listed = judged.groupBy("audit").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    out = reports.join(listed, "audit", "left")
+    none = "array<struct<segment_id:string,particular:string,standing:string,because:string,model:string>>"
+    said = F.filter(F.transform("__rows", lambda r: r["scope"]), lambda x: x.isNotNull() & (x != ""))
+    plain = F.transform("__rows", lambda r: F.struct(*(r[c].alias(c) for c in ("segment_id", "particular", "standing", "because", "model"))))
+    more = F.when(F.size("__rows") > 0, F.concat(F.array(*map(F.lit, JUDGEMENT_LIMITS)), F.array_distinct(said))).otherwise(F.array().cast("array<string>"))
+    receipt = "struct<name:string,limit:int,because:string>"
+    if asked is None:
+        unsent = out.withColumn("__unsent", F.lit(None).cast(receipt))
+    else:
+        sums = asked.groupBy("audit").agg(F.count("*").alias("__sent"), F.max("total").alias("__total"))
+        told = F.struct(
+            F.lit("MAX_CLAIMS").alias("name"), F.lit(MAX_CLAIMS).alias("limit"),
+            F.format_string("%d of %d claims were sent to a judge; nothing judged the others", "__sent", "__total").alias("because"),
+        )
+        unsent = out.join(sums, "audit", "left").withColumn("__unsent", F.when(F.col("__sent") < F.col("__total"), told).cast(receipt))
+    extra = F.array_compact(F.array("__unsent"))
+    judged_columns = {
+        "judged": F.coalesce(plain.cast(none), F.array().cast(none)), "bounds": F.concat(F.coalesce("bounds", F.array().cast(f"array<{receipt}>")), extra),
+        "limits": F.concat("limits", F.transform(extra, lambda b: b["because"]), more),
+    }
+    return unsent.withColumns(judged_columns).select(*reports.columns, *(["judged"] if "judged" not in reports.columns else []))
 
 
 def _flat(value, path: str, out: list) -> None:

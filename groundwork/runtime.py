@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """A small text file, in any store that Spark reaches."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(body, "utf-8"))
+    finally:
+        out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A table or folder that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows dealt by ``keys`` over all cores before costly Python; by size alone few bytes of text would meet in one task.
 
@@ -32,21 +58,49 @@ def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's shared checkpoint folder; one is made only where none is set and driver and executors are one process."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="groundwork-"))
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared checkpoint folder; a folder is made only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """``df`` computed once into the shared checkpoint folder, its lineage cut."""
     importable(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundwork-"))
+    ensure_checkpoint_dir(df.sparkSession)
     return kept(df)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """An eager checkpoint. Constraints are off meanwhile: carrying them over fails on some plans with renamed columns."""
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
+_LOCK = threading.Lock()
+_OFF: dict[str, list] = {}
+
+
+@contextmanager
+def _without_constraints(spark: SparkSession) -> Iterator[None]:
+    """Constraints off while anyone in the session needs that, and as they were after the last one is done."""
+    name, session = "spark.sql.constraintPropagation.enabled", spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        users = _OFF.setdefault(session, [0, None])
+        if not users[0]:
+            users[1] = spark.conf.get(name)
+            spark.conf.set(name, "false")
+        users[0] += 1
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
-        conf.set(name, before)
+        with _LOCK:
+            users[0] -= 1
+            if not users[0]:
+                spark.conf.set(name, users[1])
+                del _OFF[session]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """An eager checkpoint; carrying constraints over fails on some plans with renamed columns, so they are off meanwhile."""
+    with _without_constraints(df.sparkSession):
+        return df.checkpoint(eager=True)

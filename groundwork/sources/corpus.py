@@ -51,7 +51,8 @@ def cases(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train",),
     """(cases, plants, packages) of folders that hold ``case.json``, ``package.json`` and ``response.txt``.
 
     Only the named splits are read. ``cases`` has audit, language, genre, answer, refusal_due and ``refused``, set where a
-    plant's text isn't what the response has at its place.
+    plant's text isn't what the response has at its place, or what it was isn't what an item of the package has at its
+    source. Cases come by id, plants by case and place.
     """
 
     def files(name: str, column: str) -> DataFrame:
@@ -64,7 +65,13 @@ def cases(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train",),
         kept = kept.where(F.array_contains("case.tier", tier))
     both = kept.join(files("response.txt", "answer"), "folder")
     moved = F.exists("case.plants", lambda p: F.substring("answer", p["span"][0] + 1, p["span"][1] - p["span"][0]) != p["text"])
-    told = F.when(F.col("case.case_id").isNull(), "not a case document").when(moved, "a plant's text isn't what the response holds there")
+    packages = both.join(files("package.json", "raw"), "folder").select(F.col("case.case_id").alias("pkg"), "raw")
+    unreached = unreachable_sources(both, packages)
+    both = both.join(unreached, F.col("case.case_id") == F.col("bad"), "left")
+    told = (
+        F.when(F.col("case.case_id").isNull(), "not a case document").when(moved, "a plant's text isn't what the response holds there")
+        .when(F.col("bad").isNotNull(), "a plant's source isn't what an item of the package holds there")
+    )
     listed = both.select(
         F.col("case.case_id").alias("audit"), F.col("case.case_id").alias("pkg"), "case.language", "case.genre", "answer",
         F.coalesce("case.expect_refusal", F.lit(False)).alias("refusal_due"), told.alias("refused"),
@@ -76,8 +83,25 @@ def cases(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train",),
         F.col("p.source.document_id").alias("source_document"), F.get("p.source.span", F.lit(0)).alias("source_start"), F.get("p.source.span", F.lit(1)).alias("source_end"),
         yes("expect_detected", True), yes("is_hallucination", True), yes("declared_miss", False), yes("expect_verdict", "floating"),
     )
-    packages = both.join(files("package.json", "raw"), "folder").select(F.col("case.case_id").alias("pkg"), "raw")
-    return listed, plants, packages
+    return listed.orderBy("audit"), plants.orderBy("audit", "plant"), packages
+
+
+def unreachable_sources(read: DataFrame, packages: DataFrame) -> DataFrame:
+    """(bad): ids of cases with a plant whose source lies in no item of the package, or where the first such item holds other text.
+
+    ``read`` has the parsed ``case``; plants that say neither a source nor what they were aren't looked at.
+    """
+    from . import packages as documents
+
+    named = read.select(F.col("case.case_id").alias("pkg"), F.posexplode("case.plants").alias("plant", "p")).where(
+        F.col("p.source").isNotNull() & (F.coalesce("p.was", F.lit("")) != "")
+    )
+    wanted = named.select("pkg", "plant", F.col("p.was").alias("was"), F.col("p.source.document_id").alias("document_id"), F.col("p.source.span")[0].alias("a"), F.col("p.source.span")[1].alias("b"))
+    items = documents.items_of(documents.read(packages)).select("pkg", "item", "document_id", "start", "end", "text")
+    inside = wanted.join(items, ["pkg", "document_id"]).where("start <= a and b <= end")
+    held = inside.groupBy("pkg", "plant").agg(F.min_by(F.expr("substring(text, a - start + 1, b - a)"), "item").alias("held"))
+    both = wanted.join(held, ["pkg", "plant"], "left")
+    return both.where(~F.col("was").eqNullSafe(F.col("held"))).select(F.col("pkg").alias("bad")).distinct()
 
 
 def archived_reports(raws: DataFrame, column: str = "raw") -> DataFrame:

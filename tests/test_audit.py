@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundwork import sinks, testing
 from groundwork.operators import grounding as g
 from groundwork.plans import audit as plan
+from groundwork.plans import results
 from groundwork.sources import packages
 
 
@@ -132,10 +133,15 @@ def test_packages_are_validated(spark):
         "good": package(extra=1), "major": package(contract="x.context-package/2"), "other": package(contract="y/1"), "length": package(item={"text": "abcd"}),
         "back": package(item={"anchor": {"document_id": "d", "start": 5, "end": 2}}), "layer": package(item={"provenance": {"layer": "guess"}}),
         "twice": package(more=[{"item_id": "a", "text": "", "anchor": {"document_id": "d", "start": 0, "end": 0}}]), "json": "nothing", "deep": "[" * 70 + "]" * 70,
+        "number": package(item={"text": 123}), "flag": package(item={"anchor": {"document_id": "d", "start": True, "end": 5}}),
+        "shield": package(provenance={"protection": {"by": "r", "scope": "s", "reversible": "true"}}),
     }
     read = packages.read(spark.createDataFrame(list(raws.items()), "pkg string, raw string")).cache()
     assert {r.pkg for r in read.where("refused is null").collect()} == {"good"}
     assert read.where("pkg = 'good'").first().unrecognised == ["extra"]
+    assert {r.pkg: r.refused for r in read.collect()}["number"].startswith("items[0].text")
+    told = read.where("pkg = 'good'").first()
+    assert told.declares_protection is False
     assert [r.text for r in packages.items_of(read).collect()] == ["abc"]
 
 
@@ -165,6 +171,13 @@ def test_claims_and_judging(spark):
     contexts = spark.createDataFrame([(1, 0, "0.1"), (1, 1, "0.9"), (1, 2, "0.9")], "audit long, item long, premise string")
     judged = plan.judge(plan.claims(reports), contexts, lambda premise, claim: premise.cast("double")).collect()
     assert {(j.standing, j.item) for j in judged} == {("supported", 1)}
+    rows = plan.judge(plan.claims(reports), contexts, lambda premise, claim: premise.cast("double"), model="m", scope="English only")
+    whole = plan.with_judgements(reports, rows, plan.claims(reports)).first()
+    assert [j.standing for j in whole.judged] == ["supported", "supported"] and whole.limits[-1] == "English only" and whole.report_id == reports.first().report_id
+    assert "Judged by a model" in sinks.text_report(whole.asDict(True)) and "MAX_CLAIMS" not in {b.name for b in whole.bounds}
+    assert plan.with_judgements(reports, rows.where("false")).first().judged == []
+    with pytest.raises(ValueError):
+        plan.judge(plan.claims(reports), contexts, lambda premise, claim: premise, supported=0.2, unsupported=0.5)
 
 
 def test_assertions(spark):
@@ -186,3 +199,37 @@ def test_script_labels_agree_with_the_query_form(spark):
     texts = ["Straße １２", "plain  TEXT\t1", "かな", " a ", "", "Ａ b", "\x1c x \x1f"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", folded(F.col("t")).alias("f")).collect()
     assert all(r.f == fold(r.t).text for r in rows) and script_of("かな") == "ja"
+
+
+def test_results_of_a_report(spark):
+    rows = [(1, "It is 5 kg. It is 6 kg and 6 kg. Fine words.", ["It is 5 kg and 9 m.", "Again 5 kg."])]
+    reports, _ = plan.evaluate_frame(spark.createDataFrame(rows, "audit long, answer string, contexts array<string>"))
+    got = results.accessors(reports).first()
+    assert (got.grounded, got.floating, got.nearby) == (["5 kg"], ["6 kg", "6 kg"], {"6 kg": ["5 kg", "5 kg"]})
+    assert got.unchecked == ["seg_003: no_particulars"] and got.has_findings and got.examined == 3
+    traced = results.traced(reports).collect()
+    assert [(t.text, t.places) for t in traced] == [("5 kg", ["context 1[6:10]", "context 2[6:10]"])]
+    assert results.summaries(reports).first().summary == "1 of 3 segments not checked; 1 of 3 tokens grounded; 1 findings"
+
+
+def test_published_documents_become_rows_again(spark):
+    r = report_of(spark, "It weighs 12 mg & more. It has 4 feet. It is 5 kg.", ["It weighs 12 kg.", "It is 5 kg."]).asDict(True)
+    again = sinks.report_row(json.loads(json.dumps(sinks.report_document(r))))
+    assert sinks.page(again) == sinks.page(r) and sinks.text_report(again) == sinks.text_report(r)
+    assert sinks.explanation(again, "seg_001") == sinks.explanation(r, "seg_001")
+    assert all(title in sinks.text_report(r) for title in ("Not checked", "Findings", "Traced", "Coverage", "Provenance", "Limits"))
+
+
+def test_tokens_without_words_meet_items_by_their_text(spark):
+    answers = spark.createDataFrame([(1, 1, "主治医师为李医生。重5公斤。")], "audit long, pkg long, answer string")
+    items = spark.createDataFrame([(1, k, f"i{k}", f"d{k}", None, None, 0, 9, None, "", t) for k, t in enumerate(["李医生来了。", "重5公斤。", "王"])], "pkg long, item int, item_id string, document_id string, source_path string, section string, start int, `end` int, layer string, producer string, text string")
+    _, _, tokens = plan.audited(answers, items)
+    assert {t.text: [x.item for x in t.locations] for t in tokens.collect()} == {"李": [0], "5公斤": [1]}
+
+
+def test_shares_without_reports_equal_those_of_reports(spark):
+    answers = spark.createDataFrame([(1, 1, "It is 5 kg. It is 6 kg."), (2, 1, "Words."), (3, 2, "It is 5 kg.")], "audit long, pkg long, answer string")
+    items = spark.createDataFrame([(1, 0, "i", "d", None, None, 0, 11, None, "", "It is 5 kg.")], "pkg long, item int, item_id string, document_id string, source_path string, section string, start int, `end` int, layer string, producer string, text string")
+    rows = plan.shares(answers, items)
+    assert {tuple(r) for r in rows.collect()} == {(1, 1, 1), (2, 0, 0), (3, 0, 1)}
+    assert plan.pooled_shares(rows).first() == plan.pooled(plan.audit(answers, items)).first()

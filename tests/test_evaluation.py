@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundwork.operators import evaluation as ev
 from groundwork.operators import grounding as g
 from groundwork.plans import audit as plan
-from groundwork.sources import corpus, packages
+from groundwork.sources import corpus, generation, packages
 from groundwork.streaming import answers as stream
 
 PLANT = {"was": "", "source": None, "expect_detected": True, "is_hallucination": True, "declared_miss": False, "expect_verdict": "floating"}
@@ -66,6 +66,44 @@ def test_rates_and_floors(scored, spark):
     assert checked["fabrication recall"] is True and checked["false positives"] is False and checked["refusals"] is None and checked["extraction precision"] is None
 
 
+def test_a_plant_whose_source_holds_something_else_makes_its_case_refused(spark, tmp_path):
+    swap = lambda was, span: {"kind": "unit_swap", "text": "5 mg", "was": was, "source": {"document_id": "d0", "span": span}}
+    for name, was, span in (("en-a-01", "5 kg", [6, 10]), ("en-a-02", "9 kg", [6, 10]), ("en-a-03", "5 kg", [6, 40])):
+        write_case(tmp_path, name, "It is 5 mg.", [swap(was, span)], ["It is 5 kg."])
+    cases, plants, _ = corpus.cases(spark, str(tmp_path))
+    assert [(c.audit, c.refused is None) for c in cases.collect()] == [("en-a-01", True), ("en-a-02", False), ("en-a-03", False)]
+    assert {p.audit for p in plants.collect()} == {"en-a-01"}
+
+
+def test_generated_cases_are_read_back_and_drift_is_told(spark, tmp_path):
+    documents = spark.createDataFrame(
+        [("g", "en", "What?", False, 0, "doc", "a.md", None, ["Nothing here.", "It weighs {{F:w}}12 kg{{/F}} or {{F:v}}13 kg{{/F}}.", "Nor here."])],
+        "genre string, language string, question string, protected boolean, document int, document_id string, source_path string, section string, paragraphs array<string>",
+    )
+    rows = [("g", k, f"Box {k} weighs {12 if k % 2 else 77} kg.", "grounded" if k % 2 else "invented_particular", "12 kg" if k % 2 else "77 kg", "w" if k % 2 else None, None) for k in range(9)]
+    sentences = spark.createDataFrame(rows, "genre string, sentence int, text string, kind string, target string, fact string, expect_verdict string")
+    cases, plants, raws = generation.build(documents, sentences, seed=3, total=2)
+    answers = {c.audit: c.answer for c in cases.collect()}
+    assert len(plants.collect()) == 9 and all(answers[p.audit][p.start : p.end] == p.text for p in plants.collect())
+    assert answers["en-g-01"].count("\n\n") == 1 and sorted(len(a.split("Box")) - 1 for a in answers.values()) == [4, 5]
+    generation.write(generation.files_of(cases, plants, raws), str(tmp_path))
+    read, told, _ = corpus.cases(spark, str(tmp_path), ("train", "held_out"))
+    assert {c.audit: (c.answer, c.refused) for c in read.collect()} == {k: (v, None) for k, v in answers.items()} and told.count() == 9
+    assert generation.drift(generation.files_of(cases, plants, raws), generation.files_of(cases, plants, raws)).count() == 0
+    bad = generation.build(documents, sentences.withColumn("target", F.lit("kg kg")), total=1)[0].first()
+    assert bad.refused is not None
+
+
+def test_conflicts_counted_equal_conflicts_listed(spark):
+    texts = ["It is 5 kg and 7 kg.", "It is 6 kg.", "It is 5 kg.", "It is 6 kg or 9 m."]
+    items = spark.createDataFrame([(p, k, f"i{k}", f"d{k}", None, None, 0, 0, None, "", t) for p in (1, 2) for k, t in enumerate(texts[p - 1 :])], "pkg long, item int, item_id string, document_id string, source_path string, section string, start int, `end` int, layer string, producer string, text string")
+    answers = spark.createDataFrame([(1, 1, "It is 5 kg, 6 kg and 9 m."), (2, 2, "It is 6 kg.")], "audit long, pkg long, answer string")
+    _, _, tokens = plan.audited(answers, items)
+    index = g.source_index(items)
+    listed = {(r.audit, r.text, r.item_id): r["count"] for r in ev.source_conflict(tokens, index).groupBy("audit", "text", "item_id").count().collect()}
+    assert {(r.audit, r.text, f"i{r.item}"): r.rivals for r in ev.conflict_counts(tokens, index).collect()} == listed and listed
+
+
 def test_markup_comes_off_with_its_places(spark):
     text = "A {{P:quantity}}5 kg{{/P}} and\n{{P:date}}2024-01-02{{/P}}."
     got = spark.createDataFrame([(text,), ("none",), ("",)], "t string").select(corpus.strip_markup(F.col("t")).alias("c")).collect()
