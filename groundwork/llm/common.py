@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,20 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import kept
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="groundwork-"))
+from ..runtime import ensure_checkpoint_dir, kept, shared_folder
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for a table that later stages read."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
