@@ -295,6 +295,15 @@ def test_url_filter_equals_exact_rules_and_list(spark):
     assert urlfilter.filter_urls(pages, rules, listed.limit(0)).where("verdict = 'block' and rule is null").count() == 0
 
 
+def test_url_filter_of_hard_rows(spark):
+    pages = spark.createDataFrame([(None, "http://a.org/x", 1), (1, "http://" + "x" * 100000 + ".org/fr/" + "y" * 100000, 1), (1, "http://a.org/x", 1), (1, "http://a.org/x", 2), (2, "", 1), (3, "://", 1)], "page_id long, url string, verdict int")
+    rules = [urlfilter.Rule("block", "org", "/x"), urlfilter.Rule("allow", "org", "/x"), urlfilter.Rule("allow", "org", "/fr/")]
+    listed = spark.createDataFrame([("a.org/x",)], "key string")
+    got = [(r.id, r.rule, r.verdict) for r in urlfilter.filter_urls(pages, rules, listed).collect()]
+    assert sorted(got, key=str) == sorted([(None, "org/x", "block"), (1, "org/fr/", "allow"), (1, "org/x", "block"), (1, "org/x", "block"), (2, None, "allow"), (3, None, "allow")], key=str)
+    assert urlfilter.filter_urls(pages.limit(0), rules, listed).count() == 0
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.col("id").cast("string").alias("key"))
     blocks = urlfilter.bloom(keys, 64)
@@ -440,6 +449,22 @@ def test_near_copies_meet_through_an_original_of_the_highest_id(spark, monkeypat
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [0, 1001]
 
 
+def test_large_groups_of_many_clusters_stay_whole_and_apart(spark, monkeypatch):
+    """A template that all share keeps keys large: clusters of copies inside must be found, and nothing else linked."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 8)
+    rng = np.random.default_rng(31)
+    template, rows = _words(rng, 150), []
+    for k in range(60):
+        own = template + _words(rng, 90)  # some 0.45 alike to other clusters
+        for c in range(4):
+            copy = list(own)
+            copy[160 + 10 * c] = f"new{k}x{c}"
+            rows.append((10 * k + c, " ".join(copy)))
+    got = {r.id: r.component for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert all(c // 10 == i // 10 for i, c in got.items()) and sum(got[i] == i // 10 * 10 for i in got) >= 0.98 * len(got)
+
+
 @pytest.mark.parametrize(("share", "least"), [(0.802, 0.99), (0.85, 0.99), (0.9, 0.99)])
 def test_near_copies_with_appended_or_cut_passages_are_found(spark, share, least):
     rng = np.random.default_rng(12)
@@ -477,6 +502,10 @@ def test_decontamination_finds_edited_passages_only(spark):
     left = [r.doc_id for r in decontaminate.decontaminated(frame(spark, docs), bench, block_bytes=20_000).collect()]
     assert sorted(left) == [*range(100, 120), 200, 201]
     assert decontaminate.contamination(frame(spark, docs), bench.limit(0)).count() == 0
+    assert decontaminate.contamination(frame(spark, docs).limit(0), bench).count() == 0
+    assert decontaminate.decontaminated(frame(spark, docs), bench.limit(0)).count() == len(docs)
+    twice = decontaminate.contamination(frame(spark, [docs[0], docs[0], (None, docs[0][1])]), bench).collect()
+    assert Counter(r.id for r in twice) == {0: 2, None: 1}
 
 
 def _edited(rng, words, edits, kind):
@@ -592,6 +621,14 @@ def test_substring_dedup_equals_brute_force(spark, corpus, window):
         want.append((str(i), len(words), len(gone), digest(" ".join(w for k, w in enumerate(words) if k not in gone))))
     rows = substrings.substring_dedup(frame(spark, corpus), window=window).select("id", "words.*").collect()
     assert sorted((str(r.id), r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in rows) == sorted(want)
+    assert substrings.substring_dedup(frame(spark, corpus).limit(0), window=window).count() == 0
+
+
+def test_substring_dedup_with_many_small_buckets(spark, corpus, monkeypatch):
+    want = sorted(map(str, substrings.substring_dedup(frame(spark, corpus)).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(substrings, "PARTITION_BYTES", 4000)
+    assert sorted(map(str, substrings.substring_dedup(frame(spark, corpus)).collect())) == want
 
 
 def test_covers_meet_at_every_pair_of_offsets():
