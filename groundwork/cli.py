@@ -21,8 +21,8 @@ from .plans import audit as plan
 from .sources import corpus, packages, samples
 
 VERSION = "1"
-#: Differences that are printed at most.
-DIFFERENCES = 40
+#: Differences and notes that are printed at most.
+DIFFERENCES, NOTES = 40, 25
 
 
 class Refused(Exception):
@@ -97,8 +97,11 @@ def extraction_rows(spark: SparkSession, folder: str) -> list[Row]:
     return ev.score_extraction(marked).orderBy("view", "name").collect()
 
 
-def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...], extraction: list[Row] = ()) -> tuple[list[Row], list[Row]]:
-    """(rates, floors) of a folder of cases; with scores of extraction, its floors are held against those."""
+def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...], extraction: list[Row] = ()) -> tuple[list[Row], list[Row], list[str]]:
+    """(rates, floors, notes) of a folder of cases; with scores of extraction, its floors are held against those.
+
+    Notes tell of cases that couldn't be read and of tokens that float though nothing was planted there.
+    """
     cases, plants, raws = corpus.cases(spark, root, splits)
     read = packages.read(raws)
     shield = read.select("pkg", F.col("package.provenance.protection").alias("protection"))
@@ -115,7 +118,9 @@ def evaluate(spark: SparkSession, root: str, splits: tuple[str, ...], extraction
         names = {"extraction recall on claimed kinds": every[0].recall, "extraction precision": every[0].precision, "unbearing segments": every[0].unbearing_share}
         told = spark.createDataFrame(list(names.items()), "metric string, share double")
         measured = measured.join(told, "metric", "left_anti").unionByName(told)
-    return rates.orderBy("view", "name", "metric").collect(), ev.floors_check(measured, spark).orderBy("metric").collect()
+    stray = ev.unattributed(live, tokens).orderBy("audit", "seg", "tok").select("audit", "text").limit(NOTES + 1).collect()
+    notes = [f"{c.audit}: {c.refused}" for c in cases.where("refused is not null").collect()] + [f"{t.audit}: {t.text!r} floats and nothing was planted there" for t in stray]
+    return rates.orderBy("view", "name", "metric").collect(), ev.floors_check(measured, spark).orderBy("metric").collect(), notes
 
 
 def parser() -> argparse.ArgumentParser:
@@ -158,7 +163,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0
     if args.command == "eval":
         extraction = extraction_rows(spark, args.marked) if args.marked else []
-        rates, floors = evaluate(spark, args.root, tuple(args.split or ("train",)), extraction)
+        rates, floors, notes = evaluate(spark, args.root, tuple(args.split or ("train",)), extraction)
         breached = [f for f in floors if f.breached]
         if args.json:
             print(json.dumps({"rates": [x.asDict() for x in rates], "extraction": [x.asDict() for x in extraction], "floors": [x.asDict() for x in floors]}, ensure_ascii=False, indent=2))
@@ -169,6 +174,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(f"extraction {x.view} {x.name}: {(x.exact or 0) + (x.overlapping or 0)}/{x.marked} found, {x.exact}/{x.marked} to the character")
         for f in floors:
             print(f"floor {f.metric}: {'nothing to measure' if f.share is None else format(f.share, '.3f')}, {'at least' if f.at_least else 'at most'} {f.bound}")
+        for note in notes[:NOTES]:
+            print(f"note {note}")
+        if len(notes) > NOTES:
+            print("and more notes")
         for f in breached:
             print(f"breached: {f.metric} is {f.share:.3f}, the bound {f.bound}")
         return 4 if args.gate and breached else 0
