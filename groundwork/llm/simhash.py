@@ -183,12 +183,12 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("body").mapInArrow(run, "digest binary, hashes binary").dropDuplicates(["digest"])
 
 
-def _blocks(most: int):
+def _blocks(most: int, named: bool = False):
     """(unit, key, members) of the (key, digest) rows that share a key; rows come sorted by key.
 
     Keys of more than ``most`` members, and those at either end of the partition, which may go on in another one, are
-    cut into several units, which then have the key; others have null. A unit is named by its members, so that
-    bands which bring the same texts together make one unit.
+    cut into several units, which then have the key; others have null, and one member makes no unit. A unit is named by
+    its members, so that bands which bring the same texts together make one unit. With ``named`` all keys are as if cut.
     """
 
     def unit(key: int | None, held: list[bytes], cut: bool) -> list[tuple]:
@@ -198,7 +198,7 @@ def _blocks(most: int):
         return [(xxhash.xxh3_64_intdigest(b"".join(members), int(cut)) - (1 << 63), key if cut else None, members)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, cut = None, [], True
+        now, held, cut = None, [], True  # the first key may have begun in another partition
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -206,11 +206,11 @@ def _blocks(most: int):
             key, digest = batch.column(0).to_numpy(), batch.column(1)
             begins = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
             ends = np.append(begins[1:], len(key))
-            shared = (ends - begins > 1) | (begins == 0) | (ends == len(key))
+            shared = (ends - begins > 1) | (begins == 0) | (ends == len(key)) | named
             for b, e in zip(begins[shared].tolist(), ends[shared].tolist(), strict=True):
                 if now is None or int(key[b]) != now:
                     out += unit(now, held, cut)
-                    now, held, cut = int(key[b]), [], now is None
+                    now, held, cut = int(key[b]), [], named or now is None
                 for d in digest.slice(b, e - b).to_pylist():
                     if len(held) == most:
                         cut = True
@@ -248,20 +248,21 @@ def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _alike_in(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], tuple[int, int] | None]:
-    """(edges, leader): pairs of ``similarity`` or more that connect all such pairs; the set with most of them, and how many.
+def _alike_in(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(edges, heads): pairs of ``similarity`` or more that connect all such pairs; of each component the set with the most alike ones, and how many.
 
-    Every two sets are compared whole. Edges make trees around the sets with the most alike ones.
+    Every two sets are compared whole. Edges make trees around the heads; a set that is like no other is its own head.
     """
     size = np.array([len(s) for s in sets])
     both = _shared_counts(sets)
     alike = (both > 0) & (both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9)
     np.fill_diagonal(alike, False)
     degree = alike.sum(1)
-    seen, edges = np.zeros(len(sets), bool), []
+    seen, edges, heads = np.zeros(len(sets), bool), [], []
     for start in np.argsort(-degree, kind="stable").tolist():
-        if seen[start] or not degree[start]:
+        if seen[start]:
             continue
+        heads.append((start, int(degree[start])))
         seen[start], queue = True, [start]
         for at in queue:
             fresh = np.flatnonzero(alike[at] & ~seen)
@@ -269,17 +270,16 @@ def _alike_in(sets: list[np.ndarray], similarity: float) -> tuple[list[tuple[int
             fresh = fresh[np.argsort(-degree[fresh], kind="stable")].tolist()
             edges += [(at, k) for k in fresh]
             queue += fresh
-    most = int(degree.argmax()) if len(sets) else 0
-    return edges, (most, int(degree[most])) if len(sets) and degree[most] else None
+    return edges, heads
 
 
 def _verified(similarity: float):
-    """(unit, u, v, n) of (unit, digest, hashes) rows, which come sorted by unit: edges with n 0, and a unit's leader with its n links."""
+    """(unit, u, v, n) of (unit, cut, digest, hashes) rows, which come sorted by unit: edges with null n, and the heads of cut units with their number of links."""
 
-    def told(unit: int, held: list[tuple]) -> list[tuple]:
-        edges, leader = _alike_in([np.frombuffer(h, np.uint32) for _, h in held], similarity)
-        rows = [(unit, held[a][0], held[b][0], 0) for a, b in edges]
-        return rows + ([(unit, held[leader[0]][0], held[leader[0]][0], leader[1])] if leader else [])
+    def told(unit: int, cut: bool, held: list[tuple]) -> list[tuple]:
+        edges, heads = _alike_in([np.frombuffer(h, np.uint32) for _, h in held], similarity)
+        rows = [(unit, held[a][0], held[b][0], None) for a, b in edges]
+        return rows + ([(unit, held[k][0], held[k][0], n) for k, n in heads] if cut else [])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -287,43 +287,51 @@ def _verified(similarity: float):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["unit", "u", "v", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, cut, held = None, False, []
         for part in batches:
-            for unit, digest, hashes in values(*part.columns):
+            for unit, of_cut, digest, hashes in values(*part.columns):
                 if unit != now:
-                    yield batch(told(now, held) if len(held) > 1 else [])
-                    now, held = unit, []
+                    yield batch(told(now, cut, held) if held else [])
+                    now, cut, held = unit, of_cut, []
                 held.append((digest, hashes))
-        yield batch(told(now, held) if len(held) > 1 else [])
+        yield batch(told(now, cut, held) if held else [])
 
     return run
 
 
-#: Leaders of a key that all its members are compared with.
+#: Heads of a key, those with the most links, that all other heads of the key are compared with.
 LEADERS = 128
 
 
-def _open_keys(cut: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key): keys of several units whose members aren't all connected."""
-    members = cut.select("key", F.explode("members").alias("digest")).join(roots.withColumnRenamed("u", "digest"), "digest", "left")
-    return members.select("key", F.coalesce("root", "digest").alias("root")).distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+def _led(units: DataFrame, heads: DataFrame) -> DataFrame:
+    """``units(unit, key, members)`` of a key's heads, each with the key's leaders added; ``heads(key, digest, n)``."""
+    order = Window.partitionBy("key").orderBy(F.col("n").desc(), "digest")
+    leading = heads.where("n > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
+    leaders = leading.groupBy("key").agg(F.collect_list("digest").alias("leaders"))
+    both = units.join(leaders, "key", "left").withColumn("members", F.array_union("members", F.coalesce("leaders", F.array().cast("array<binary>"))))
+    return both.select(F.xxhash64(F.lit("led"), "unit", "key").alias("unit"), F.lit(None).cast("long").alias("key"), "members")
 
 
-def _led_units(cut: DataFrame, found: DataFrame) -> DataFrame:
-    """(unit, digest): each unit of a key with the key's leaders, the members that have the most alike ones in their own units."""
-    leading = found.where("n > 0").select("unit", F.col("u").alias("digest"), "n").join(cut.select("unit", "key").distinct(), "unit")
-    ranked = leading.groupBy("key", "digest").agg(F.max("n").alias("n"))
-    order = Window.partitionBy("key").orderBy(F.col("n").desc(), "digest")
-    leaders = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).groupBy("key").agg(F.collect_list("digest").alias("leaders"))
-    both = cut.join(leaders, "key").select(F.xxhash64(F.lit("led"), "key", "unit").alias("unit"), F.explode(F.array_union("members", "leaders")).alias("digest"))
-    return both.distinct()
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows(key, digest)`` with the root of each digest."""
+    return rows.join(roots.withColumnRenamed("u", "digest"), "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("root"))
+
+
+def _several_roots(rooted: DataFrame) -> DataFrame:
+    """(key): keys whose members aren't all connected."""
+    return rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+
+
+#: A member's next cut keys, in the order of its bands, that each of its cut keys is paired with.
+STEPS = 2
 
 
 def _finer_keys(vertices: DataFrame, cut: DataFrame) -> DataFrame:
-    """(key, digest): for members of the cut keys, one key for every two of their cut keys."""
-    hot = cut.select("key", F.explode("members").alias("digest")).distinct().groupBy("digest").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    pairs = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.xxhash64(a, b))))
-    return hot.select(F.explode(pairs).alias("key"), "digest")
+    """(key, digest): for members of the cut keys, each of their cut keys paired with the next ones."""
+    held = cut.select("key", F.explode("members").alias("digest")).groupBy("digest").agg(F.collect_set("key").alias("cut"))
+    own = held.join(vertices.select("digest", "keys"), "digest").select("digest", F.filter("keys", lambda k: F.array_contains("cut", k)).alias("keys"))
+    pairs = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.lit(STEPS)), lambda b: F.xxhash64(a, b))))
+    return own.select(F.explode(pairs).alias("key"), "digest").distinct()
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -331,42 +339,48 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
     spark = df.sparkSession
     docs = checkpointed(_keyed(df, id_col, text_col, shingle))
     real = docs.where(F.col("id").isNotNull())
-    vertices = checkpointed(real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys")))
+    vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
 
-    def units_of(rows: DataFrame) -> DataFrame:
+    def units_of(rows: DataFrame, named: bool = False) -> DataFrame:
         # Ranges of (key, hash) spread a key that many texts share over as many tasks as it needs.
         order = ["key", F.xxhash64("key", "digest")]
         dealt = rows.select("key", "digest").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-        return checkpointed(dealt.mapInArrow(_blocks(BLOCK), "unit long, key long, members array<binary>"))
+        return dealt.mapInArrow(_blocks(BLOCK, named), "unit long, key long, members array<binary>")
 
-    def listed(units: DataFrame) -> DataFrame:
-        return units.dropDuplicates(["unit"]).select("unit", F.explode("members").alias("digest"))
+    def members_of(units: DataFrame) -> DataFrame:
+        whole = units.groupBy("unit").agg(F.bool_or(F.col("key").isNotNull()).alias("cut"), F.first("members").alias("members"))
+        return whole.where("cut or size(members) > 1").select("unit", "cut", F.explode("members").alias("digest"))
 
-    units = units_of(vertices.select(F.explode("keys").alias("key"), "digest"))
-    members = listed(units)
+    units = checkpointed(units_of(vertices.select(F.explode("keys").alias("key"), "digest")))
+    members = members_of(units)
     wanted = vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct()
     texts = df.select(F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("__row", F.xxhash64("body"))
     sets = checkpointed(_shingle_sets(texts.join(wanted, "__row", "left_semi"), shingle))
 
     def verified(rows: DataFrame) -> DataFrame:
-        full = rows.join(sets, "digest").select("unit", "digest", "hashes")
+        full = rows.join(sets, "digest").select("unit", "cut", "digest", "hashes")
         dealt = full.repartition(shuffle_partitions(spark), "unit").sortWithinPartitions("unit", "digest")
         return checkpointed(dealt.mapInArrow(_verified(similarity), "unit long, u binary, v binary, n long"))
 
     def edges(found: DataFrame) -> DataFrame:
-        return found.where("n = 0").select("u", "v")
+        return found.where("n is null").select("u", "v")
 
     found = verified(members)
-    links = edges(found)
+    # Units of a cut key hold only some of its pairs: the heads of its units meet one another and its leaders.
+    cut = units.where("key is not null")
+    heads = found.where("n is not null").select("unit", F.col("u").alias("digest"), "n").join(cut.select("unit", "key").distinct(), "unit")
+    heads = heads.groupBy("key", "digest").agg(F.max("n").alias("n"))
+    several = heads.groupBy("key").agg(F.count("*").alias("heads")).where("heads > 1").select("key")
+    heads = checkpointed(heads.join(several, "key", "left_semi"))
+    links = edges(found).union(edges(verified(members_of(_led(units_of(heads, named=True), heads)))))
     roots = connected_components(links)
-    # Units of a cut key hold only some of its pairs: they meet the key's leaders, then one another by finer keys.
-    cut = checkpointed(units.where("key is not null").join(_open_keys(units.where("key is not null"), roots), "key", "left_semi"))
-    if not cut.isEmpty():
-        links = links.union(edges(verified(_led_units(cut, found))))
-        roots = connected_components(links)
-        cut = checkpointed(cut.join(_open_keys(cut, roots), "key", "left_semi"))
-        if not cut.isEmpty():
-            roots = connected_components(links.union(edges(verified(listed(units_of(_finer_keys(vertices, cut)))))))
+    # Keys whose members still aren't one group are made finer.
+    open_keys = _several_roots(_rooted(cut.select("key", F.explode("members").alias("digest")), roots))
+    left = checkpointed(cut.join(open_keys, "key", "left_semi"))
+    if not left.isEmpty():
+        finer = checkpointed(_rooted(_finer_keys(vertices, left), roots))
+        asked = finer.join(_several_roots(finer), "key", "left_semi")
+        roots = connected_components(links.union(edges(verified(members_of(units_of(asked))))))
     named = docs.select("id", "row", "digest").join(roots.withColumnRenamed("u", "digest"), "digest", "left")
     return named.select(F.coalesce("root", "digest").alias("root"), "id", "row")
 
@@ -380,10 +394,10 @@ def near_copies(
     share one of BANDS keys, each of ROWS minima over hashes of the shingle set: whether a pair meets depends on its
     similarity alone, not on where or how the copy was changed, and a pair at 0.8 misses all bands once in 37,000
     times. All members of a key are compared with each other on the whole sets, so links don't depend on which member
-    has the least id, and none is below ``similarity``. A key of more than BLOCK members is cut into units that are
-    compared whole; then all its members are compared with its LEADERS members that have the most alike ones, and if
-    they still aren't one group, with those that share two of their cut keys, which a pair at 0.8 does but for one in
-    2,500 times. So no key's pairs are multiplied out. Equal texts, A-Z and white space aside, are one vertex, all
+    has the least id, and none is below ``similarity``. A key of more than BLOCK members is cut into units, dealt by
+    hash and so otherwise for every key, that are compared whole; then the heads of a key's units are compared in units with its
+    LEADERS heads of the most links; members of keys that still aren't one group meet those with which they share two cut keys of
+    neighbouring bands. So no key's pairs are multiplied out; tests hold what such groups lose against brute force. Equal texts, A-Z and white space aside, are one vertex, all
     texts without words another. Null ids are kept and link nothing, repeated rows stay, and rows of one id but
     different texts are told apart; an empty table gives none.
     """
