@@ -151,8 +151,8 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 48, tolera
     Gradients are taken in the metric of the documents' tokens, so a document's step depends on its posteriors
     only, and its rate is a function of the few numbers of each step. A pass over the table sums, for the steps so
     far, the domain totals and the second moments of the documents whose rate isn't 0; the latter scale the next
-    step, damped the more the oftener a step failed to come nearer, down to a plain gradient step. What is returned has
-    been evaluated. Nothing but those sums comes to the driver. Where no rates meet the targets, as with posteriors
+    step, damped the more the oftener a step failed to come nearer, down to a plain gradient step. It ends within
+    ``tolerance`` or when two steps on end gain a thousandth or less. What is returned has been evaluated. Nothing but those sums comes to the driver. Where no rates meet the targets, as with posteriors
     that don't tell domains apart, ``off`` says so.
     """
     k = len(targets)
@@ -160,7 +160,7 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 48, tolera
     goal = np.array(targets) / max(sum(targets), 1e-300)
     found, best, damping = Fit([], None), math.inf, _LEAST_DAMPING
     steps: list[list[float]] = []
-    gram, off = np.eye(k), np.zeros(k)
+    gram, off, slow = np.eye(k), np.zeros(k), 0
     alike = checkpointed(members.groupBy("p").agg(F.sum("tokens").alias("tokens")))
     for _ in range(passes):
         rated = alike.select(n, p, rate_of(p, steps).alias("rate"))
@@ -178,7 +178,8 @@ def fit_rates(members: DataFrame, targets: list[float], passes: int = 48, tolera
             gained, best, off = best - far, far, now
             found = Fit(steps, float(np.abs(off).max()))
             gram = np.array([[(got[f"m{max(i, j)}_{min(i, j)}"] or 0) / total for j in range(k)] for i in range(k)])
-            if found.off <= tolerance or gained < 1e-5 * far:
+            slow = slow + 1 if gained < 1e-3 * far else 0
+            if found.off <= tolerance or slow == 2:
                 break
             damping = max(damping / 10, _LEAST_DAMPING)
         else:
