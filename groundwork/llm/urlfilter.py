@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LANES = 8
@@ -90,13 +90,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, id_col:
     blocks = min(MAX_BLOCKS, 1 << (wanted - 1).bit_length())
     host, path = F.col("host"), F.col("path")
     parsed = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    ruled = parsed.withColumns(
-        {
-            "rule": match_rule(rules, host, path, "name"),
-            "verdict": match_rule(rules, host, path, "verdict"),
-            "key": canonical(host, path),
-        }
-    )
+    # Addresses are parsed once; both ways below read the result.
+    ruled = written(
+        parsed.select(
+            "id", "host", "path", match_rule(rules, host, path, "name").alias("rule"), match_rule(rules, host, path, "verdict").alias("verdict"),
+            canonical(host, path).alias("key"),
+        )
+    )
     probed = ruled.withColumn("block", F.when(F.col("rule").isNull() & (host != ""), _block(F.col("key"), blocks))).join(
         F.broadcast(bloom(keys, blocks)), "block", "left"
     )
