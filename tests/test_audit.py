@@ -205,7 +205,7 @@ def test_results_of_a_report(spark):
     rows = [(1, "It is 5 kg. It is 6 kg and 6 kg. Fine words.", ["It is 5 kg and 9 m.", "Again 5 kg."])]
     reports, _ = plan.evaluate_frame(spark.createDataFrame(rows, "audit long, answer string, contexts array<string>"))
     got = results.accessors(reports).first()
-    assert (got.grounded, got.floating, got.nearby) == (["5 kg"], ["6 kg", "6 kg"], {"6 kg": ["5 kg", "5 kg"]})
+    assert (got.grounded, got.floating, got.nearby) == (["5 kg"], ["6 kg", "6 kg"], {"6 kg": ["5 kg", "9 m", "5 kg"]})
     assert got.unchecked == ["seg_003: no_particulars"] and got.has_findings and got.examined == 3
     traced = results.traced(reports).collect()
     assert [(t.text, t.places) for t in traced] == [("5 kg", ["context 1[6:10]", "context 2[6:10]"])]

@@ -16,7 +16,7 @@ def files(tmp_path):
         return str(tmp_path / name)
 
     item = {"item_id": "i", "text": "It is 5 kg.", "anchor": {"document_id": "d", "start": 0, "end": 11}}
-    package = {"contract": "x.context-package/1", "package_id": "p", "items": [item], "omissions": [{"rule": "below_threshold", "anchor": {"document_id": "d", "start": 3, "end": 1}}]}
+    package = {"contract": "x.context-package/1", "package_id": "p", "items": [item], "omissions": [{"rule": "below_threshold", "reason": "r", "anchor": {"document_id": "d", "start": 3, "end": 1}}]}
     return put, put("package.json", package), put("good.txt", "It is 5 kg."), put("bad.txt", "It is 6 kg.")
 
 
