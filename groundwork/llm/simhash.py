@@ -230,21 +230,24 @@ def _unit_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements every two of some sets have in common."""
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    often = np.bincount(where, minlength=len(values)) > 1
-    column, used = np.cumsum(often) - 1, often[where]
-    column, owner, total = column[where[used]], owner[used], int(often.sum())
+def _shared_counts(sets: list[np.ndarray], limit: int = 1 << 22) -> np.ndarray:
+    """How many elements every two of some sorted sets have in common; looked at in ranges of about ``limit`` elements."""
     out = np.zeros((len(sets), len(sets)), np.float64)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for low in range(0, total, 8192):
-        b, e = np.searchsorted(column, (low, low + 8192))
-        part = np.zeros((len(sets), min(8192, total - low)), np.float32)
-        part[owner[b:e], column[b:e] - low] = 1
-        out += part @ part.T
+    edges = np.linspace(0, 1 << 32, max(1, -(-sum(map(len, sets)) // limit)) + 1)
+    for low, high in zip(edges, edges[1:], strict=False):
+        parts = [s[slice(*np.searchsorted(s, (low, high)))] for s in sets] if len(edges) > 2 else sets
+        values_, where = np.unique(np.concatenate(parts), return_inverse=True)
+        owner = np.repeat(np.arange(len(parts)), [len(s) for s in parts])
+        often = np.bincount(where, minlength=len(values_)) > 1
+        used, total = often[where], int(often.sum())
+        column, owner = (np.cumsum(often) - 1)[where[used]], owner[used]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for at in range(0, total, 8192):
+            b, e = np.searchsorted(column, (at, at + 8192))
+            part = np.zeros((len(sets), min(8192, total - at)), np.float32)
+            part[owner[b:e], column[b:e] - at] = 1
+            out += part @ part.T
     return out
 
 

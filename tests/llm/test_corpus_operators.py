@@ -449,6 +449,17 @@ def test_near_copies_meet_through_an_original_of_the_highest_id(spark, monkeypat
     assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [0, 1001]
 
 
+def test_shared_counts_equal_intersections():
+    rng = np.random.default_rng(17)
+    sets = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32) // (1 << k)) for k, n in ((0, 500), (22, 500), (22, 900), (20, 0), (24, 300), (0, 1))]
+    sets += [np.array([0, 5, (1 << 32) - 1], np.uint32), np.array([5, (1 << 32) - 1], np.uint32)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for limit in (1 << 22, 100, 7):
+        got = simhash._shared_counts(sets, limit)
+        np.fill_diagonal(got, want.diagonal())  # what a set shares with itself isn't asked for
+        assert (got == want).all()
+
+
 def test_large_groups_of_many_clusters_stay_whole_and_apart(spark, monkeypatch):
     """A template that all share keeps keys large: clusters of copies inside must be found, and nothing else linked."""
     monkeypatch.setattr(simhash, "BLOCK", 16)
