@@ -14,79 +14,33 @@ from pathlib import Path
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
-from . import problems, sinks
+from . import problems, server, sinks
 from .operators import evaluation as ev
 from .operators import grounding as g
 from .plans import audit as plan
-from .sources import corpus, packages, samples
+from .plans import single
+from .plans.single import Refused
+from .sources import corpus, packages
 
-VERSION = "1"
 #: Differences and notes that are printed at most.
 DIFFERENCES, NOTES = 40, 25
 
 
-class Refused(Exception):
-    """What can't be audited, and why."""
-
-
-def _answers(spark: SparkSession, text: str, pkg: str, restored_by: str | None):
-    return spark.createDataFrame([(0, 0, text, pkg, restored_by)], "audit long, pkg long, answer string, package_id string, restored_by string")
-
-
-def report(
-    spark: SparkSession, package: str | None, contexts: str | None, response: str | None, settings: problems.Settings,
-    restored_by: str | None = None, text: str | None = None,
-) -> Row:
-    """The report of one answer, a file or ``text``, against a package document or a list of contexts."""
-    plain, omissions = contexts is not None, None
-    if text is None and response is not None:
-        text = Path(response).read_text(encoding="utf-8")
-    if plain:
-        body = json.loads(Path(contexts).read_text(encoding="utf-8"))
-        sample = body if isinstance(body, dict) else {"contexts": body}
-        if text is not None:
-            sample = {k: v for k, v in sample.items() if k not in samples.ANSWERS} | {"answer": text}
-        row = samples.resolve(spark.read.json(spark.sparkContext.parallelize([json.dumps(sample | {"audit": 0})])))
-        first = row.first()
-        if first.refused:
-            raise Refused(first.refused)
-        items, answers = samples.items_of(row), _answers(spark, first.answer, "", restored_by)
-    else:
-        raw = Path(package).read_text(encoding="utf-8")
-        read = packages.read(spark.createDataFrame([(0, raw)], "pkg long, raw string"))
-        first = read.select("refused", "package.package_id", F.col("package.provenance.protection").alias("protection"), "unrecognised").first()
-        if first.refused:
-            raise Refused(first.refused)
-        items, omissions = packages.items_of(read), packages.omissions_of(read)
-        answers = _answers(spark, text, first.package_id or "", restored_by)
-        answers = answers.withColumn("unrecognised", F.array(*map(F.lit, first.unrecognised)).cast("array<string>"))
-        if first.protection is not None:
-            p = first.protection
-            answers = answers.withColumn("protection", F.struct(F.lit(p["by"]).alias("by"), F.lit(p["scope"]).alias("scope"), F.lit(p["reversible"]).alias("reversible")))
-    made = plan.audit(answers, items, omissions, codes=settings.languages, matcher=settings.matcher, version=VERSION, plain=plain).first()
-    if made.refused:
-        raise Refused(made.refused)
-    return made
-
-
-def recheck(spark: SparkSession, archived: str, package: str | None, contexts: str | None) -> list[Row]:
-    """Differences between an archived report and the one that its own answer, packs and matcher give now."""
-    old = corpus.archived_reports(spark.createDataFrame([(0, Path(archived).read_text(encoding="utf-8"))], "audit long, raw string")).first()
-    if old.refused:
-        raise Refused(old.refused)
-    again = problems.Settings(matcher=old.report.audited.matcher, languages=tuple(old.report.audited.packs))
-    fresh = report(spark, package, contexts, None, again, text=old.report.answer)
-    new = json.dumps(sinks.report_document(fresh.asDict(True)), ensure_ascii=False, default=str)
-    frame = lambda text: spark.createDataFrame([(0, text)], "audit long, document string")
-    return plan.recheck(plan.leaves(frame(old.document)), plan.leaves(frame(new))).collect()
+def _text(path: str | None) -> str | None:
+    return None if path is None else Path(path).read_text(encoding="utf-8")
+
+
+def _evidence(args: argparse.Namespace) -> dict:
+    """What an audit reads besides the answer: a package, or a file of contexts or of a whole sample."""
+    if args.package is not None:
+        return {"package": _text(args.package), "record": _text(args.protection)}
+    body = json.loads(_text(args.contexts))
+    return {"sample": body if isinstance(body, dict) else {"contexts": body}, "record": _text(args.protection)}
 
 
 def archived(spark: SparkSession, path: str) -> dict:
-    """A report document from a file, taken out of its statement if it is in one."""
-    row = corpus.archived_reports(spark.createDataFrame([(0, Path(path).read_text(encoding="utf-8"))], "audit long, raw string")).first()
-    if row.refused:
-        raise Refused(row.refused)
-    return json.loads(row.document)
+    """A report document from a file."""
+    return single.archived(spark, _text(path))
 
 
 def extraction_rows(spark: SparkSession, folder: str) -> list[Row]:
@@ -130,8 +84,9 @@ def parser() -> argparse.ArgumentParser:
     for p in (audit, sub.add_parser("recheck", help="derive a report again and compare")):
         p.add_argument("--package")
         p.add_argument("--contexts")
+        p.add_argument("--protection", help="a protection record")
+        p.add_argument("--restored-by")
     audit.add_argument("--response")
-    audit.add_argument("--restored-by")
     audit.add_argument("--matcher")
     audit.add_argument("--languages", type=lambda x: x.split(","))
     audit.add_argument("--format", choices=("json", "text", "page", "statement"), default="text")
@@ -153,6 +108,7 @@ def parser() -> argparse.ArgumentParser:
     page.add_argument("--force", action="store_true")
     sub.add_parser("errors", help="kinds of refusal").add_argument("--by", required=True)
     sub.add_parser("doctor", help="what is installed")
+    sub.add_parser("serve", help="answer JSON-RPC requests, one a line")
     return top
 
 
@@ -161,6 +117,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         for r in problems.catalogue(spark, args.by).collect():
             print(json.dumps(r.asDict()))
         return 0
+    if args.command == "serve":
+        return server.serve(spark)
     if args.command == "eval":
         extraction = extraction_rows(spark, args.marked) if args.marked else []
         rates, floors, notes = evaluate(spark, args.root, tuple(args.split or ("train",)), extraction)
@@ -200,7 +158,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if (args.package is None) == (args.contexts is None):
         raise ValueError("give a package or contexts")
     if args.command == "recheck":
-        differences = recheck(spark, args.report, args.package, args.contexts)
+        differences = single.recheck_one(spark, _text(args.report), restored_by=args.restored_by, **_evidence(args))
         for d in differences[:DIFFERENCES]:
             print(f"{d.path}: {d.archived} -> {d.fresh}")
         if more := len(differences[DIFFERENCES:]):
@@ -209,7 +167,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.response is None and args.package is not None:
         raise ValueError("a package needs --response")
     settings = problems.settings(matcher=args.matcher, languages=args.languages, fail_on_findings=args.fail_on_findings)
-    r = report(spark, args.package, args.contexts, args.response, settings, args.restored_by).asDict(True)
+    r = single.audit_one(spark, _text(args.response), settings=settings, restored_by=args.restored_by, **_evidence(args)).asDict(True)
     show = {
         "json": lambda: json.dumps(sinks.report_document(r), ensure_ascii=False, indent=2), "text": lambda: sinks.text_report(r), "page": lambda: sinks.page(r),
         "statement": lambda: json.dumps(sinks.statement(r, args.response or "answer"), ensure_ascii=False),
