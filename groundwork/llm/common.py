@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,6 +31,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver forget what nothing refers to, upon which Spark deletes the shuffle files of steps that are kept elsewhere.
+
+    The driver's own collections may be far apart, and files of steps long done would fill the executors' disks meanwhile.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The configured shuffle width, which operators grow with the cluster's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

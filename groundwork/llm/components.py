@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, let_go
 
 #: A vertex of more edges than this is a hub, unless there would be more than HUBS of them: their least ends are broadcast.
 DEGREE, HUBS = 256, 50_000
@@ -49,6 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before = mark
+        let_go(now.sparkSession)
         now = checkpointed(_small_star(_large_star(now, mark[0]).where("u <> v").distinct(), mark[0]).where("u <> v").distinct())
     roots = now.select("u", F.col("v").alias("root"))
     return roots.union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

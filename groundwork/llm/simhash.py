@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_and_bytes, shuffle_partitions, values
+from .common import checkpointed, id_and_bytes, let_go, shuffle_partitions, values, written
 from .components import connected_components
 
 BITS = 64
@@ -356,7 +356,8 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
 
     units = checkpointed(units_of(vertices.select(F.explode("keys").alias("key"), "digest")))
     members = members_of(units)
-    wanted = vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct()
+    # A table, so that its true size says whether it is broadcast or the texts are shuffled.
+    wanted = written(vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct())
     texts = df.select(F.col(text_col).cast("string").cast("binary").alias("body")).withColumn("__row", F.xxhash64("body"))
     sets = checkpointed(_shingle_sets(texts.join(wanted, "__row", "left_semi"), shingle))
 
@@ -368,6 +369,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
     def edges(found: DataFrame) -> DataFrame:
         return found.where("n is null").select("u", "v")
 
+    let_go(spark)
     found = verified(members)
     # Units of a cut key hold only some of its pairs: the heads of its units meet one another and its leaders.
     cut = units.where("key is not null")
@@ -418,7 +420,8 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     columns = df.columns
     groups = checkpointed(_grouped(df, id_col, text_col, **options).where("id is not null").groupBy("root", "id", "row").agg(F.count("*").alias("n")))
     best = groups.groupBy("root").agg(F.min(F.struct("id", "row")).alias("best"), F.sum("n").alias("rows")).where("rows > 1")
-    told = checkpointed(groups.join(best, "root").select("id", "row", "n", (F.struct("id", "row") == F.col("best")).alias("stays")).where("not stays or n > 1"))
+    told = written(groups.join(best, "root").select("id", "row", "n", (F.struct("id", "row") == F.col("best")).alias("stays")).where("not stays or n > 1"))
+    let_go(df.sparkSession)
     renamed = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))
     key, text = f"c{columns.index(id_col)}", F.col(f"c{columns.index(text_col)}").cast("string").cast("binary")
     tagged = renamed.withColumn("row", F.xxhash64(text))
