@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import folded, places_function, segment_function
-from ..functions.matching import DIGIT_RUNS, OTHER_RUNS, PAIRS, SOURCE_LIMIT
+from ..functions.matching import DIGIT_CHAINS, DIGIT_RUNS, OTHER_RUNS, PAIRS, SOURCE_LIMIT
 from ..runtime import spread, staged
 
 NEARBY = 5
@@ -93,8 +93,9 @@ def _candidates(forms: DataFrame, items: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     held = items.select("pkg", "item", "text").join(asked, "pkg").withColumn("fold", folded(F.col("text")))
     runs = lambda pattern, group=0: F.regexp_extract_all("fold", F.lit(pattern), F.lit(group))
+    chains = [F.transform(runs(pattern, 1), lambda x: F.regexp_replace(x, r"\s+", "")) for pattern in DIGIT_CHAINS]
     words = F.concat(
-        F.when(F.col("digits"), runs(DIGIT_RUNS)).otherwise(none), F.when(F.col("words"), F.concat(runs(OTHER_RUNS), runs(PAIRS, 1))).otherwise(none),
+        F.when(F.col("digits"), F.concat(runs(DIGIT_RUNS), *chains)).otherwise(none), F.when(F.col("words"), F.concat(runs(OTHER_RUNS), runs(PAIRS, 1))).otherwise(none),
         F.when(F.col("bare"), F.array(F.lit(""))).otherwise(none),
     )
     index = held.select("pkg", "item", "fold", F.explode(F.array_distinct(words)).alias("key")).withColumn("fold", F.when(F.col("key") == "", F.col("fold")))
