@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 
@@ -55,6 +56,20 @@ def values(*columns: pa.Array, rows: int = 512) -> Iterator:
     for at in range(0, len(columns[0]), rows):
         held = [c.slice(at, rows).to_pylist() for c in columns]
         yield from held[0] if len(held) == 1 else zip(*held, strict=True)
+    give_back()
+
+
+def give_back() -> None:
+    """Return what this worker freed to the machine; workers live on from stage to stage, and allocators keep freed memory for themselves."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc alone has it
+except (AttributeError, OSError):
+    _TRIM = None
 
 
 def word_spans(words: list[bytes]) -> tuple[bytes, np.ndarray]:
