@@ -150,22 +150,32 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, row, digest, keys): a hash of the text as it stands, the digest of its words, and its band keys."""
+    """(id, row, digest, fp, keys): a hash of the text as it stands, the digest of its words, their fingerprint (null: no words) and band keys."""
     source = id_and_bytes(df, id_col, text_col).withColumn("row", F.xxhash64("body"))
     kind = dict(source.dtypes)["id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, keys = [], []
+            digests, fps, keys = [], [], []
             for body in values(batch.column(1)):  # one text's words at a time
                 words = (body or b"").lower().split()
                 digests.append(_digest(words))
+                fps.append(fingerprint(body, shingle) if words else None)
                 keys.append(band_keys(shingle_set(words, shingle)))
+            fp = pa.array(fps, pa.uint64()).view(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "digest", "keys"]
+                [batch.column(0), batch.column(2), pa.array(digests, pa.binary()), fp, pa.array(keys, pa.list_(pa.int64()))], ["id", "row", "digest", "fp", "keys"]
             )
 
-    return source.mapInArrow(run, f"id {kind}, row long, digest binary, keys array<long>")
+    return source.mapInArrow(run, f"id {kind}, row long, digest binary, fp long, keys array<long>")
+
+
+def _with_balls(vertices: DataFrame, radius: int) -> DataFrame:
+    """``vertices(fp, keys)`` with a key ahead of the others that names the star component of the fingerprint's ball."""
+    fps = vertices.where("fp is not null").select("fp").distinct()
+    roots = connected_components(links(fps, radius)).withColumnRenamed("u", "fp")
+    ball = F.array(F.xxhash64(F.lit("ball"), F.coalesce("root", "fp")))
+    return vertices.join(roots, "fp", "left").withColumn("keys", F.when(F.col("fp").isNull(), F.col("keys")).otherwise(F.concat(ball, "keys"))).drop("root")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -337,12 +347,13 @@ def _finer_keys(vertices: DataFrame, cut: DataFrame) -> DataFrame:
     return own.select(F.explode(pairs).alias("key"), "digest").distinct()
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(root, id, row): what names each row's group, and a hash of its text."""
     spark = df.sparkSession
     docs = checkpointed(_keyed(df, id_col, text_col, shingle))
     real = docs.where(F.col("id").isNotNull())
-    vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("keys").alias("keys"))
+    vertices = real.groupBy("digest").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    keyed = _with_balls(vertices, radius)
 
     def units_of(rows: DataFrame, named: bool = False) -> DataFrame:
         # Ranges of (key, hash) spread a key that many texts share over as many tasks as it needs.
@@ -354,7 +365,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
         whole = units.groupBy("unit").agg(F.bool_or(F.col("key").isNotNull()).alias("cut"), F.first("members").alias("members"))
         return whole.where("cut or size(members) > 1").select("unit", "cut", F.explode("members").alias("digest"))
 
-    units = checkpointed(units_of(vertices.select(F.explode("keys").alias("key"), "digest")))
+    units = checkpointed(units_of(keyed.select(F.explode("keys").alias("key"), "digest")))
     members = members_of(units)
     # A table, so that its true size says whether it is broadcast or the texts are shuffled.
     wanted = written(vertices.join(members, "digest", "left_semi").select(F.col("row").alias("__row")).distinct())
@@ -383,7 +394,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
     open_keys = _several_roots(_rooted(cut.select("key", F.explode("members").alias("digest")), roots))
     left = checkpointed(cut.join(open_keys, "key", "left_semi"))
     if not left.isEmpty():
-        finer = checkpointed(_rooted(_finer_keys(vertices, left), roots))
+        finer = checkpointed(_rooted(_finer_keys(keyed, left), roots))
         asked = finer.join(_several_roots(finer), "key", "left_semi")
         roots = connected_components(links.union(edges(verified(members_of(units_of(asked))))))
     named = docs.select("id", "row", "digest").join(roots.withColumnRenamed("u", "digest"), "digest", "left")
@@ -391,12 +402,13 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int = 5, simila
 
 
 def near_copies(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 2
 ) -> DataFrame:
     """(id, component), one row per row of ``df``: groups linked by ``similarity`` or more on sets of word shingles.
 
-    At this similarity 64-bit fingerprints of shingles lie some ten bits apart, too far for a ball. Candidates
-    share one of BANDS keys, each of ROWS minima over hashes of the shingle set: whether a pair meets depends on its
+    Candidates are, first, texts whose 64-bit fingerprints balls of ``radius`` bits connect: ball hashing and star
+    components as in ``near_duplicates``, a component being one key. At 0.8 fingerprints lie some ten bits apart, too
+    far for a ball, so texts outside each other's balls also meet where they share one of BANDS keys, each of ROWS minima over hashes of the shingle set: whether a pair meets in one depends on its
     similarity alone, not on where or how the copy was changed, and a pair at 0.8 misses all bands once in 37,000
     times. All members of a key are compared with each other on the whole sets, so links don't depend on which member
     has the least id, and none is below ``similarity``. A key of more than BLOCK members is cut into units, dealt by
@@ -406,7 +418,7 @@ def near_copies(
     texts without words another. Null ids are kept and link nothing, repeated rows stay, and rows of one id but
     different texts are told apart; an empty table gives none.
     """
-    named = checkpointed(_grouped(df, id_col, text_col, shingle, similarity))
+    named = checkpointed(_grouped(df, id_col, text_col, shingle, similarity, radius))
     return named.join(named.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
 
 

@@ -491,6 +491,34 @@ def test_near_copies_with_appended_or_cut_passages_are_found(spark, share, least
     assert {c // 2 for c in got.values()} == set(range(300)) and all(c // 2 == i // 2 for i, c in got.items())
 
 
+def test_near_copies_within_a_ball_are_found_where_no_band_is_shared(spark):
+    """A passage said twelve times before a short tail: fingerprints within two bits, sets at 0.8, and these seeds miss all bands."""
+    rows = []
+    for k, seed in enumerate((76640, 1000757, 1068943, 3042086)):
+        passage = [f"w{seed}n{j}" for j in range(40)] * 12
+        rows += [(2 * k + c, " ".join(passage + [f"{tail}{seed}n{j}" for j in range(5)])) for c, tail in enumerate("ab")]
+    bodies = [t.encode() for _, t in rows]
+    sets = [simhash.shingle_set(b.split()) for b in bodies]
+    for a, b in zip(range(0, 8, 2), range(1, 8, 2), strict=True):
+        assert len(np.intersect1d(sets[a], sets[b])) == 0.8 * len(np.union1d(sets[a], sets[b]))
+        assert (simhash.fingerprint(bodies[a], 5) ^ simhash.fingerprint(bodies[b], 5)).bit_count() <= 2
+        assert not set(simhash.band_keys(sets[a])) & set(simhash.band_keys(sets[b]))
+    rows += [(100, rows[0][1].split(" a")[0] + " " + " ".join(f"z{j}" for j in range(40))), (101, None)]  # in no ball, or without words
+    got = {r.id: r.component for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == {i: i if i >= 100 else i // 2 * 2 for i, _ in rows}
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame(spark, rows)).collect()) == [0, 2, 4, 6, 100, 101]
+
+
+def test_near_copies_in_a_ball_below_the_similarity_stay_apart(spark):
+    rows = []
+    for k in range(20):  # the passage decides the fingerprint, the tails are most of the sets
+        passage = [f"p{k}n{j}" for j in range(11)] * 60
+        rows += [(2 * k + c, " ".join(passage + [f"{tail}{k}n{j}" for j in range(8)])) for c, tail in enumerate("ab")]
+    fps = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    assert sum((a ^ b).bit_count() <= 2 for a, b in zip(fps[::2], fps[1::2], strict=True)) == 20
+    assert all(r.id == r.component for r in simhash.near_copies(frame(spark, rows)).collect())
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 
